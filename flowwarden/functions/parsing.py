@@ -22,6 +22,7 @@ IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 
 # <pri>1 time host program pid - - rest
 STRICT_HEADER = rf"^<([1-9]\d*)>1 ({ISO_TIME}) ([0-9A-Za-z][0-9A-Za-z.-]*) (\w+) ([+-]?\d+) - - (.*)"
+WHOLE_LINE = "^.*?"  # put before a header that may start later in the line
 STRICT_GROUPS = ["syslog_pri", "log_time", "hostname", "program", "pid", "payload"]
 
 # Version, pid, message id and structured data may each be missing.
@@ -47,6 +48,22 @@ def capture(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def captures(text: Column, pattern: str, groups: int) -> Column:
+    """All groups of a whole-line pattern as an array, from one pass of the pattern.
+
+    A line that does not fit gives an array with a single item.  The last group
+    may hold anything.
+    """
+    mark = "\u0001"
+    joined = mark.join(f"${i + 1}" for i in range(groups))
+    return F.split(F.regexp_replace(text, pattern, joined), mark, groups)
+
+
+def captured(found: Column, index: int) -> Column:
+    """One group of :func:`captures`, null when empty."""
+    return F.nullif(F.get(found, F.lit(index)), F.lit(""))
+
+
 def payload_field(parts: Column, name: str) -> Column:
     """A payload field by name: trimmed, empty and absent both null."""
     value = F.get(parts, F.lit(S.FILTERLOG_FIELDS.index(name)))

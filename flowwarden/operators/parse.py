@@ -11,49 +11,48 @@ from flowwarden.functions import parsing as P
 HEADER_FAILURE = "_parse_failure_header"
 
 
+def _note(fits):
+    return F.when(fits, F.array().cast("array<string>")).otherwise(F.array(F.lit(HEADER_FAILURE)))
+
+
 def parse_header(df: DataFrame, message: str = "message") -> DataFrame:
-    """The strict header.  Keeps the raw line and tags lines that do not fit."""
-    line = F.col(message)
-    fits = F.coalesce(line.rlike(P.STRICT_HEADER), F.lit(False))
+    """The strict header.  Keeps the raw line and tags lines that do not fit.
+
+    The pattern runs once per line; the groups are picked from its result.
+    """
+    found = df.withColumn("_head", P.captures(F.col(message), P.STRICT_HEADER, len(P.STRICT_GROUPS)))
+    fits = F.coalesce(F.size("_head") > 1, F.lit(False))
     columns = [
-        P.capture(line, P.STRICT_HEADER, i + 1).alias(name)
+        F.when(fits, P.captured(F.col("_head"), i)).alias(name)
         for i, name in enumerate(P.STRICT_GROUPS)
     ]
-    return df.select(
-        "*", line.alias("raw_message"), *columns,
-        F.when(fits, F.array().cast("array<string>"))
-        .otherwise(F.array(F.lit(HEADER_FAILURE))).alias("tags"),
-    )
+    return found.select(
+        *df.columns, F.col(message).alias("raw_message"), *columns, _note(fits).alias("tags"))
 
 
 def parse_header_relaxed(df: DataFrame, message: str = "message",
                          bsd_fallback: bool = True) -> DataFrame:
     """The relaxed header, then (by default) the BSD one for lines it does not fit."""
     line = F.col(message)
-    relaxed = F.coalesce(line.rlike(P.RELAXED_HEADER), F.lit(False))
-    forms = [("rfc5424", relaxed, P.RELAXED_HEADER, [1, 2, 3, 4, None, 7])]
-    if bsd_fallback:
-        bsd = ~relaxed & F.coalesce(line.rlike(P.BSD_HEADER), F.lit(False))
-        forms.append(("bsd", bsd, P.BSD_HEADER, [1, 2, 3, 4, 5, 6]))
     names = ["syslog_pri", "log_time", "hostname", "program", "pid", "payload"]
-    columns = []
-    for i, name in enumerate(names):
-        rule = F.when(F.lit(False), F.lit(None).cast("string"))
-        for _, fits, pattern, groups in forms:
-            value = (
-                F.coalesce(P.capture(line, pattern, 5), P.capture(line, pattern, 6))
-                if groups[i] is None else P.capture(line, pattern, groups[i])
-            )
-            rule = rule.when(fits, value)
-        columns.append((F.trim(rule) if name == "payload" else rule).alias(name))
-    form = F.when(F.lit(False), F.lit(None).cast("string"))
-    for label, fits, _, _ in forms:
-        form = form.when(fits, label)
-    return df.select(
-        "*", line.alias("raw_message"), *columns, form.alias("header_form"),
-        F.when(form.isNull(), F.array(F.lit(HEADER_FAILURE)))
-        .otherwise(F.array().cast("array<string>")).alias("tags"),
-    )
+    found = df.withColumn("_head", P.captures(line, P.WHOLE_LINE + P.RELAXED_HEADER, 7))
+    is_relaxed = F.coalesce(F.size("_head") > 1, F.lit(False))
+    second = P.captures(line, P.WHOLE_LINE + P.BSD_HEADER, 6) if bsd_fallback else F.array(line)
+    found = found.withColumn("_bsd", F.when(~is_relaxed, second))
+    is_bsd = F.coalesce(F.size("_bsd") > 1, F.lit(False))
+
+    def pick(i: int):
+        first = P.captured(F.col("_head"), 6 if i == 5 else i)
+        if i == 4:  # the process id stands in brackets or as a word of its own
+            first = F.coalesce(first, P.captured(F.col("_head"), 5))
+        value = F.when(is_relaxed, first).when(is_bsd, P.captured(F.col("_bsd"), i))
+        return F.trim(value) if i == 5 else value
+
+    form = F.when(is_relaxed, "rfc5424").when(is_bsd, "bsd")
+    return found.select(
+        *df.columns, line.alias("raw_message"),
+        *[pick(i).alias(name) for i, name in enumerate(names)],
+        form.alias("header_form"), _note(is_relaxed | is_bsd).alias("tags"))
 
 
 def ipv4_only(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -64,8 +63,9 @@ def ipv4_only(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 def parse_filterlog(df: DataFrame, payload: str = "payload") -> DataFrame:
     """The 29 positional fields as text, empty ones null."""
-    parts = F.split(F.col(payload), ",")
-    return df.select("*", *[P.payload_field(parts, n).alias(n) for n in S.FILTERLOG_FIELDS])
+    parts = df.withColumn("_parts", F.split(F.col(payload), ","))
+    return parts.select(
+        *df.columns, *[P.payload_field(F.col("_parts"), n).alias(n) for n in S.FILTERLOG_FIELDS])
 
 
 def convert_types(df: DataFrame) -> DataFrame:
