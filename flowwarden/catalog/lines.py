@@ -90,11 +90,7 @@ def _typed_duck(n: str) -> str:
   {stamp("strptime(log_time, '%Y-%m-%dT%H:%M:%S.%f+00:00')")} AS "@timestamp" FROM fields"""))
 def parse_typed(spark, sf):
     rows = P.parse_lines(raw_lines(spark, sf))
-    return rows.select("event_id", *filterlog_columns()).drop("tags")
-
-
-def filterlog_columns() -> list[str]:
-    return S.filterlog_schema().fieldNames()
+    return rows.select("event_id", *S.filterlog_schema().fieldNames())
 
 
 @query("parse_errors", with_lines(f"""SELECT event_id, message, '{P.HEADER_FAILURE}' AS tags

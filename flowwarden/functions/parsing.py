@@ -25,6 +25,9 @@ STRICT_HEADER = rf"^<([1-9]\d*)>1 ({ISO_TIME}) ([0-9A-Za-z][0-9A-Za-z.-]*) (\w+)
 WHOLE_LINE = "^.*?"  # put before a header that may start later in the line
 STRICT_GROUPS = ["syslog_pri", "log_time", "hostname", "program", "pid", "payload"]
 
+# The ninth payload field is the IP version.
+IPV4_PAYLOAD = r"(?:[^,]*,){8}\s*4\s*(?:,.*)?$"
+
 # Version, pid, message id and structured data may each be missing.
 RELAXED_HEADER = (
     rf"<([1-9]\d*)>(?:[1-9]\d* )?({ISO_TIME}) (\S+) ([^\s\[]+)(?:\[([1-9]\d*)\])? "
@@ -64,10 +67,14 @@ def captured(found: Column, index: int) -> Column:
     return F.nullif(F.get(found, F.lit(index)), F.lit(""))
 
 
-def payload_field(parts: Column, name: str) -> Column:
-    """A payload field by name: trimmed, empty and absent both null."""
-    value = F.get(parts, F.lit(S.FILTERLOG_FIELDS.index(name)))
-    return F.nullif(F.trim(value), F.lit(""))
+def payload_fields(payload: Column) -> Column:
+    """The comma-separated fields as an array: trimmed, empty ones null."""
+    return F.transform(F.split(payload, ","), lambda x: F.nullif(F.trim(x), F.lit("")))
+
+
+def payload_field(fields: Column, name: str) -> Column:
+    """One of :func:`payload_fields` by name; a short line lacks the later ones."""
+    return F.get(fields, F.lit(S.FILTERLOG_FIELDS.index(name)))
 
 
 def typed(value: Column, name: str) -> Column:

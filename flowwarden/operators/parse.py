@@ -57,13 +57,12 @@ def parse_header_relaxed(df: DataFrame, message: str = "message",
 
 def ipv4_only(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Keep payloads whose IP version is 4; a missing version drops the row."""
-    version = P.payload_field(F.split(F.col(payload), ","), "ip_version")
-    return df.filter(F.coalesce(version, F.lit("")) == "4")
+    return df.filter(F.col(payload).rlike("^" + P.IPV4_PAYLOAD))
 
 
 def parse_filterlog(df: DataFrame, payload: str = "payload") -> DataFrame:
     """The 29 positional fields as text, empty ones null."""
-    parts = df.withColumn("_parts", F.split(F.col(payload), ","))
+    parts = df.withColumn("_parts", P.payload_fields(F.col(payload)))
     return parts.select(
         *df.columns, *[P.payload_field(F.col("_parts"), n).alias(n) for n in S.FILTERLOG_FIELDS])
 
@@ -111,9 +110,12 @@ def rename_aliases(df: DataFrame, aliases: dict[str, str] = S.FIELD_ALIASES) ->
 
 def parse_lines(df: DataFrame, message: str = "message") -> DataFrame:
     """Raw lines to accepted IPv4 rows: header, early filter, fields, time, types."""
-    headed = parse_header(df, message).filter(F.size("tags") == 0)
-    rows = assign_time(convert_types(parse_filterlog(ipv4_only(headed))))
-    return drop_work_fields(rows)
+    # One test on the raw line keeps good headers with version 4; a filter on the
+    # captured fields would be pushed below them and run the pattern again.
+    wanted = P.STRICT_HEADER.removesuffix("(.*)") + P.IPV4_PAYLOAD
+    headed = parse_header(df.filter(F.col(message).rlike(wanted)), message)
+    rows = assign_time(convert_types(parse_filterlog(headed)))
+    return drop_work_fields(rows).drop("tags")
 
 
 def parse_errors(df: DataFrame, message: str = "message") -> DataFrame:
