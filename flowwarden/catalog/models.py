@@ -15,7 +15,7 @@ from flowwarden.operators import forest as M
 from flowwarden.plans import detection as D
 from flowwarden.plans import training as Tr
 from flowwarden.plans.ranking import exact_quantile
-from flowwarden.plans.storage import new_path
+from flowwarden.plans.storage import materialize, new_path, spread_small
 from flowwarden.streaming import jobs as J
 
 # ---- a deterministic score, label and prediction per row ----
@@ -155,6 +155,10 @@ def toy_forest_scores(spark, sf):
 
 
 # ---- the trained forest ----
+def stored(spark, sf):
+    return materialize(spread_small(fw(spark, sf, "@timestamp")), "rows")
+
+
 def feature_rows(spark, sf):
     rows = fw(spark, sf)
     return X.feature_table(rows, X.fit_vocabulary(rows), ["event_id"], "ts")
@@ -167,14 +171,13 @@ def iforest_nodes(spark, sf):
 
 @query("iforest_scores")
 def iforest_scores(spark, sf):
-    model, scored = Tr.fit(fw(spark, sf, "@timestamp"))
-    return scored
+    return Tr.fit(stored(spark, sf))[1]
 
 
 @query("model_metadata")
 def model_metadata(spark, sf):
     """Fitted, saved, loaded again, and its record read back."""
-    model, _ = Tr.fit(fw(spark, sf, "@timestamp"))
+    model, _ = Tr.fit(stored(spark, sf))
     path = new_path(spark, "model")
     model.save(path)
     record = Tr.Model.load(spark, path).metadata
@@ -188,16 +191,16 @@ def train_model(spark, sf):
     return Tr.train(fw(spark, sf, "@timestamp"))[2]
 
 
-@query("iforest_nodes_volume")
-def iforest_nodes_volume(spark, sf):
-    rows = fw_volume(spark, sf).withColumn("row_key", F.xxhash64("event_id", "src_port", "length", "dst_port", "ts"))
-    table = X.feature_table(rows, X.fit_vocabulary(rows), ["row_key"], "ts")
-    return M.fit_nodes(table, Tr.model_columns(), "row_key")
+@query("iforest_scores_volume")
+def iforest_scores_volume(spark, sf):
+    rows = fw_volume(spark, sf, "@timestamp")
+    keyed = rows.withColumn("row_key", F.xxhash64(*rows.columns))
+    return Tr.fit(materialize(spread_small(keyed), "rows"), "row_key")[1]
 
 
 @query("score_windows")
 def score_windows(spark, sf):
-    rows = fw(spark, sf, "@timestamp")
+    rows = stored(spark, sf)
     model, _ = Tr.fit(rows)
     return D.score_windows(rows, model, "@timestamp", SIZE, SLIDE, order=["@timestamp", "event_id"])
 

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from flowwarden import schema as S
 from flowwarden.functions import features as X
-from flowwarden.plans.joins import is_small
 
 MAX_LITERAL_VOCABULARY = 1_000
 UNKNOWN = "unknown"
@@ -47,11 +46,17 @@ def add_transport(df: DataFrame) -> DataFrame:
 
 
 def add_all(df: DataFrame, ts: str = "@timestamp") -> DataFrame:
-    timed = add_temporal(df, ts)
-    return (
-        timed.transform(add_ports).transform(add_protocol).transform(add_packet)
-        .transform(add_connection).transform(add_transport)
-    )
+    """All six groups in one projection."""
+    def c(*names: str):
+        return _columns(df, *names)
+
+    return df.withColumns({
+        **X.temporal(F.col(ts)), **X.ports(*c("src_port", "dst_port")),
+        **X.protocol(*c("proto_name", "action", "dir")),
+        **X.packet(*c("length", "ttl", "data_length")),
+        **X.connection(*c("action", "dir", "reason")),
+        **X.transport(*c("tcp_flags", "tcp_window")),
+    })
 
 
 def fit_vocabulary(df: DataFrame, columns=S.ENCODED_COLUMNS) -> DataFrame:
@@ -69,9 +74,10 @@ def encode(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     A vocabulary of checked small size becomes literals in the projection; a
     larger one is joined column by column.
     """
-    if is_small(vocabulary, MAX_LITERAL_VOCABULARY):
+    entries = vocabulary.limit(MAX_LITERAL_VOCABULARY + 1).collect()
+    if len(entries) <= MAX_LITERAL_VOCABULARY:
         known: dict[str, list[str]] = {}
-        for r in vocabulary.orderBy("column_name", "code").collect():
+        for r in sorted(entries, key=lambda r: (r.column_name, r.code)):
             known.setdefault(r.column_name, []).append(r.value)
         return df.withColumns({
             f"{c}_encoded": (F.array_position(

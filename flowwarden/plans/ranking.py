@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 CUTS = 128
 SMALL_DOMAIN = 100_000
+SKETCH = 10_000
 
 
 def _cut_index(value: Column, points: list[float], low: int = 0) -> Column:
@@ -52,22 +53,43 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], cuts: int = CU
     ).drop("_cut", "_cut_at", *[f"_{out}" for out in sums])
 
 
+def _by_running_sums(df: DataFrame, low: int, high: int) -> tuple[float, float]:
+    """The values at two ranks, from the counts per value and their running sums."""
+    counts = df.groupBy("v").agg(F.count("*").alias("n"))
+    row = running_sums(counts, "v", {"upto": "n"}).agg(
+        F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"),
+    ).first()
+    return row.a, row.b
+
+
 def exact_quantile(df: DataFrame, column: str, level: float) -> float | None:
-    """Linear-interpolated quantile of one column, exact at any number of distinct values."""
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    )
-    total = counts.agg(F.sum("n")).first()[0]
+    """Linear-interpolated quantile of one column, exact at any number of distinct values.
+
+    A sketch brackets the value and one pass counts the rows below the bracket;
+    only rows inside it are looked at further.  A small bracket is sorted; a
+    large one is counted per value with running sums.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    margin = 4.0 / SKETCH
+    levels = [max(0.0, level - margin), min(1.0, level + margin)]
+    total, ends = values.agg(F.count("*"), F.percentile_approx("v", levels, SKETCH)).first()
     if not total:
         return None
     place = (total - 1) * level
     low, high = int(place), min(int(place) + 1, total - 1)
-    row = running_sums(counts, "v", {"upto": "n"}).agg(
-        F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"),
-    ).first()
-    return row.a + (row.b - row.a) * (place - low)
+    inside = values.filter(F.col("v").between(*ends))
+    below, held = values.agg(
+        F.count(F.when(F.col("v") < ends[0], 1)),
+        F.count(F.when(F.col("v").between(*ends), 1))).first()
+    if below > low or below + held <= high:
+        a, b = _by_running_sums(values, low, high)
+    elif held <= SMALL_DOMAIN:
+        found = [r.v for r in inside.orderBy("v").offset(low - below).limit(2).collect()]
+        a, b = found[0], found[-1] if high > low else found[0]
+    else:
+        a, b = _by_running_sums(inside, low - below, high - below)
+    return a + (b - a) * (place - low)
 
 
 def quantiles(df: DataFrame, columns: list[str], levels: list[float]) -> dict[str, list[float | None]]:

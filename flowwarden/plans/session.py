@@ -13,9 +13,22 @@ SETTINGS = {
     # some 65 feature columns is above that; with this limit Spark splits it.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# These can only be given when the session is built.
+START_SETTINGS = {
+    # Looking up the caller of every column expression costs seconds on the driver
+    # when a job builds hundreds of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def with_settings(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """Add all settings to a session that is about to be built."""
+    for key, value in {**SETTINGS, **START_SETTINGS}.items():
+        builder = builder.config(key, value)
+    return builder

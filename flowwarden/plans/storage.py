@@ -37,3 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 5_000_000
+
+
+def spread_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Use every core for a small table that is stored in few pieces.
+
+    Only tables of at most ``SMALL_ROWS`` rows are shuffled for this, so the
+    cost is bounded; larger ones keep the splits of their scan.
+    """
+    n = df.count() if rows is None else rows
+    if n > SMALL_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

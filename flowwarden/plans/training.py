@@ -15,7 +15,7 @@ from flowwarden.operators import evaluate as V
 from flowwarden.operators import features as X
 from flowwarden.operators import forest as M
 from flowwarden.plans.ranking import exact_quantile
-from flowwarden.plans.storage import materialize
+from flowwarden.plans.storage import materialize, spread_small
 
 
 @dataclass
@@ -83,7 +83,7 @@ def fit(cleaned: DataFrame, key: str = "event_id", ts: str = "@timestamp",
     scaler = materialize(X.fit_scaler(table, columns), "scaler")
     scaled = X.scale(table, scaler) if not set(kept) & set(columns) else table
     nodes = materialize(
-        M.fit_nodes(scaled, columns, key, trees, rows_per_tree, seed), "nodes")
+        M.fit_nodes(scaled, columns, key, trees, rows_per_tree, seed, cleaned.count()), "nodes")
     fitted = time.time()
     raw = materialize(
         M.score_samples(scaled, nodes, columns, rows_per_tree).select(*kept, "raw_score"), "scores")
@@ -101,7 +101,7 @@ def train(df: DataFrame, key: str = "event_id", ts: str = "@timestamp", **params
     """Check, clean, derive features, fit, score and evaluate against the block label."""
     if not C.is_valid(df):
         raise ValueError("no rows to train on")
-    cleaned = materialize(C.clean(df, ts), "cleaned")
+    cleaned = materialize(spread_small(C.clean(df, ts), df.count()), "cleaned")
     model, scored = fit(V.derive_label(cleaned), key, ts, keep=["label"], **params)
     judged = scored.withColumn("predicted", (F.col("prediction") == -1).cast("int"))
     return model, judged, evaluation_record(judged)

@@ -9,18 +9,20 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
+from flowwarden.plans.session import with_settings
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 PLAIN = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 
 
 def session() -> SparkSession:
-    spark = (
+    builder = (
         SparkSession.builder.master("local[8]").appName("flowwarden-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
+    spark = with_settings(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
