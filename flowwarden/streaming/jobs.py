@@ -45,7 +45,7 @@ def write_table(df: DataFrame, path: str, checkpoint: str, once: bool = True,
 
 def dedup_stream(df: DataFrame, columns: list[str] | None = None, ts: str = "@timestamp",
                  delay: str = "60 seconds") -> DataFrame:
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(columns or df.columns)
+    return df.withWatermark(f"`{ts}`", delay).dropDuplicatesWithinWatermark(columns or df.columns)
 
 
 def behavior_stream(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECONDS,
@@ -61,7 +61,7 @@ def behavior_stream(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_
         return F.avg(F.coalesce(condition, F.lit(False)).cast("int"))
 
     rows = df.filter(c("src_ip").isNotNull()).withColumn(ts, c(ts).cast("timestamp"))
-    grouped = rows.withWatermark(ts, delay or f"{size} seconds").groupBy(
+    grouped = rows.withWatermark(f"`{ts}`", delay or f"{size} seconds").groupBy(
         F.window(c(ts), f"{size} seconds", f"{slide} seconds"), "src_ip")
     out = grouped.agg(
         F.count("*").alias("total_connections"),
