@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,47 +73,54 @@ def sample_per_tree(df: DataFrame, key: str, trees: int = S.TREES,
     )
 
 
-def _grower(features: list[str], depth_limit: int, seed: int):
+def _grower(width: int, depth_limit: int, seed: int):
     """The per-tree function; nested so that Spark ships it by value."""
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(rows: pa.Table) -> pa.Table:
         """One tree in heap order: node i has children 2i+1 and 2i+2."""
-        tree = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values("_place")[features].to_numpy(dtype=float)
+        rows = rows.sort_by("_place").combine_chunks()
+        tree = rows["tree"][0].as_py()
+        x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         rng = np.random.default_rng([seed, tree])
         out = []
         waiting = [(0, 0, np.arange(len(x)))]
         while waiting:
-            node, depth, rows = waiting.pop()
-            part = x[rows]
+            node, depth, inside = waiting.pop()
+            part = x[inside]
             low, high = part.min(axis=0), part.max(axis=0)
             usable = np.flatnonzero(high > low)
-            if depth >= depth_limit or len(rows) <= 1 or not len(usable):
-                out.append((tree, node, -1, 0.0, depth, len(rows)))
+            if depth >= depth_limit or len(inside) <= 1 or not len(usable):
+                out.append((tree, node, -1, 0.0, depth, len(inside)))
                 continue
-            f = int(rng.choice(usable))
+            f = int(usable[rng.integers(len(usable))])
             # Strictly below the largest value, so neither side is empty.
             cut = float(min(rng.uniform(low[f], high[f]), np.nextafter(high[f], low[f])))
             left = part[:, f] <= cut
-            out.append((tree, node, f, cut, depth, len(rows)))
-            waiting.append((2 * node + 2, depth + 1, rows[~left]))
-            waiting.append((2 * node + 1, depth + 1, rows[left]))
-        return pd.DataFrame(out, columns=["tree", "node", "feature", "threshold", "depth", "size"])
+            out.append((tree, node, f, cut, depth, len(inside)))
+            waiting.append((2 * node + 2, depth + 1, inside[~left]))
+            waiting.append((2 * node + 1, depth + 1, inside[left]))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+        names = ["tree", "node", "feature", "threshold", "depth", "size"]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return grow
 
 
+def _row(features: list[str]):
+    """The model columns as one array, missing values 0."""
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+
+
 def fit_nodes(df: DataFrame, features: list[str], key: str, trees: int = S.TREES,
               rows_per_tree: int = S.ROWS_PER_TREE, seed: int = S.SEED,
               total: int | None = None) -> DataFrame:
     """The forest's node table: at most ``trees * (2 * rows_per_tree - 1)`` rows."""
     check_no_address_columns(features)
     depth_limit = max(1, math.ceil(math.log2(max(rows_per_tree, 2))))
-    filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    sample = sample_per_tree(filled, key, trees, rows_per_tree, seed, total)
-
-    return sample.select("tree", "_place", *features).groupBy("tree").applyInPandas(
-        _grower(features, depth_limit, seed), NODE_SCHEMA)
+    packed = df.select(key, _row(features).alias("x"))
+    sample = sample_per_tree(packed, key, trees, rows_per_tree, seed, total)
+    return sample.select("tree", "_place", "x").groupBy("tree").applyInArrow(
+        _grower(len(features), depth_limit, seed), NODE_SCHEMA)
 
 
 def _pack(nodes: pd.DataFrame):
@@ -148,12 +156,14 @@ def score_samples(df: DataFrame, nodes: DataFrame, features: list[str],
     model = df.sparkSession.sparkContext.broadcast(_pack(nodes.toPandas()))
     norm = float(average_path(rows_per_tree))
 
-    def descend(*columns: pd.Series) -> pd.Series:
+    columns = len(features)
+
+    def descend(rows: pa.Array) -> pa.Array:
         feature, cut, path, depth = model.value
         trees, width = feature.shape
         start = (np.arange(trees, dtype=np.int64) * width)[:, None]
         cuts, paths = cut.ravel(), path.ravel()
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
         out = np.empty(len(x))
         # All trees at once for a few hundred rows keeps the work inside the cache.
         for low in range(0, len(x), CHUNK):
@@ -173,10 +183,10 @@ def score_samples(df: DataFrame, nodes: DataFrame, features: list[str],
                 node += right
             node += start
             out[low:low + n] = paths.take(node).sum(axis=0)
-        return pd.Series(-np.exp2(-out / trees / norm))
+        return pa.array(-np.exp2(-out / trees / norm))
 
-    udf = F.pandas_udf(descend, "double")
-    return df.withColumn(out, udf(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))
+    descend.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    return df.withColumn(out, F.arrow_udf(descend, "double")(_row(features)))
 
 
 def apply_offset(df: DataFrame, offset: float, raw: str = "raw_score") -> DataFrame:

@@ -92,14 +92,20 @@ def exact_quantile(df: DataFrame, column: str, level: float) -> float | None:
     return a + (b - a) * (place - low)
 
 
-def quantiles(df: DataFrame, columns: list[str], levels: list[float]) -> dict[str, list[float | None]]:
+def domain_sizes(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """About how many distinct values each column has; one pass."""
+    return df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
+
+
+def quantiles(df: DataFrame, columns: list[str], levels: list[float],
+              sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns.
 
     Columns with a small domain (ports, lengths, hop counts) share one pass of
     the built-in exact aggregate, which keeps one entry per distinct value.
     Others go through :func:`exact_quantile`.
     """
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    sizes = sizes or domain_sizes(df, columns)
     small = [c for c in columns if sizes[c] <= SMALL_DOMAIN]
     out: dict[str, list[float | None]] = {}
     if small:

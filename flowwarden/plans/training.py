@@ -15,7 +15,7 @@ from flowwarden.operators import evaluate as V
 from flowwarden.operators import features as X
 from flowwarden.operators import forest as M
 from flowwarden.plans.ranking import exact_quantile
-from flowwarden.plans.storage import materialize, spread_small
+from flowwarden.plans.storage import materialize
 
 
 @dataclass
@@ -101,7 +101,7 @@ def train(df: DataFrame, key: str = "event_id", ts: str = "@timestamp", **params
     """Check, clean, derive features, fit, score and evaluate against the block label."""
     if not C.is_valid(df):
         raise ValueError("no rows to train on")
-    cleaned = materialize(spread_small(C.clean(df, ts), df.count()), "cleaned")
+    cleaned = C.clean(df, ts)
     model, scored = fit(V.derive_label(cleaned), key, ts, keep=["label"], **params)
     judged = scored.withColumn("predicted", (F.col("prediction") == -1).cast("int"))
     return model, judged, evaluation_record(judged)
