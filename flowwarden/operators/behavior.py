@@ -1,10 +1,11 @@
 """What each source address did in each sliding window.
 
-Rows are first summed per (slide interval, source, destination, port) and only
-those sums are repeated for the windows they fall in.  Everything kept is a sum
-that adds up exactly, so the result equals aggregating the rows themselves, the
-repetition happens after the map-side combine, and a source holding a large
-share of the rows is spread over its destinations.
+Sums are taken per slide interval first and only those are repeated for the
+windows they fall in, so the repetition comes after the map-side combine.  All
+of them add up exactly (integers), so the result equals aggregating the rows.
+Distinct destinations are counted from the (interval, source, destination,
+port) combinations, which spreads a source holding a large share of the rows
+over its destinations.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from flowwarden.functions import detect as D
 from flowwarden.plans.ranking import running_sums
 
 WIDE = "decimal(20,0)"
+MEASURED = ["src_port", "dst_port", "length", "ttl", "data_length"]
+SPREAD = ["dst_port", "length"]
 FIRST_ROW = ["proto_name", "dir", "reason", "tcp_flags", "tcp_window"]
 
 
@@ -32,19 +35,19 @@ def _count(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
-def _flow_sums(first_row: bool, order: list[str]) -> list[Column]:
+def _sums(first_row: bool, order: list[str]) -> list[Column]:
     c = F.col
     sums = [F.count("*").alias("n")]
     sums += [_count(c("action") == a).alias(f"n_{a}") for a in ("block", "pass")]
     sums += [_count(c("proto_name") == p).alias(f"n_{p}") for p in ("tcp", "udp", "icmp")]
-    for name in ("src_port", "length", "ttl", "data_length"):
+    sums.append(_count(c("dst_port").isin(S.HIGH_RISK_PORTS)).alias("n_risk"))
+    for name in MEASURED:
         value = c(name).cast("bigint")
         sums += [F.sum(value).alias(f"s_{name}"), F.count(value).alias(f"c_{name}")]
-    sums.append(F.sum(c("length").cast("bigint") * c("length").cast("bigint")).alias("q_length"))
+        if name in SPREAD:
+            sums.append(F.sum(value * value).alias(f"q_{name}"))
     if first_row:
-        sums.append(
-            F.min_by(F.struct(*FIRST_ROW), F.struct(*order)).alias("first_row")
-        )
+        sums.append(F.min_by(F.struct(*FIRST_ROW), F.struct(*order)).alias("first_row"))
         sums.append(F.min(F.struct(*order)).alias("first_at"))
     return sums
 
@@ -56,37 +59,26 @@ def _sample_std(n: Column, total: Column, squares: Column) -> Column:
 
 
 def _behaviour(seconds: float, first_row: bool) -> list[Column]:
-    c = F.col
     n = F.sum("n")
-    port_n = F.sum(F.when(c("dst_port").isNotNull(), c("n")))
-    port = c("dst_port").cast("bigint")
-    port_sum = F.sum((port * c("n")).cast(WIDE))
-    port_squares = F.sum((port * port * c("n")).cast(WIDE))
-    len_n, len_sum = F.sum("c_length"), F.sum(c("s_length").cast(WIDE))
 
     def ratio(name: str) -> Column:
-        return F.sum(name) / n
+        return F.sum(f"n_{name}") / n
 
     def mean(name: str) -> Column:
         return F.try_divide(F.sum(f"s_{name}").cast("double"), F.sum(f"c_{name}"))
 
+    def deviation(name: str) -> Column:
+        return _sample_std(*[F.sum(F.col(f"{k}_{name}").cast(WIDE)) for k in "csq"])
+
     out = [
         n.alias("total_connections"),
-        F.count_distinct("dst_ip").alias("unique_dst_ips"),
-        F.count_distinct("dst_port").alias("unique_dst_ports"),
-        ratio("n_block").alias("block_ratio"),
-        ratio("n_pass").alias("pass_ratio"),
-        mean("src_port").alias("avg_src_port"),
-        F.try_divide(port_sum.cast("double"), port_n).alias("avg_dst_port"),
-        _sample_std(port_n.cast(WIDE), port_sum, port_squares).alias("dst_port_diversity"),
-        (F.sum(F.when(c("dst_port").isin(S.HIGH_RISK_PORTS), c("n")).otherwise(0)) / n)
-        .alias("high_risk_port_ratio"),
-        ratio("n_tcp").alias("tcp_ratio"),
-        ratio("n_udp").alias("udp_ratio"),
-        ratio("n_icmp").alias("icmp_ratio"),
-        mean("length").alias("avg_packet_length"),
-        _sample_std(len_n.cast(WIDE), len_sum, F.sum(c("q_length").cast(WIDE)))
-        .alias("packet_length_std"),
+        ratio("block").alias("block_ratio"), ratio("pass").alias("pass_ratio"),
+        mean("src_port").alias("avg_src_port"), mean("dst_port").alias("avg_dst_port"),
+        deviation("dst_port").alias("dst_port_diversity"),
+        ratio("risk").alias("high_risk_port_ratio"),
+        ratio("tcp").alias("tcp_ratio"), ratio("udp").alias("udp_ratio"),
+        ratio("icmp").alias("icmp_ratio"),
+        mean("length").alias("avg_packet_length"), deviation("length").alias("packet_length_std"),
         mean("ttl").alias("avg_ttl"),
         (n / F.lit(float(seconds))).alias("connection_rate"),
     ]
@@ -98,6 +90,25 @@ def _behaviour(seconds: float, first_row: bool) -> list[Column]:
     return out
 
 
+def _in_windows(panes: DataFrame, size: int, slide: int) -> DataFrame:
+    """Each interval once for every window it belongs to."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(size // slide - 1)))
+    step = F.make_dt_interval(secs=F.col("back") * F.lit(slide).cast("decimal(18,6)"))
+    return panes.withColumn("back", back).withColumn(
+        "window_start", F.col("pane") - step).drop("pane", "back")
+
+
+def _assemble(sums: DataFrame, pairs: DataFrame, keys: list[str], seconds: float,
+              first_row: bool) -> DataFrame:
+    """Both parts end up partitioned by the keys, so joining them moves nothing."""
+    totals = sums.groupBy(*keys).agg(*_behaviour(seconds, first_row))
+    distinct = pairs.groupBy(*keys).agg(
+        F.count_distinct("dst_ip").alias("unique_dst_ips"),
+        F.count_distinct("dst_port").alias("unique_dst_ports"),
+    )
+    return totals.join(distinct, keys)
+
+
 def ip_behavior(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECONDS,
                 slide: int = S.SLIDE_SECONDS, first_row: bool = False,
                 order: list[str] | None = None) -> DataFrame:
@@ -108,26 +119,21 @@ def ip_behavior(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECO
     """
     if size % slide:
         raise ValueError("the window size must be a multiple of the slide")
-    pane = F.window(F.col(ts), f"{slide} seconds")["start"]
-    flows = event_time(df, ts).groupBy(
-        pane.alias("pane"), "src_ip", "dst_ip", "dst_port"
-    ).agg(*_flow_sums(first_row, order or [ts]))
-    repeated = flows.withColumn(
-        "back", F.explode(F.sequence(F.lit(0), F.lit(size // slide - 1)))
-    ).withColumn(
-        "window_start", F.col("pane") - F.make_dt_interval(secs=F.col("back") * F.lit(slide).cast("decimal(18,6)"))
-    )
-    return repeated.groupBy("window_start", "src_ip").agg(*_behaviour(size, first_row)).withColumn(
-        "window_end", F.col("window_start") + F.make_dt_interval(secs=F.lit(size).cast("decimal(18,6)"))
-    )
+    rows = event_time(df, ts).withColumn("pane", F.window(F.col(ts), f"{slide} seconds")["start"])
+    sums = rows.groupBy("pane", "src_ip").agg(*_sums(first_row, order or [ts]))
+    pairs = rows.select("pane", "src_ip", "dst_ip", "dst_port").distinct()
+    joined = _assemble(_in_windows(sums, size, slide), _in_windows(pairs, size, slide),
+                       ["window_start", "src_ip"], size, first_row)
+    return joined.withColumn("window_end", F.col("window_start") + F.make_dt_interval(
+        secs=F.lit(size).cast("decimal(18,6)")))
 
 
 def ip_behavior_global(df: DataFrame, seconds: float, ts: str = "@timestamp") -> DataFrame:
     """The same columns per source over the whole table."""
-    flows = event_time(df, ts).groupBy("src_ip", "dst_ip", "dst_port").agg(
-        *_flow_sums(False, [])
-    )
-    return flows.groupBy("src_ip").agg(*_behaviour(seconds, False))
+    rows = event_time(df, ts)
+    sums = rows.groupBy("src_ip").agg(*_sums(False, []))
+    pairs = rows.select("src_ip", "dst_ip", "dst_port").distinct()
+    return _assemble(sums, pairs, ["src_ip"], seconds, False)
 
 
 def window_counts(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECONDS,
