@@ -142,15 +142,14 @@ def score_histogram(df: DataFrame, score: str = "anomaly_score", bins: int = 50,
         F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("low"),
         F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("high"),
     )
-    # One row per group: two numbers each.
-    ranges = {r[by] if by else None: (r.low, r.high) for r in edges.collect()}
-    low = F.lit(None).cast("double")
-    high = F.lit(None).cast("double")
-    for k, (a, b) in ranges.items():
-        mine = F.lit(True) if by is None else F.col(by).eqNullSafe(F.lit(k))
-        low, high = F.when(mine, F.lit(a)).otherwise(low), F.when(mine, F.lit(b)).otherwise(high)
+    if by:
+        placed = rows.join(edges, by)
+        low, high = F.col("low"), F.col("high")
+    else:
+        placed = rows
+        low, high = edges.select("low").scalar(), edges.select("high").scalar()
     place = F.floor((F.col("s") - low) / (high - low) * bins)
-    counts = rows.groupBy(*keys, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
+    counts = placed.groupBy(*keys, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count("*").alias("n"))
     grid = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("high") - F.col("low")) / bins

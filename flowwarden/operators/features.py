@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -11,8 +13,12 @@ from pyspark.sql import types as T
 
 from flowwarden import schema as S
 from flowwarden.functions import features as X
+from flowwarden.plans.joins import is_small
+from flowwarden.plans.ranking import sorted_places
+from flowwarden.plans.storage import materialize
 
 MAX_LITERAL_VOCABULARY = 1_000
+MAX_SORTED_AT_ONCE = 1_000_000
 UNKNOWN = "unknown"
 
 
@@ -60,12 +66,22 @@ def add_all(df: DataFrame, ts: str = "@timestamp") -> DataFrame:
 
 
 def fit_vocabulary(df: DataFrame, columns=S.ENCODED_COLUMNS) -> DataFrame:
-    """``(column_name, value, code)``: the place of each value among its column's sorted values."""
+    """``(column_name, value, code)``: the place of each value among its column's sorted values.
+
+    The distinct values are written once; up to a checked number of them are
+    ranked by one window, more by sorted parts.
+    """
     cols = [c for c in columns if c in df.columns]
     values = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)).alias(c) for c in cols])
-    distinct = values.unpivot([], cols, "column_name", "value").distinct()
-    place = F.row_number().over(W.partitionBy("column_name").orderBy("value"))
-    return distinct.withColumn("code", (place - 1).cast("int"))
+    distinct = materialize(
+        values.unpivot([], cols, "column_name", "value").distinct(), "values")
+    if is_small(distinct, MAX_SORTED_AT_ONCE):
+        place = F.row_number().over(W.partitionBy("column_name").orderBy("value"))
+        return distinct.withColumn("code", (place - 1).cast("int"))
+    parts = [
+        sorted_places(distinct.filter(F.col("column_name") == c), "value", "code") for c in cols
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("code", F.col("code").cast("int"))
 
 
 def encode(df: DataFrame, vocabulary: DataFrame) -> DataFrame:

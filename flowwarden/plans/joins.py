@@ -31,7 +31,9 @@ def checked_left_join(left: DataFrame, table: DataFrame, keys: list[tuple[str, s
         condition = condition & extra
     if is_small(table, max_rows):
         return left.join(F.broadcast(table), condition, "left")
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    # The partition number is part of the salt, so equal copies of a row are spread too.
+    salt = F.hash(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id())
+    spread = left.withColumn("_salt", F.pmod(salt, F.lit(salts)))
     repeated = table.withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )

@@ -16,7 +16,7 @@ SMALL_DOMAIN = 100_000
 SKETCH = 10_000
 
 
-def _cut_index(value: Column, points: list[float], low: int = 0) -> Column:
+def _cut_index(value: Column, points: list, low: int = 0) -> Column:
     """Number of cut points at or below the value, as a balanced tree of comparisons."""
     if not points:
         return F.lit(low)
@@ -26,16 +26,20 @@ def _cut_index(value: Column, points: list[float], low: int = 0) -> Column:
     ).otherwise(_cut_index(value, points[mid + 1:], low + mid + 1))
 
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, str], cuts: int = CUTS) -> DataFrame:
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], cuts: int = CUTS,
+                 points: list | None = None) -> DataFrame:
     """Add, for each ``{output: input}``, the sum of the input up to and including the row.
 
-    ``order`` must be numeric and unique per row (aggregate first), so a value
-    that is very frequent is one row here.  The cut points are one small array.
+    ``order`` must be unique per row (aggregate first), so a value that is very
+    frequent is one row here.  A numeric column is cut at its own quantiles;
+    for others pass the cut ``points``.  They are one small array.
     """
-    levels = [(i + 1) / cuts for i in range(cuts - 1)]
-    points = df.agg(F.percentile_approx(F.col(order).cast("double"), levels, 10_000)).first()[0]
-    distinct = sorted(set(points or []))
-    marked = df.withColumn("_cut", _cut_index(F.col(order).cast("double"), distinct))
+    at = F.col(order)
+    if points is None:
+        at = at.cast("double")
+        levels = [(i + 1) / cuts for i in range(cuts - 1)]
+        points = df.agg(F.percentile_approx(at, levels, 10_000)).first()[0]
+    marked = df.withColumn("_cut", _cut_index(at, sorted(set(points or []))))
     inner = W.partitionBy("_cut").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = marked.withColumns({out: F.sum(col).over(inner) for out, col in sums.items()})
     # At most `cuts` rows from here on, so one task and a broadcast are safe.
@@ -53,6 +57,18 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], cuts: int = CU
     ).drop("_cut", "_cut_at", *[f"_{out}" for out in sums])
 
 
+def sorted_places(df: DataFrame, column: str, out: str, cuts: int = CUTS) -> DataFrame:
+    """Place of each distinct text value in sorted order, from 0.
+
+    The cut points are the values with the smallest hashes: a fair sample of
+    bounded size.
+    """
+    sample = df.orderBy(F.xxhash64(column), column).limit(cuts - 1).collect()
+    ranked = running_sums(df.withColumn("_one", F.lit(1)), column, {out: "_one"},
+                          points=[r[column] for r in sample])
+    return ranked.withColumn(out, F.col(out) - 1).drop("_one")
+
+
 def _by_running_sums(df: DataFrame, low: int, high: int) -> tuple[float, float]:
     """The values at two ranks, from the counts per value and their running sums."""
     counts = df.groupBy("v").agg(F.count("*").alias("n"))

@@ -66,6 +66,13 @@ def test_large_vocabulary_is_joined(spark, monkeypatch):
     assert rows_of(literal) == rows_of(X.encode(df, vocabulary).select(*names))
 
 
+def test_large_vocabulary_is_ranked_in_parts(spark, monkeypatch):
+    df = spark.range(3000).select(F.concat(F.lit("v"), F.col("id") % 700).alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    want = rows_of(X.fit_vocabulary(df, ["a", "b"]))
+    monkeypatch.setattr(X, "MAX_SORTED_AT_ONCE", 5)
+    assert rows_of(X.fit_vocabulary(df, ["a", "b"])) == want
+
+
 def test_behaviour_of_a_hot_source(spark):
     """One source holds most rows; the result equals counting by hand."""
     rng = random.Random(5)
