@@ -13,7 +13,7 @@ from flowwarden.functions import parsing as G
 from flowwarden.operators import clean as C
 from flowwarden.operators import enrich as N
 from flowwarden.operators import parse as P
-from flowwarden.plans.storage import new_path
+from flowwarden.plans.storage import materialize, new_path
 from flowwarden.sources import readers, writers
 from flowwarden.streaming import jobs as J
 
@@ -52,7 +52,9 @@ def with_lines(body: str) -> str:
 
 
 def raw_lines(spark, sf):
-    return fw(spark, sf).selectExpr("event_id", f"{LINE_SQL.format(**SPARK_TIMES)} AS message")
+    """Stored raw lines, as a collector leaves them."""
+    return materialize(
+        fw(spark, sf).selectExpr("event_id", f"{LINE_SQL.format(**SPARK_TIMES)} AS message"), "raw")
 
 
 @query("parse_rfc5424", with_lines(f"""SELECT event_id, {', '.join(G.STRICT_GROUPS)},
@@ -136,7 +138,8 @@ def with_mixed(body: str) -> str:
 
 
 def mixed_lines(spark, sf):
-    return fw(spark, sf).selectExpr("event_id", f"{MIXED_SQL.format(**SPARK_TIMES)} AS message")
+    return materialize(
+        fw(spark, sf).selectExpr("event_id", f"{MIXED_SQL.format(**SPARK_TIMES)} AS message"), "mixed")
 
 
 def headed(spark, sf):
