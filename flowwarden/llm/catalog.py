@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import exact, lines, mixing
+from flowwarden.llm import bpe, exact, language, lines, mixing
 from flowwarden.llm.text import text_of
 from flowwarden.plans.session import tune
 
@@ -114,3 +115,34 @@ def op10(spark, sf_dir):
     found = mixed(documents(spark, sf_dir))
     return found.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"),
                         F.col("mix_source").alias("source"), "n_tokens", "copies", "tokens_used")
+
+
+def fold(every: int):
+    """The remainder that tells held-out rows from training rows."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(every))
+
+
+def language_model(docs: DataFrame) -> language.Centroids:
+    return language.fit(docs.where(fold(3) != 1))
+
+
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes."""
+    vocabulary = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return bpe.decode(ids, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf_dir):
+    return encoded(documents(spark, sf_dir))
