@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import bpe, exact, language, lines, mixing
+from flowwarden.llm import bpe, exact, fingerprint, language, lines, mixing
 from flowwarden.llm.text import text_of
 from flowwarden.plans.session import tune
 
@@ -146,3 +146,8 @@ def encoded(docs: DataFrame) -> DataFrame:
 @query("op7_byte_bpe")
 def op7(spark, sf_dir):
     return encoded(documents(spark, sf_dir))
+
+
+@query("op2_fingerprints")
+def op2(spark, sf_dir):
+    return fingerprint.edit_likeness(documents(spark, sf_dir))
