@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import bpe, exact, fingerprint, language, lines, mixing, substring
+from flowwarden.llm import bpe, exact, fingerprint, jaccard, language, lines, mixing, substring
 from flowwarden.llm.text import text_of
 from flowwarden.plans.session import tune
 
@@ -157,3 +157,8 @@ def op2(spark, sf_dir):
 def op8(spark, sf_dir):
     found = substring.substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_ngram_jaccard")
+def op1(spark, sf_dir):
+    return jaccard.jaccard_components(documents(spark, sf_dir))

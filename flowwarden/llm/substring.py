@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import partial
 
 import numpy as np
@@ -10,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowwarden.llm import sieve
 from flowwarden.llm.text import hash_words, materialize, mix64, text_of
 
 WINDOW = 35
 GRAM = 8
 CHUNK_WORDS = 2_000_000
-LEAST_BITS, MOST_BITS = 20, 30
 
 
 def _doubled(words: np.ndarray, size: int) -> dict[int, np.ndarray]:
@@ -95,34 +94,16 @@ def _anchors(batches, text_col: str, window: int, gram: int):
         yield flush()
 
 
-def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return mix64(hashes ^ np.uint64(0xA5A5)) >> np.uint64(64 - bits)
-
-
-def _slots(batches, bits: int):
-    for batch in batches:
-        slot = _slot(batch.column("anchor").to_numpy().view(np.uint64), bits)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((slot & np.uint64(63)).astype(np.int32))], ["place", "bit"])
-
-
 def anchor_filter(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, int]:
     """Which anchors occur more than once in the table, as a bit table, and the logarithm of its size.
 
-    Anchors are counted exactly, over all rows.  The table has about 16 bits per
-    repeated anchor, at most 2 ** 30 (128 MB).  A wrong hit only lets further
+    Anchors are counted exactly, over all rows.  A wrong hit only lets further
     windows through to their exact count, so the table's size never changes a result.
     """
     found = docs.select(text_of(text_col).alias("text")).mapInArrow(
         partial(_anchors, text_col="text", window=window, gram=gram), "anchor long, n int")
     repeated = materialize(found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
-    n = repeated.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-    slots = repeated.mapInArrow(partial(_slots, bits=bits), "place long, bit int")
-    got = slots.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[got.column("place").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return table, bits
+    return sieve.build(repeated)
 
 
 def _candidates(batches, shared, bits: int, window: int, gram: int):
@@ -164,8 +145,7 @@ def _candidates(batches, shared, bits: int, window: int, gram: int):
         kind = batch.schema.field("id").type
         for i, text in enumerate(batch.column("text")):
             _, least, own = seeds(hash_words(text.as_py().encode("utf-8")), window, gram)
-            slot = _slot(least, bits)
-            hit = np.flatnonzero((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+            hit = np.flatnonzero(sieve.hits(table, bits, least))
             if len(hit):
                 wins.append(own[hit])
                 docs.append(np.full(len(hit), len(ids)))
