@@ -10,6 +10,7 @@ from functools import partial
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -185,7 +186,7 @@ def _pieces(vocabulary: Vocabulary) -> Pieces:
 def _slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows that hold about ``most`` bytes."""
     begin = held = 0
-    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
         held += n
         if held >= most:
             yield begin, i + 1 - begin
