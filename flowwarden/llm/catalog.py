@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import bpe, exact, fingerprint, jaccard, language, lines, mixing, substring
+from flowwarden.llm import bpe, exact, fingerprint, jaccard, language, lines, mixing, substring, toxicity
 from flowwarden.llm.text import text_of
 from flowwarden.plans.session import tune
 
@@ -162,3 +162,11 @@ def op8(spark, sf_dir):
 @query("op1_ngram_jaccard")
 def op1(spark, sf_dir):
     return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(fold(4) != 2))
+    return toxicity.toxicity(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")

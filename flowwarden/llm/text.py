@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowwarden.plans.storage import materialize
 
-__all__ = ["WORD", "materialize", "text_of", "word_count", "split_words", "hash_words", "mix64", "grams", "checked_broadcast"]
+__all__ = ["WORD", "materialize", "text_of", "word_count", "split_words", "hash_words", "NOT_WORD", "mix64", "grams", "checked_broadcast"]
 
 # A word is a run of anything but ASCII white space.  ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,19 +66,23 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[0][:n]
 
 
-def split_words(raw: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+# For callers that also cut at ASCII punctuation.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def split_words(raw: bytes, lower: bool = False, cut: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of a text, where its words start and where they end."""
     data = np.frombuffer(raw, dtype=np.uint8)
     if lower:
         data = _LOWER[data]
-    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    inside = np.concatenate([[False], ~cut[data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     return data, edge[0::2], edge[1::2]
 
 
-def hash_words(raw: bytes, lower: bool = False) -> np.ndarray:
+def hash_words(raw: bytes, lower: bool = False, cut: np.ndarray = _SPACE) -> np.ndarray:
     """A 64-bit hash of each word: sum of byte values times powers counted from the word's start."""
-    data, start, end = split_words(raw, lower)
+    data, start, end = split_words(raw, lower, cut)
     if not len(start):
         return np.zeros(0, np.uint64)
     length = end - start
@@ -87,7 +91,7 @@ def hash_words(raw: bytes, lower: bool = False) -> np.ndarray:
             np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(data)]])))
         longest = int(length.max())
         power = _powers(max(longest, 1))
-        value = np.where(_SPACE[data], np.uint64(0), _BYTE[data])
+        value = np.where(cut[data], np.uint64(0), _BYTE[data])
         value = value * power[np.minimum(place, longest - 1)]
         return mix64(np.add.reduceat(value, start) + length.astype(np.uint64) * _SPREAD)
 
