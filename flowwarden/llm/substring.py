@@ -160,11 +160,11 @@ def _candidates(batches, shared, bits: int, window: int, gram: int):
         yield flush()
 
 
-def _removed(batches, keep: list[str]):
+def _removed(batches, text_col: str, keep: list[str]):
     for batch in batches:
         kept, n_words, n_removed = [], [], []
-        for text, ranges in zip(batch.column("__text"), batch.column("__ranges")):
-            words = text.as_py().encode("utf-8").split()
+        for text, ranges in zip(batch.column(text_col), batch.column("__ranges")):
+            words = (text.as_py() or "").encode("utf-8").split()
             gone = 0
             if ranges.is_valid and len(ranges):
                 step = np.zeros(len(words) + 1, np.int64)
@@ -221,8 +221,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f.name for f in keep]
     found = repeats(docs, id_col, text_col, window, gram)
     text = text_of(text_col)
-    rows = docs.select(*[F.col(f"`{n}`") for n in names], text.alias("__text"), F.hash(text).alias("__h"))
+    rows = docs.select(*[F.col(f"`{n}`") for n in names], F.hash(text).alias("__h"))
     joined = rows.join(found, rows[f"`{id_col}`"].eqNullSafe(found["id"]) & (rows["__h"] == found["h"]), "left")
-    joined = joined.select(*[rows[f"`{n}`"] for n in names], "__text", F.col("ranges").alias("__ranges"))
+    joined = joined.select(*[rows[f"`{n}`"] for n in names], F.col("ranges").alias("__ranges"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "kept_text string", "n_words long", "n_removed long"])
-    return joined.mapInArrow(partial(_removed, keep=names), schema)
+    return joined.mapInArrow(partial(_removed, text_col=text_col, keep=names), schema)
