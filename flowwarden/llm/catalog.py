@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import bpe, exact, fingerprint, jaccard, language, lines, mixing, substring, toxicity
+from flowwarden.llm import bpe, exact, fingerprint, jaccard, language, lines, mixer, mixing, substring, toxicity
 from flowwarden.llm.text import text_of
 from flowwarden.plans.session import tune
 
@@ -170,3 +170,9 @@ def op4(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(fold(4) != 2))
     return toxicity.toxicity(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op6_lm_score")
+def op6(spark, sf_dir):
+    found = mixer.lm_scores(documents(spark, sf_dir).select("doc_id", "text"), fold(10) != 0)
+    return found.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
