@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-PIECES_KEPT = 300_000
+PIECES_KEPT = 150_000
 PAIRS_KEPT = 500_000
 BATCH_BYTES = 4 << 20
 
