@@ -16,6 +16,8 @@ from flowwarden.llm.text import grams, hash_words, materialize, mix64, text_of
 
 SHINGLE = 5
 PERCENT = 75
+COMMON_SHARE = 10
+KEYS_KEPT = 200_000
 CHUNK = 2_000_000
 BLOCK = 1 << 16
 LEAST_BITS, MOST_BITS = 20, 24
@@ -75,10 +77,20 @@ def _levels(batches):
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "level"])
 
 
+def common(n: int) -> int:
+    """How many shingles the prefixes of two sets share at least, if they are alike enough and the smaller has ``n``."""
+    return 1 + n // COMMON_SHARE
+
+
 def _prefix(own: np.ndarray, levels: np.ndarray, bits: int, percent: int) -> np.ndarray:
-    """The shingles of which a set that is alike enough must share one: the rarest, in one order for all texts."""
+    """The rarest shingles of a set, in one order for all texts.
+
+    A partner lacks at most n - ceil(percent * n / 100) of the n shingles.  With
+    ``common(n)`` more than that in the prefix, the prefixes of two such sets
+    share at least ``common`` of the smaller size.
+    """
     n = len(own)
-    keep = n - -(-percent * n // 100) + 1
+    keep = n - -(-percent * n // 100) + common(n)
     return own[np.lexsort((own, levels[_crowd_slot(own, bits)]))[:keep]]
 
 
@@ -108,23 +120,31 @@ def _prefix_counts(batches, shared, bits: int, size: int, percent: int):
 
 
 def _sets(batches, levels, table, bits: int, table_bits: int, size: int, percent: int):
-    """Of each distinct text that may have a partner: its possibly shared prefix and its whole set."""
+    """Of each text that may have a partner: its possibly shared prefix and its whole set.
+
+    Of texts with the same words, the first that a task meets speaks for all.
+    """
+    keys: set[bytes] = set()
     for batch in batches:
         node, n, prefix, blob = [], [], [], []
-        for id_, key, text in zip(batch.column("node").to_pylist(), batch.column("key").to_pylist(), batch.column("text")):
+        for id_, text in zip(batch.column("id").to_pylist(), batch.column("text")):
             raw = text.as_py().encode("utf-8")
-            if sequence_key(raw) != key:
+            key = sequence_key(raw)
+            if key in keys:
                 continue
+            if len(keys) >= KEYS_KEPT:
+                keys.clear()
+            keys.add(key)
             own = shingles(raw, size)
             first = _prefix(own, levels.value, bits, percent)
             first = first[sieve.hits(table.value, table_bits, first)]
-            if len(first):
+            if len(own) and len(first) >= common(-(-percent * len(own) // 100)):
                 node.append(id_)
                 n.append(len(own))
                 prefix.append(first.view(np.int64))
                 blob.append(own.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node, batch.schema.field("node").type), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(blob, pa.binary())],
+            [pa.array(node, batch.schema.field("id").type), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(blob, pa.binary())],
             ["node", "n", "prefix", "blob"])
 
 
@@ -158,9 +178,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
        texts are paired with the smallest of them only.  A text keeps the
        partner that it shares most prefix n-grams with, and is measured against
        it.  Texts linked to one partner form a star around it.
-    2. Product of the stars: stars that share a prefix n-gram are paired,
-       overlaps accumulated, pairs out of the size bounds discarded, and the
-       centres measured.
+    2. Product of the stars: stars that share prefix n-grams are paired,
+       overlaps accumulated, pairs out of the size bounds discarded (sizes too far
+       apart, or too small an overlap for the smaller size), and the centres measured.
     3. The Jaccard distance is a metric, so members of two stars can only be
        linked if the centres are no farther apart than the limit and their two
        distances together.  Such members are measured one by one, unless their
@@ -170,6 +190,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     post = sets.select("node", F.explode("prefix").alias("s"))
     heads = post.groupBy("s").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "head")
     shared = post.join(heads, "s").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("k"))
+    shared = shared.join(sets.select("node", "n"), "node").where(F.col("k") >= 1 + F.expr(f"((n * {percent} + 99) div 100) div {COMMON_SHARE}"))
     best = shared.groupBy("node").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
     stars = _measured(best.select(F.col("node").alias("a"), F.col("head").alias("b")), sets, percent, "stars")
     member = materialize(sets.select("node", "n").join(stars.where("linked").select(F.col("a").alias("node"), "b", "far"), "node", "left").select(
@@ -186,7 +207,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = (x.join(y, F.col("x.s") == F.col("y.s"))
              .where((F.col("x.star") < F.col("y.star")) & (F.col("x.part") != F.col("y.part"))
                     & (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least")))
-             .groupBy(F.col("x.star").alias("a"), F.col("y.star").alias("b")).agg(F.count(F.lit(1)).alias("k")))
+             .groupBy(F.col("x.star").alias("a"), F.col("y.star").alias("b"))
+             .agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x.least", "y.least")).alias("n"))
+             .where(F.col("k") >= 1 + F.expr(f"n div {COMMON_SHARE}")))
     centres = _measured(pairs.select("a", "b"), sets, percent, "centres")
     sure = stars.where("linked").select("a", "b").union(centres.where("linked").select("a", "b"))
 
@@ -247,9 +270,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated = materialize(counts.groupBy("s").agg(F.sum("n").alias("n")).where("n > 1").select("s"), "prefixes")
     held, held_bits = sieve.build(repeated)
     table = spark.sparkContext.broadcast(held)
-    whole = nodes.join(rows, nodes["node"] == rows["id"]).select("node", "key", "text")
-    sets = materialize(whole.mapInArrow(lambda b: _sets(b, order, table, bits, held_bits, size, percent),
-                                        f"node {kind}, n long, prefix array<long>, blob binary").dropDuplicates(["node", "blob"]), "sets")
+    sets = materialize(rows.where("id is not null").mapInArrow(
+        lambda b: _sets(b, order, table, bits, held_bits, size, percent), f"node {kind}, n long, prefix array<long>, blob binary"), "sets")
     parts = components(_links(sets, percent).union(
         texts.join(nodes, "key").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))))
     parts = parts.withColumnRenamed("node", "id")
