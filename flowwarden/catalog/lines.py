@@ -52,9 +52,7 @@ def with_lines(body: str) -> str:
 
 
 def raw_lines(spark, sf):
-    """Stored raw lines, as a collector leaves them."""
-    return materialize(
-        fw(spark, sf).selectExpr("event_id", f"{LINE_SQL.format(**SPARK_TIMES)} AS message"), "raw")
+    return fw(spark, sf).selectExpr("event_id", f"{LINE_SQL.format(**SPARK_TIMES)} AS message")
 
 
 @query("parse_rfc5424", with_lines(f"""SELECT event_id, {', '.join(G.STRICT_GROUPS)},
@@ -101,6 +99,36 @@ def parse_errors(spark, sf):
     return P.parse_errors(raw_lines(spark, sf))
 
 
+# ---- every line is accepted, of another version, or rejected ----
+ODD_SQL = f"""CASE event_id % 23 WHEN 1 THEN concat('junk ', chr(1), ' line') WHEN 2 THEN concat({LINE_SQL}, ',', chr(1))
+  WHEN 3 THEN concat({LINE_SQL}, chr(10), 'second, line') WHEN 4 THEN '' WHEN 5 THEN NULL
+  WHEN 6 THEN concat('<134>1 ', {{iso}}, '+00:00 fw1 filterlog 98188 - - 5,,,100') WHEN 7 THEN concat({LINE_SQL}, ',', chr(2), 'e')
+  WHEN 8 THEN concat(chr(1), {LINE_SQL}) ELSE {LINE_SQL} END"""
+_FITS = f"coalesce(regexp_matches(message, '{_duck(G.STRICT_HEADER)}'), false)"
+_WANTED = f"regexp_matches(message, '{_duck(G.STRICT_HEADER.removesuffix('(.*)') + G.IPV4_PAYLOAD)}')"
+
+
+@query("parse_accounting", with_fw(f""", odd AS (SELECT event_id, {ODD_SQL.format(**DUCK_TIMES)} AS message FROM fw),
+  told AS (SELECT event_id, message, CASE WHEN NOT {_FITS} THEN 'rejected' WHEN {_WANTED} THEN 'accepted' ELSE 'other version' END AS outcome FROM odd)
+SELECT outcome, {i8('count(*)')} AS n, {i8('sum(event_id)')} AS ids FROM told GROUP BY outcome
+UNION ALL SELECT 'input', {i8('count(*)')}, {i8('sum(event_id)')} FROM told
+UNION ALL SELECT 'last payload', {i8('count(*)')}, {i8("sum(length(regexp_extract(message, '" + _duck(G.STRICT_HEADER) + "', 6)))")} FROM told WHERE outcome = 'accepted'"""))
+def parse_accounting(spark, sf):
+    """Three outcomes that add up to the input, and the length of the accepted payloads."""
+    rows = fw(spark, sf).selectExpr("event_id", f"{ODD_SQL.format(**SPARK_TIMES)} AS message")
+    headed = P.parse_header(rows)
+    fits = headed.filter(~F.array_contains("tags", P.HEADER_FAILURE))
+    accepted = P.ipv4_only(fits)
+    other = fits.filter(~F.coalesce(F.col("payload").rlike(G.FIRST_LINE + "^" + G.IPV4_PAYLOAD), F.lit(False)))
+    parts = [("rejected", P.parse_errors(rows)), ("accepted", P.parse_lines(rows)), ("other version", other), ("input", rows)]
+    out = None
+    for name, part in parts:
+        one = part.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).select(F.lit(name).alias("outcome"), "n", "ids")
+        out = one if out is None else out.unionByName(one)
+    last = accepted.agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("ids"))
+    return out.unionByName(last.select(F.lit("last payload").alias("outcome"), "n", "ids"))
+
+
 # ---- mixed programs and header forms ----
 MIXED_SQL = """CASE event_id % 9
   WHEN 0 THEN concat('<134>1 ', {iso}, '+07:00 fw1 filterlog 98188 - - 5,,,100,em1,match,', action)
@@ -138,8 +166,7 @@ def with_mixed(body: str) -> str:
 
 
 def mixed_lines(spark, sf):
-    return materialize(
-        fw(spark, sf).selectExpr("event_id", f"{MIXED_SQL.format(**SPARK_TIMES)} AS message"), "mixed")
+    return fw(spark, sf).selectExpr("event_id", f"{MIXED_SQL.format(**SPARK_TIMES)} AS message")
 
 
 def headed(spark, sf):
@@ -319,6 +346,31 @@ def enrich_geo(spark, sf):
     return N.add_location(fw(spark, sf), nets).select("event_id", "src_ip", "source.*")
 
 
+# Destinations of every kind: outside, broadcast, multicast, link-local, inside.
+DEST_SQL = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '224.0.0.5' WHEN 1 THEN '0.0.0.0' WHEN 2 THEN 'fe80::1' WHEN 3 THEN dst_ip
+  ELSE src_ip END AS dst_ip FROM {fw}"""
+
+
+@query("enrich_hostname_dst", with_fw(f""", dst AS ({DEST_SQL.format(fw='fw')}), hosts AS ({HOST_SQL.format(customer='customer')})
+SELECT event_id, dst_ip, CASE WHEN {DST_SQL} = 'external_dest' THEN coalesce(h.hostname, dst_ip) END AS dst_hostname
+FROM dst LEFT JOIN (SELECT ip, min(hostname) AS hostname FROM hosts GROUP BY ip) h ON h.ip = dst_ip"""))
+def enrich_hostname_dst(spark, sf):
+    hosts = spark.sql(HOST_SQL, customer=load(spark, sf, "customer"))
+    return N.add_hostname(spark.sql(DEST_SQL, fw=fw(spark, sf)), hosts, "dst_ip", "dst_hostname", destination=True)
+
+
+@query("enrich_geo_dst", with_fw(f""", dst AS ({DEST_SQL.format(fw='fw')}), nets AS ({NET_SQL.format(nation='nation', region='region')}),
+ addr AS (SELECT event_id, dst_ip, CASE WHEN {DST_SQL} = 'external_dest' THEN
+   CAST(string_split(dst_ip, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(dst_ip, '.')[2] AS BIGINT) * 65536
+   + CAST(string_split(dst_ip, '.')[3] AS BIGINT) * 256 + CAST(string_split(dst_ip, '.')[4] AS BIGINT) END AS a FROM dst)
+SELECT event_id, dst_ip, country, city, {r6('lat')} AS lat, {r6('lon')} AS lon
+FROM addr LEFT JOIN nets ON a BETWEEN net_start AND net_end"""))
+def enrich_geo_dst(spark, sf):
+    nets = spark.sql(NET_SQL, nation=load(spark, sf, "nation"), region=load(spark, sf, "region"))
+    placed = N.add_location(spark.sql(DEST_SQL, fw=fw(spark, sf)), nets, "dst_ip", "destination", destination=True)
+    return placed.select("event_id", "dst_ip", "destination.*")
+
+
 # ---- sources and sinks ----
 EXPORT_SQL = f"""SELECT event_id, {stamp('ts')} AS "@timestamp",
   CASE WHEN event_id % 7 = 0 THEN concat(src_port, ',', src_port + 1) ELSE CAST(src_port AS VARCHAR) END AS src_port,
@@ -385,6 +437,17 @@ def fetch_stats(spark, sf):
     return readers.fetch_stats(rows, readers.fetch_after(rows, *CURSOR, S.FETCH_ROWS, ts="ts"), "ts")
 
 
+@query("fetch_stats_stream", with_fw(f"""SELECT {i8('count(*)')} AS total_fetched, {stamp('max(ts)')} AS checkpoint FROM fw"""))
+def fetch_stats_stream(spark, sf):
+    """Totals of a stream that reads one file per batch."""
+    path = new_path(spark, "totals")
+    rows = fw(spark, sf)
+    rows.repartition(5, "event_id").write.parquet(f"{path}/in")
+    stream = J.tail_table(spark, f"{path}/in", rows.schema, max_files=1)
+    J.count_batches(stream, f"{path}/counts", f"{path}/state", "ts").awaitTermination()
+    return J.stream_stats(spark, f"{path}/counts").select("total_fetched", "checkpoint")
+
+
 @query("daily_partition_counts", with_fw(f"""SELECT strftime(ts, '%Y-%m-%d') AS event_date, {i8('count(*)')} AS n,
   {i8('sum(length)')} AS bytes FROM fw GROUP BY ALL"""))
 def daily_partition_counts(spark, sf):

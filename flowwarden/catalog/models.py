@@ -15,7 +15,7 @@ from flowwarden.operators import forest as M
 from flowwarden.plans import detection as D
 from flowwarden.plans import training as Tr
 from flowwarden.plans.ranking import exact_quantile
-from flowwarden.plans.storage import materialize, new_path, spread_small
+from flowwarden.plans.storage import materialize, new_path
 from flowwarden.streaming import jobs as J
 
 # ---- a deterministic score, label and prediction per row ----
@@ -156,7 +156,7 @@ def toy_forest_scores(spark, sf):
 
 # ---- the trained forest ----
 def stored(spark, sf):
-    return materialize(spread_small(fw(spark, sf, "@timestamp")), "rows")
+    return materialize(fw(spark, sf, "@timestamp").repartition("event_id"), "rows")
 
 
 def feature_rows(spark, sf):
@@ -169,6 +169,60 @@ def iforest_nodes(spark, sf):
     return M.fit_nodes(feature_rows(spark, sf), Tr.model_columns(), "event_id")
 
 
+@query("iforest_tree_checks", f"""SELECT {i8('t')} AS tree, {i8('1')} AS all_rows_end_in_leaves, {i8('1')} AS binary_tree,
+  {i8('1')} AS within_depth, {i8('1')} AS within_rows FROM range({S.TREES}) r(t)""")
+def iforest_tree_checks(spark, sf):
+    """Every trained tree: leaves hold the root's rows, inner nodes have two children, limits hold."""
+    leaf = F.col("feature") < 0
+    kept = F.sum(F.when(leaf, F.col("size")).otherwise(0))
+    root = F.max(F.when(F.col("node") == 0, F.col("size")))
+    return iforest_nodes(spark, sf).groupBy("tree").agg(
+        (kept == root).alias("all_rows_end_in_leaves"),
+        (F.count("*") == 2 * F.sum(leaf.cast("int")) - 1).alias("binary_tree"),
+        (F.max("depth") <= 8).alias("within_depth"), (root <= S.ROWS_PER_TREE).alias("within_rows"))
+
+
+@query("iforest_score_checks", with_fw(f"SELECT event_id, {i8('1')} AS in_range, {i8('1')} AS agrees FROM fw"))
+def iforest_score_checks(spark, sf):
+    """Every row once, its score in range and its prediction the score's sign."""
+    c = F.col
+    return iforest_scores(spark, sf).select(
+        "event_id", c("anomaly_score").between(-1, 1).alias("in_range"),
+        (((c("prediction") == -1) == (c("anomaly_score") < 0)) & (c("is_anomaly") == (c("anomaly_score") < 0))).alias("agrees"))
+
+
+@query("train_model_checks", with_fw(f"""SELECT {i8('count(*)')} AS test_samples, {i8("count(*) FILTER (action = 'block')")} AS test_anomalies,
+  {i8(f'ceil((count(*) - 1) * {S.CONTAMINATION})')} AS below_threshold FROM fw"""))
+def train_model_checks(spark, sf):
+    """Rows and labels of the evaluation, and as many anomalies as lie below the interpolated quantile."""
+    return train_model(spark, sf).select(
+        "test_samples", "test_anomalies", F.col("predicted_anomalies").alias("below_threshold"))
+
+
+@query("model_roundtrip", with_fw(f"""SELECT {i8('count(*)')} AS n_samples, {i8(str(len(S.MODEL_FEATURES)))} AS n_features,
+  {i8(str(S.TREES))} AS n_estimators, {i8(f'least({S.ROWS_PER_TREE}, count(*))')} AS max_samples, {i8('count(*)')} AS equal_scores FROM fw"""))
+def model_roundtrip(spark, sf):
+    """A saved and reloaded model scores every row as before."""
+    rows = stored(spark, sf)
+    model, scored = Tr.fit(rows)
+    path = new_path(spark, "model")
+    model.save(path)
+    loaded = Tr.Model.load(spark, path)
+    again = Tr.score(rows, loaded, ["event_id"]).select("event_id", F.col("anomaly_score").alias("again"))
+    equal = scored.join(again, "event_id").filter(F.abs(F.col("anomaly_score") - F.col("again")) < 1e-12)
+    kept = ("n_samples", "n_features", "n_estimators", "max_samples")
+    return equal.agg(F.count("*").alias("equal_scores")).select(
+        *[F.lit(int(loaded.metadata[k])).alias(k) for k in kept], "equal_scores")
+
+
+@query("score_window_checks", with_fw(f""", {WINDOWS} SELECT {i8('count(*)')} AS n, {i8('sum(total_connections)')} AS connections
+  FROM (SELECT count(*) AS total_connections FROM win GROUP BY ws, src_ip HAVING count(*) >= {S.MIN_ROWS_PER_IP})"""))
+def score_window_checks(spark, sf):
+    """Every eligible window has a score."""
+    return score_windows(spark, sf).filter(F.col("anomaly_score").isNotNull()).agg(
+        F.count("*").alias("n"), F.sum("total_connections").alias("connections"))
+
+
 @query("iforest_scores")
 def iforest_scores(spark, sf):
     return Tr.fit(stored(spark, sf))[1]
@@ -195,7 +249,7 @@ def train_model(spark, sf):
 def iforest_scores_volume(spark, sf):
     rows = fw_volume(spark, sf, "@timestamp")
     keyed = rows.withColumn("row_key", F.xxhash64(*rows.columns))
-    return Tr.fit(materialize(spread_small(keyed), "rows"), "row_key")[1]
+    return Tr.fit(materialize(keyed.repartition("row_key"), "rows"), "row_key")[1]
 
 
 @query("score_windows")

@@ -26,7 +26,10 @@ WHOLE_LINE = "^.*?"  # put before a header that may start later in the line
 STRICT_GROUPS = ["syslog_pri", "log_time", "hostname", "program", "pid", "payload"]
 
 # The ninth payload field is the IP version.
-IPV4_PAYLOAD = r"(?:[^,]*,){8}\s*4\s*(?:,.*)?$"
+IPV4_PAYLOAD = r"(?:[^,\n]*,){8}[ \t]*4[ \t]*(?:[,\n]|$)"
+# A line feed ends what a header reads; the text after it stays in the raw line only.
+FIRST_LINE = "(?d)"
+REST = r"[\s\S]*"
 
 # Version, pid, message id and structured data may each be missing.
 RELAXED_HEADER = (
@@ -44,6 +47,7 @@ DHCP_FORMS = [
 ]
 VPN_FORM = rf"({IPV4}):(\d+) (.*)"
 LOG_TIME_ZONE = "Asia/Ho_Chi_Minh"
+MARK, ESCAPE = "\u0001", "\u0002"
 
 
 def capture(text: Column, pattern: str, group: int) -> Column:
@@ -54,17 +58,20 @@ def capture(text: Column, pattern: str, group: int) -> Column:
 def captures(text: Column, pattern: str, groups: int) -> Column:
     """All groups of a whole-line pattern as an array, from one pass of the pattern.
 
-    A line that does not fit gives an array with a single item.  The last group
-    may hold anything.
+    A line that does not fit gives an array with a single item.  The groups are
+    set apart by a mark, so a mark in the line itself is escaped first and put
+    back by :func:`captured`: no character of a line can look like a fit.
     """
-    mark = "\u0001"
-    joined = mark.join(f"${i + 1}" for i in range(groups))
-    return F.split(F.regexp_replace(text, pattern, joined), mark, groups)
+    escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(f"{ESCAPE}e")), F.lit(MARK), F.lit(f"{ESCAPE}m"))
+    joined = MARK.join(f"${i + 1}" for i in range(groups))
+    return F.split(F.regexp_replace(escaped, FIRST_LINE + pattern + REST, joined), MARK, groups)
 
 
 def captured(found: Column, index: int) -> Column:
     """One group of :func:`captures`, null when empty."""
-    return F.nullif(F.get(found, F.lit(index)), F.lit(""))
+    group = F.get(found, F.lit(index))
+    plain = F.replace(F.replace(group, F.lit(f"{ESCAPE}m"), F.lit(MARK)), F.lit(f"{ESCAPE}e"), F.lit(ESCAPE))
+    return F.nullif(F.when(F.contains(group, F.lit(ESCAPE)), plain).otherwise(group), F.lit(""))
 
 
 def payload_fields(payload: Column) -> Column:

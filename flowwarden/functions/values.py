@@ -16,9 +16,12 @@ def unwrap_array(values: Column) -> Column:
 
 
 def unwrap_json_text(text: Column) -> Column:
-    """Raw JSON text that is either a scalar or an array of scalars."""
+    """Raw JSON text that is either a scalar or an array of scalars.
+
+    Text that starts like an array but is none is a scalar.
+    """
     values = F.from_json(text, "array<string>")
-    return F.when(text.startswith("["), unwrap_array(values)).otherwise(text)
+    return F.when(text.startswith("[") & values.isNotNull(), unwrap_array(values)).otherwise(text)
 
 
 def single_or_all(values: Column) -> Column:

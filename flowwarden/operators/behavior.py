@@ -18,6 +18,7 @@ from flowwarden.functions import detect as D
 from flowwarden.plans.ranking import running_sums
 
 WIDE = "decimal(20,0)"
+WIDEST = "decimal(28,0)"
 MEASURED = ["src_port", "dst_port", "length", "ttl", "data_length"]
 SPREAD = ["dst_port", "length"]
 FIRST_ROW = ["proto_name", "dir", "reason", "tcp_flags", "tcp_window"]
@@ -45,7 +46,7 @@ def _sums(first_row: bool, order: list[str]) -> list[Column]:
         value = c(name).cast("bigint")
         sums += [F.sum(value).alias(f"s_{name}"), F.count(value).alias(f"c_{name}")]
         if name in SPREAD:
-            sums.append(F.sum(value * value).alias(f"q_{name}"))
+            sums.append(F.sum((value * value).cast(WIDE)).alias(f"q_{name}"))
     if first_row:
         sums.append(F.min_by(F.struct(*FIRST_ROW), F.struct(*order)).alias("first_row"))
         sums.append(F.min(F.struct(*order)).alias("first_at"))
@@ -68,7 +69,7 @@ def _behaviour(seconds: float, first_row: bool) -> list[Column]:
         return F.try_divide(F.sum(f"s_{name}").cast("double"), F.sum(f"c_{name}"))
 
     def deviation(name: str) -> Column:
-        return _sample_std(*[F.sum(F.col(f"{k}_{name}").cast(WIDE)) for k in "csq"])
+        return _sample_std(*[F.sum(F.col(f"{k}_{name}").cast(WIDE if k in "cs" else WIDEST)) for k in "csq"])
 
     out = [
         n.alias("total_connections"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.functions import enrich as E
@@ -66,16 +66,22 @@ def flow_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def _is_external(ip: str, destination: bool) -> Column:
+    """Sources and destinations have rules of their own for what is external."""
+    scope = E.destination_scope(F.col(ip)) if destination else E.source_scope(F.col(ip))
+    return F.coalesce(scope, F.lit("")) == ("external_dest" if destination else "external_source")
+
+
 def add_hostname(df: DataFrame, names: DataFrame, ip: str = "src_ip",
-                 out: str = "src_hostname", internal: bool = False) -> DataFrame:
+                 out: str = "src_hostname", internal: bool = False, destination: bool = False) -> DataFrame:
     """Host names of external addresses from a supplied ``ip, hostname`` table.
 
+    ``destination`` applies the destinations' rule: broadcast and multicast are not external.
+
     Addresses without an entry keep the address as their name; internal ones
     get null unless ``internal`` is set.
     """
-    external = F.col(ip).isNotNull() if internal else (
-        F.coalesce(E.source_scope(F.col(ip)), F.lit("")) == "external_source"
-    )
+    external = F.col(ip).isNotNull() if internal else _is_external(ip, destination)
     table = names.groupBy(F.col("ip").alias("_ip")).agg(F.min("hostname").alias("_name"))
     keyed = df.withColumn("_key", F.when(external, F.col(ip)))
     joined = checked_left_join(keyed, table, [("_key", "_ip")])
@@ -85,8 +91,8 @@ def add_hostname(df: DataFrame, names: DataFrame, ip: str = "src_ip",
 
 
 def add_location(df: DataFrame, networks: DataFrame, ip: str = "src_ip",
-                 out: str = "source", prefix_bits: int = 16) -> DataFrame:
-    """Location struct of external addresses by network range.
+                 out: str = "source", prefix_bits: int = 16, destination: bool = False) -> DataFrame:
+    """Location struct of external addresses by network range (``destination``: see :func:`add_hostname`).
 
     ``networks`` has ``net_start, net_end`` (numbers, inclusive, not overlapping)
     and ``country, city, lat, lon``.  Both sides are cut at the same address
@@ -99,7 +105,7 @@ def add_location(df: DataFrame, networks: DataFrame, ip: str = "src_ip",
         F.col("net_start").alias("_start"), F.col("net_end").alias("_end"),
         F.struct("country", "city", "lat", "lon").alias("_place"),
     )
-    external = F.coalesce(E.source_scope(F.col(ip)), F.lit("")) == "external_source"
+    external = _is_external(ip, destination)
     keyed = df.withColumn("_addr", F.when(external, E.ip_to_long(F.col(ip)))).withColumn(
         "_net", F.shiftright("_addr", shift)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowwarden.plans.joins import checked_left_join
 from flowwarden.plans.ranking import running_sums
 
 LEAK_NOTE = "the label is an input of the model; figures on the training rows are not a forecast"
@@ -143,7 +144,9 @@ def score_histogram(df: DataFrame, score: str = "anomaly_score", bins: int = 50,
         F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("high"),
     )
     if by:
-        placed = rows.join(edges, by)
+        # Groups are few (labels); beyond the bound the rows are salted, so no group meets in one task.
+        named = edges.withColumnRenamed(by, "_by")
+        placed = checked_left_join(rows.filter(F.col(by).isNotNull()), named, [(by, "_by")]).drop("_by")
         low, high = F.col("low"), F.col("high")
     else:
         placed = rows

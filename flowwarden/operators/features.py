@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from flowwarden import schema as S
 from flowwarden.functions import features as X
-from flowwarden.plans.joins import is_small
+from flowwarden.plans.joins import checked_left_join, is_small
 from flowwarden.plans.ranking import sorted_places
 from flowwarden.plans.storage import materialize
 
@@ -87,9 +87,12 @@ def fit_vocabulary(df: DataFrame, columns=S.ENCODED_COLUMNS) -> DataFrame:
 def encode(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``<column>_encoded`` by the fitted vocabulary; −1 for a value it lacks.
 
-    A vocabulary of checked small size becomes literals in the projection; a
-    larger one is joined column by column.
+    The encoded columns are those the vocabulary was fitted on.  A vocabulary of
+    checked small size becomes literals in the projection; of a larger one each
+    column's part is joined, by broadcast after a check of its size or salted.
     """
+    fitted = sorted(r[0] for r in vocabulary.select("column_name").distinct().collect())
+    names = [c for c in fitted if c in df.columns]
     entries = vocabulary.limit(MAX_LITERAL_VOCABULARY + 1).collect()
     if len(entries) <= MAX_LITERAL_VOCABULARY:
         known: dict[str, list[str]] = {}
@@ -99,15 +102,15 @@ def encode(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
             f"{c}_encoded": (F.array_position(
                 F.array(*[F.lit(v) for v in words]),
                 F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))) - 1).cast("int")
-            for c, words in known.items() if c in df.columns
+            for c, words in known.items() if c in names
         })
     out = df
-    for c in [c for c in S.ENCODED_COLUMNS if c in df.columns]:
+    for c in names:
         part = vocabulary.filter(F.col("column_name") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))
-        out = out.join(
-            part, F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) == F.col("_value"), "left"
-        ).withColumn(f"{c}_encoded", F.coalesce("_code", F.lit(-1))).drop("_value", "_code")
+        keyed = out.withColumn("_text", F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)))
+        out = checked_left_join(keyed, part, [("_text", "_value")]).withColumn(
+            f"{c}_encoded", F.coalesce("_code", F.lit(-1))).drop("_text", "_value", "_code")
     return out
 
 

@@ -39,6 +39,9 @@ def average_path(size) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, value))
 
 
+THINNING = 1 << 50
+
+
 def sample_per_tree(df: DataFrame, key: str, trees: int = S.TREES,
                     rows_per_tree: int = S.ROWS_PER_TREE, seed: int = S.SEED,
                     total: int | None = None) -> DataFrame:
@@ -59,7 +62,7 @@ def sample_per_tree(df: DataFrame, key: str, trees: int = S.TREES,
     rows = df
     if share < 1.0:
         rows = rows.filter(
-            F.pmod(F.xxhash64(k, F.lit(seed), F.lit("keep")), F.lit(1_000_000)) < int(share * 1_000_000) + 1
+            F.pmod(F.xxhash64(k, F.lit(seed), F.lit("keep")), F.lit(THINNING)) < int(share * THINNING) + 1
         )
     dealt = rows.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn(
         "tree",

@@ -57,7 +57,7 @@ def parse_header_relaxed(df: DataFrame, message: str = "message",
 
 def ipv4_only(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Keep payloads whose IP version is 4; a missing version drops the row."""
-    return df.filter(F.col(payload).rlike("^" + P.IPV4_PAYLOAD))
+    return df.filter(F.col(payload).rlike(P.FIRST_LINE + "^" + P.IPV4_PAYLOAD))
 
 
 def parse_filterlog(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -112,7 +112,7 @@ def parse_lines(df: DataFrame, message: str = "message") -> DataFrame:
     """Raw lines to accepted IPv4 rows: header, early filter, fields, time, types."""
     # One test on the raw line keeps good headers with version 4; a filter on the
     # captured fields would be pushed below them and run the pattern again.
-    wanted = P.STRICT_HEADER.removesuffix("(.*)") + P.IPV4_PAYLOAD
+    wanted = P.FIRST_LINE + P.STRICT_HEADER.removesuffix("(.*)") + P.IPV4_PAYLOAD
     headed = parse_header(df.filter(F.col(message).rlike(wanted)), message)
     rows = assign_time(convert_types(parse_filterlog(headed)))
     return drop_work_fields(rows).drop("tags")

@@ -13,11 +13,15 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset (local tests) a folder is made once per session.
+    Where that is unset a folder is made once per session, but only for a local
+    master, whose tasks all see it; elsewhere it raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="flowwarden-")
@@ -38,17 +42,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-SMALL_ROWS = 5_000_000
-
-
-def spread_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Use every core for a small table that is stored in few pieces.
-
-    Only tables of at most ``SMALL_ROWS`` rows are shuffled for this, so the
-    cost is bounded; larger ones keep the splits of their scan.
-    """
-    n = df.count() if rows is None else rows
-    if n > SMALL_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -53,6 +53,13 @@ def model_columns() -> list[str]:
     return X.allowed_features()
 
 
+def _check_keep(keep: list[str]) -> None:
+    """A kept column would be scaled, or read unscaled, if a model column had its name."""
+    both = sorted(set(keep) & set(model_columns()))
+    if both:
+        raise ValueError(f"rename the kept columns that are model columns too: {both}")
+
+
 def prepare_features(df: DataFrame, vocabulary: DataFrame, scaler: DataFrame, keep: list[str],
                      ts: str = "@timestamp") -> DataFrame:
     return X.scale(X.feature_table(df, vocabulary, keep, ts), scaler)
@@ -60,6 +67,7 @@ def prepare_features(df: DataFrame, vocabulary: DataFrame, scaler: DataFrame, ke
 
 def score(df: DataFrame, model: Model, keep: list[str], ts: str = "@timestamp") -> DataFrame:
     """Decision score and prediction per row, with the ``keep`` columns."""
+    _check_keep(keep)
     table = prepare_features(df, model.vocabulary, model.scaler, keep, ts)
     raw = M.score_samples(table, model.nodes, model_columns(), model.rows_per_tree)
     return M.apply_offset(raw, model.offset).select(
@@ -75,15 +83,18 @@ def fit(cleaned: DataFrame, key: str = "event_id", ts: str = "@timestamp",
     The scores are written once to the shared folder; the threshold, summary
     and evaluation all read that small table.
     """
+    _check_keep([key, *keep])
     started = time.time()
     columns = model_columns()
     vocabulary = materialize(X.fit_vocabulary(cleaned), "vocabulary")
     kept = list(dict.fromkeys([key, *keep]))
     table = X.feature_table(cleaned, vocabulary, kept, ts)
     scaler = materialize(X.fit_scaler(table, columns), "scaler")
-    scaled = X.scale(table, scaler) if not set(kept) & set(columns) else table
-    nodes = materialize(
-        M.fit_nodes(scaled, columns, key, trees, rows_per_tree, seed, cleaned.count()), "nodes")
+    scaled = X.scale(table, scaler)
+    total = cleaned.count()
+    # A tree cannot get more rows than there are; depth and expected path follow what it gets.
+    rows_per_tree = max(1, min(rows_per_tree, total))
+    nodes = materialize(M.fit_nodes(scaled, columns, key, trees, rows_per_tree, seed, total), "nodes")
     fitted = time.time()
     raw = materialize(
         M.score_samples(scaled, nodes, columns, rows_per_tree).select(*kept, "raw_score"), "scores")

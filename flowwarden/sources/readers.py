@@ -33,7 +33,8 @@ def flatten_hits(hits: DataFrame, names: list[str], text: str = "hit") -> DataFr
     out = []
     for n in names:
         value = F.col("_body")[n]
-        out.append(F.when(value.startswith("["), V.single_or_all(F.from_json(value, "array<string>")))
+        several = F.from_json(value, "array<string>")
+        out.append(F.when(value.startswith("[") & several.isNotNull(), V.single_or_all(several))
                    .otherwise(value).alias(n))
     return rows.select(*hits.columns, *out).drop(text)
 

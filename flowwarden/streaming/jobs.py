@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,9 @@ from flowwarden.operators import blocklist as L
 from flowwarden.operators import detect as D
 from flowwarden.plans.training import Model, score
 
-BLOCK_LOG_SCHEMA = T.StructType(
-    [*S.block_event_schema().fields, T.StructField("batch", T.IntegerType())])
+# Events by hand have no origin; a stream's events carry its query id and batch number.
+BLOCK_LOG_SCHEMA = T.StructType([
+    *S.block_event_schema().fields, T.StructField("origin", T.StringType()), T.StructField("batch", T.LongType())])
 
 
 def tail_lines(spark: SparkSession, folder: str, kind: str = "firewall",
@@ -49,18 +52,26 @@ def dedup_stream(df: DataFrame, columns: list[str] | None = None, ts: str = "@ti
 
 
 def behavior_stream(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECONDS,
-                    slide: int = S.SLIDE_SECONDS, delay: str | None = None) -> DataFrame:
+                    slide: int = S.SLIDE_SECONDS, delay: str | None = None,
+                    order: list[str] = ()) -> DataFrame:
     """The behaviour columns per window and source as a streaming aggregate.
 
+    The earliest row of a window stands for it; ``order`` breaks ties of time,
+    then the row's own values do.
+
     State per key is fixed in size: destinations are counted with a sketch,
     ports by the set of at most 65,536 values.
     """
     c = F.col
 
+    ties = [c(x) for x in [*order, *B.FIRST_ROW]]
+
     def share(condition):
         return F.avg(F.coalesce(condition, F.lit(False)).cast("int"))
 
-    rows = df.filter(c("src_ip").isNotNull()).withColumn(ts, c(ts).cast("timestamp"))
+    # A row without a time counts as arriving now, as in the batch operators.
+    now = F.coalesce(c(f"`{ts}`").cast("timestamp"), F.current_timestamp())
+    rows = df.filter(c("src_ip").isNotNull()).withColumn(ts, now)
     grouped = rows.withWatermark(f"`{ts}`", delay or f"{size} seconds").groupBy(
         F.window(c(ts), f"{size} seconds", f"{slide} seconds"), "src_ip")
     out = grouped.agg(
@@ -80,7 +91,7 @@ def behavior_stream(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_
         F.avg("ttl").alias("avg_ttl"),
         (F.count("*") / F.lit(float(size))).alias("connection_rate"),
         F.avg("data_length").alias("avg_data_length"),
-        F.min_by(F.struct(*B.FIRST_ROW), F.col(ts)).alias("first_row"),
+        F.min_by(F.struct(*B.FIRST_ROW), F.struct(F.col(f"`{ts}`"), *ties)).alias("first_row"),
     )
     return out.select(c("window.start").alias("window_start"), c("window.end").alias("window_end"),
                       *[x for x in out.columns if x != "window"])
@@ -106,6 +117,16 @@ def latest_windows(spark: SparkSession, path: str, keys=("window_start", "window
     return newest.select(*keys, "r.*")
 
 
+def read_block_log(spark: SparkSession, path: str) -> DataFrame:
+    """All block and unblock events: those appended by hand and those of streams."""
+    return spark.read.schema(BLOCK_LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a query keeps for the life of its checkpoint; a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_path: str,
                      checkpoint: str, min_rows: int = S.MIN_ROWS_PER_IP, once: bool = True,
                      seconds: int = S.SLIDE_SECONDS, **rules):
@@ -113,36 +134,58 @@ def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_p
 
     Blocked sources are left out by an anti join with the block table, so a
     source is not analysed again after its block.  ``block_path`` must hold a
-    table (an empty one is fine).
+    table (an empty one is fine); events may be appended to it by hand at any
+    time and count from the next batch on.
+
+    Every batch writes a folder named by query id and batch number, so a retry
+    replaces its own rows and a new checkpoint adds to the old ones.  Read the
+    detections with :func:`latest_detections`.
     """
     keys = ["window_start", "window_end", "src_ip", "total_connections"]
 
     def act(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        origin = _query_id(spark, checkpoint)
         # A retried batch must not see the blocks its first attempt appended.
-        events = spark.read.schema(BLOCK_LOG_SCHEMA).option("basePath", block_path).parquet(block_path).filter(
-            F.col("batch") < number)
+        own = F.coalesce((F.col("origin") == origin) & (F.col("batch") >= number), F.lit(False))
+        events = read_block_log(spark, block_path).filter(~own)
         blocks = L.current_blocks(events)
         chosen = B.eligible(batch, blocks, min_rows)
         scored = score(B.representative_row(chosen, "@timestamp"), model, keys)
-        found = D.detections(scored)
-        out = f"{found_path}/batch={number}"
+        stamp = {"origin": F.lit(origin), "batch": F.lit(number).cast("long")}
+        found = D.detections(scored).withColumns(stamp)
+        out = f"{found_path}/{origin}-{number}"
         found.write.mode("overwrite").parquet(out)
         kept = spark.read.schema(found.schema).parquet(out)
         wanted = D.block_decisions(kept, **rules).select(
             "ip", "severity", "reason", F.col("anomaly_score").alias("score"),
             F.col("timestamp").alias("event_at"))
-        L.block_events(events, wanted).write.mode("overwrite").parquet(f"{block_path}/batch={number}")
+        L.block_events(events, wanted).withColumns(stamp).write.mode("overwrite").parquet(f"{block_path}/{origin}-{number}")
 
     return _start(behavior, checkpoint, once, seconds).outputMode("update").foreachBatch(act).start()
 
 
-def stream_stats(query) -> dict:
-    """Rows so far, rows of the last batch and the watermark of a running query."""
-    progress = [p for p in query.recentProgress]
-    last = query.lastProgress
-    return {
-        "total_fetched": sum(p["numInputRows"] for p in progress),
-        "last_batch_size": last["numInputRows"] if last else 0,
-        "checkpoint": (last or {}).get("eventTime", {}).get("watermark"),
-    }
+def latest_detections(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The last detection of each source and window end; earlier updates of a window are left out."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    rows = (reader.schema(schema) if schema else reader).parquet(path)
+    fields = [c for c in rows.columns if c not in ("ip", "timestamp")]
+    newest = rows.groupBy("ip", "timestamp").agg(F.max_by(F.struct(*fields), F.struct("batch", "logs_count")).alias("r"))
+    return newest.select("ip", "timestamp", "r.*")
+
+
+def count_batches(df: DataFrame, path: str, checkpoint: str, ts: str = "@timestamp", once: bool = True,
+                  seconds: int = S.FETCH_SECONDS):
+    """Write the row count and newest time of every batch; a retried batch replaces its own row."""
+    def write(batch: DataFrame, number: int) -> None:
+        counted = batch.agg(F.count("*").alias("fetched"), F.max(f"`{ts}`").alias("newest"))
+        counted.withColumn("batch", F.lit(number).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return _start(df, checkpoint, once, seconds).outputMode("append").foreachBatch(write).start()
+
+
+def stream_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Rows fetched so far, rows of the last batch and the newest time, over all batches ever counted."""
+    counts = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return counts.agg(
+        F.sum("fetched").alias("total_fetched"), F.max_by("fetched", "batch").alias("last_batch_size"), F.max("newest").alias("checkpoint"))

@@ -20,11 +20,11 @@ from flowwarden.operators import forest as M
 from flowwarden.operators import parse as P
 from flowwarden.sources import readers, writers
 
-TCP = ("<134>1 2025-12-24T14:06:23.296102+07:00 fw1.example.net filterlog 98188 - - "
-       "63,,,1000001470,em1,match,block,in,4,0x0,,64,0,0,DF,6,tcp,40,192.168.81.132,34.36.137.203,"
-       "43020,443,0,A,,1150781315,2664,,")
-UDP = TCP.replace("6,tcp,40", "17,udp,40").replace("443,0,A,,1150781315,2664,,", "53,12")
-ICMP = TCP.replace("6,tcp,40", "1,icmp,40").replace("43020,443,0,A,,1150781315,2664,,", "request,7,9")
+TCP = ("<134>1 2024-03-05T18:30:00.250000+02:00 fw1.example.net filterlog 411 - - "
+       "12,,,1770000123,em1,match,block,in,4,0x0,,64,9,0,DF,6,tcp,52,192.0.2.10,198.51.100.20,"
+       "50001,8443,0,S,,77001,4096,,")
+UDP = TCP.replace("6,tcp,52", "17,udp,52").replace("8443,0,S,,77001,4096,,", "53,12")
+ICMP = TCP.replace("6,tcp,52", "1,icmp,52").replace("50001,8443,0,S,,77001,4096,,", "request,7,9")
 
 
 def lines(spark, *rows):
@@ -39,9 +39,9 @@ def column(spark, kind, values, rule):
 def test_parse_tcp_line(spark):
     r = P.parse_lines(lines(spark, TCP)).first()
     assert (r.src_ip, r.src_port, r.dst_port, r.tcp_flags, r.tcp_window) == (
-        "192.168.81.132", 43020, 443, "A", 2664)
-    assert r["@timestamp"] == dt.datetime(2025, 12, 24, 7, 6, 23, 296102)
-    assert r.tracker == 1000001470 and r.ttl == 64 and r.tos == "0x0" and r.ecn is None
+        "192.0.2.10", 50001, 8443, "S", 4096)
+    assert r["@timestamp"] == dt.datetime(2024, 3, 5, 16, 30, 0, 250000)
+    assert r.tracker == 1770000123 and r.ttl == 64 and r.tos == "0x0" and r.ecn is None
     parsed = P.parse_lines(lines(spark, TCP))
     declared = {f.name: f.dataType for f in S.filterlog_schema().fields}
     assert {f.name: f.dataType for f in parsed.schema.fields} == declared
@@ -49,7 +49,7 @@ def test_parse_tcp_line(spark):
 
 def test_ports_and_flags_only_where_the_protocol_has_them(spark):
     udp, icmp = P.parse_lines(lines(spark, UDP, ICMP)).orderBy(F.desc("proto_name")).collect()
-    assert (udp.src_port, udp.dst_port, udp.data_length, udp.tcp_flags) == (43020, 53, 12, None)
+    assert (udp.src_port, udp.dst_port, udp.data_length, udp.tcp_flags) == (50001, 53, 12, None)
     assert (icmp.src_port, icmp.dst_port, icmp.data_length, icmp.tcp_window) == (None, None, None, None)
 
 
@@ -61,8 +61,8 @@ def test_version_6_dropped_and_damaged_lines_set_aside(spark):
 
 
 def test_short_line_and_bad_numbers_give_nulls(spark):
-    short = TCP.split(",34.36")[0]
-    bad = TCP.replace(",43020,", ",x,")
+    short = TCP.split(",198.51")[0]
+    bad = TCP.replace(",50001,", ",x,")
     a, b = P.parse_lines(lines(spark, short, bad)).orderBy(F.col("dst_ip").asc_nulls_first()).collect()
     assert a.dst_ip is None and a.dst_port is None
     assert b.src_port is None and b.dst_port == 443
