@@ -134,9 +134,9 @@ MIXED_SQL = """CASE event_id % 9
   WHEN 0 THEN concat('<134>1 ', {iso}, '+07:00 fw1 filterlog 98188 - - 5,,,100,em1,match,', action)
   WHEN 1 THEN concat('<134>', {bsd}, ' fw1 filterlog[123]: 5,,,100,em1,match,', action)
   WHEN 2 THEN concat('<30>', {iso}, ' fw1 dhcpd - - DHCP', CASE event_id % 2 WHEN 0 THEN 'ACK on ' ELSE 'OFFER from ' END, src_ip, ' to 00:aa via em1')
-  WHEN 3 THEN concat('<30>', {bsd}, ' fw1 dhcpd: DHCPREQUEST for ', src_ip, ' from 00:aa via em1')
+  WHEN 3 THEN concat('<30>', {bsd}, ' fw1 dhcpd: DHCPREQUEST for ', CASE WHEN event_id % 5 = 0 THEN 'fe80::a1' ELSE src_ip END, ' from 00:11:22:33:44:55 via em1')
   WHEN 4 THEN concat('<30>', {bsd}, ' fw1 dhclient[77]: DHCPDISCOVER on em0 to ', dst_ip, ' port 67')
-  WHEN 5 THEN concat('<29>', {bsd}, ' fw1 openvpn[88]: ', src_ip, ':', CAST(src_port AS VARCHAR(10)), ' TLS handshake ', proto_name)
+  WHEN 5 THEN concat('<29>', {bsd}, ' fw1 openvpn[88]: ', CASE WHEN event_id % 5 = 0 THEN '2001:db8::1' ELSE src_ip END, ':', CAST(src_port AS VARCHAR(10)), ' TLS handshake ', proto_name)
   WHEN 6 THEN concat('<29>1 ', {iso}, 'Z fw1 openvpn-server 5 - - Initialization of ', proto_name, ' done')
   WHEN 7 THEN concat('<190>', {bsd}, ' fw1 ', CASE event_id % 2 WHEN 0 THEN 'nginx' ELSE 'php-fpm[9]' END, ': request from ', src_ip)
   ELSE CASE WHEN event_id % 2 = 0 THEN concat('no header ', proto_name) ELSE concat('<13>', {bsd}, ' fw1 sshd[5]: lease pool of ', src_ip) END END"""

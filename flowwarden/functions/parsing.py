@@ -19,6 +19,10 @@ ISO_TIME = (
 )
 BSD_TIME = r"[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+# Eight groups, or fewer around a double colon; six groups alone are a hardware address.
+_GROUP = "[0-9A-Fa-f]{1,4}"
+IPV6 = f"(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?)"
+ADDRESS = f"(?:{IPV6}|{IPV4})"
 
 # <pri>1 time host program pid - - rest
 STRICT_HEADER = rf"^<([1-9]\d*)>1 ({ISO_TIME}) ([0-9A-Za-z][0-9A-Za-z.-]*) (\w+) ([+-]?\d+) - - (.*)"
@@ -41,11 +45,11 @@ BSD_HEADER = rf"<([1-9]\d*)>({BSD_TIME}) (\S+) ([^\s\[:]+)(?:\[([1-9]\d*)\])?: (
 
 # Tried in this order; the first that fits wins.
 DHCP_FORMS = [
-    (rf"DHCP(\w+) (?:on|from) ({IPV4})", ["dhcp_action", "dhcp_ip"]),
-    (rf"DHCP(\w+) for ({IPV4})", ["dhcp_action", "dhcp_ip"]),
-    (rf"DHCP(\w+) on (\S+) to ({IPV4})", ["dhcp_action", "dhcp_interface", "dhcp_server"]),
+    (rf"DHCP(\w+) (?:on|from) ({ADDRESS})", ["dhcp_action", "dhcp_ip"]),
+    (rf"DHCP(\w+) for ({ADDRESS})", ["dhcp_action", "dhcp_ip"]),
+    (rf"DHCP(\w+) on (\S+) to ({ADDRESS})", ["dhcp_action", "dhcp_interface", "dhcp_server"]),
 ]
-VPN_FORM = rf"({IPV4}):(\d+) (.*)"
+VPN_FORM = rf"({ADDRESS}):(\d+) (.*)"
 LOG_TIME_ZONE = "Asia/Ho_Chi_Minh"
 MARK, ESCAPE = "\u0001", "\u0002"
 
