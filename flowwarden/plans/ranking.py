@@ -1,71 +1,50 @@
 """Exact running sums and quantiles over data of any size.
 
 A window without a partition key would put every row into one task.  Here the
-sort column is cut at a bounded number of points; sums run inside each cut and
-the totals of the cuts before it are added.
+rows are range-partitioned by the sort column into parts of about the same size,
+however many that takes; sums run inside each part and the totals of the parts
+before it are added.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CUTS = 128
+from flowwarden.plans.storage import materialize
+
+ROWS_PER_PART = 200_000
 SMALL_DOMAIN = 100_000
 SKETCH = 10_000
 
 
-def _cut_index(value: Column, points: list, low: int = 0) -> Column:
-    """Number of cut points at or below the value, as a balanced tree of comparisons."""
-    if not points:
-        return F.lit(low)
-    mid = len(points) // 2
-    return F.when(
-        value < points[mid], _cut_index(value, points[:mid], low)
-    ).otherwise(_cut_index(value, points[mid + 1:], low + mid + 1))
-
-
-def running_sums(df: DataFrame, order: str, sums: dict[str, str], cuts: int = CUTS,
-                 points: list | None = None) -> DataFrame:
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Add, for each ``{output: input}``, the sum of the input up to and including the row.
 
     ``order`` must be unique per row (aggregate first), so a value that is very
-    frequent is one row here.  A numeric column is cut at its own quantiles;
-    for others pass the cut ``points``.  They are one small array.
+    frequent is one row here.  The parts are stored with their number, so that
+    a recomputed task cannot cut them elsewhere.
     """
-    at = F.col(order)
-    if points is None:
-        at = at.cast("double")
-        levels = [(i + 1) / cuts for i in range(cuts - 1)]
-        points = df.agg(F.percentile_approx(at, levels, 10_000)).first()[0]
-    marked = df.withColumn("_cut", _cut_index(at, sorted(set(points or []))))
-    inner = W.partitionBy("_cut").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    stored = materialize(df, "unranked")
+    parts = max(1, -(-stored.count() // rows_per_part))
+    marked = materialize(stored.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranked")
+    inner = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = marked.withColumns({out: F.sum(col).over(inner) for out, col in sums.items()})
-    # At most `cuts` rows from here on, so one task and a broadcast are safe.
-    totals = marked.groupBy("_cut").agg(
-        *[F.sum(col).alias(f"_{out}") for out, col in sums.items()]
-    )
-    before = W.partitionBy(F.lit(0)).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    # One row per part from here on.
+    totals = marked.groupBy("_part").agg(*[F.sum(col).alias(f"_{out}") for out, col in sums.items()])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        F.col("_cut").alias("_cut_at"),
-        *[F.coalesce(F.sum(f"_{out}").over(before), F.lit(0)).alias(f"_{out}") for out in sums],
-    )
-    joined = local.join(F.broadcast(offsets), F.col("_cut") == F.col("_cut_at"))
-    return joined.withColumns(
-        {out: F.col(out) + F.col(f"_{out}") for out in sums}
-    ).drop("_cut", "_cut_at", *[f"_{out}" for out in sums])
+        F.col("_part").alias("_at_part"),
+        *[F.coalesce(F.sum(f"_{out}").over(before), F.lit(0)).alias(f"_{out}") for out in sums])
+    joined = local.join(F.broadcast(offsets), F.col("_part") == F.col("_at_part"))
+    return joined.withColumns({out: F.col(out) + F.col(f"_{out}") for out in sums}).drop(
+        "_part", "_at_part", *[f"_{out}" for out in sums])
 
 
-def sorted_places(df: DataFrame, column: str, out: str, cuts: int = CUTS) -> DataFrame:
-    """Place of each distinct text value in sorted order, from 0.
-
-    The cut points are the values with the smallest hashes: a fair sample of
-    bounded size.
-    """
-    sample = df.orderBy(F.xxhash64(column), column).limit(cuts - 1).collect()
-    ranked = running_sums(df.withColumn("_one", F.lit(1)), column, {out: "_one"},
-                          points=[r[column] for r in sample])
+def sorted_places(df: DataFrame, column: str, out: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Place of each distinct value in sorted order, from 0."""
+    ranked = running_sums(df.withColumn("_one", F.lit(1)), column, {out: "_one"}, rows_per_part)
     return ranked.withColumn(out, F.col(out) - 1).drop("_one")
 
 

@@ -36,7 +36,7 @@ def test_running_sums(spark):
     rng = random.Random(1)
     data = [(float(v), rng.randint(0, 9)) for v in rng.sample(range(10_000), 2_000)]
     df = spark.createDataFrame(data, "v double, n long")
-    got = {r.v: r.s for r in R.running_sums(df, "v", {"s": "n"}, cuts=7).collect()}
+    got = {r.v: r.s for r in R.running_sums(df, "v", {"s": "n"}, rows_per_part=7).collect()}
     total, want = 0, {}
     for v, n in sorted(data):
         total += n
