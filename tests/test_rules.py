@@ -65,16 +65,16 @@ def test_short_line_and_bad_numbers_give_nulls(spark):
     bad = TCP.replace(",50001,", ",x,")
     a, b = P.parse_lines(lines(spark, short, bad)).orderBy(F.col("dst_ip").asc_nulls_first()).collect()
     assert a.dst_ip is None and a.dst_port is None
-    assert b.src_port is None and b.dst_port == 443
+    assert b.src_port is None and b.dst_port == 8443
 
 
 def test_header_forms(spark):
     df = P.parse_header_relaxed(lines(
-        spark, TCP, "<134>Dec  4 14:06:23 fw1 filterlog[123]: 63,,,1", "<30>2025-12-24T14:06:23Z fw1 dhcpd - - hello you",
+        spark, TCP, "<134>Dec  4 14:06:23 fw1 filterlog[123]: 77,,,8", "<30>2025-12-24T14:06:23Z fw1 dhcpd - - hello you",
         "nothing"))
     got = [(r.header_form, r.program, r.pid, r.payload) for r in df.collect()]
-    assert got[0][:3] == ("rfc5424", "filterlog", "98188") and got[0][3].startswith("63,,,1000001470")
-    assert got[1] == ("bsd", "filterlog", "123", "63,,,1")
+    assert got[0][:3] == ("rfc5424", "filterlog", "411") and got[0][3].startswith("12,,,1770000123")
+    assert got[1] == ("bsd", "filterlog", "123", "77,,,8")
     assert got[2] == ("rfc5424", "dhcpd", None, "hello you")
     assert got[3] == (None, None, None, None)
 
