@@ -67,9 +67,10 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     chosen by comparing hashes; texts are not sorted.
 
     A null level is a node of its own, ``(none)``.  Null texts and texts without
-    words hold no tokens and are not chosen.  Repeated rows count each; rows
-    without identifier share one place in the order, ended by text hash.  An
-    empty table gives no rows; other columns pass through.
+    words hold no tokens and are not chosen.  Repeated rows count each, and if
+    the cut falls on one, its copies get the same part; rows without identifier
+    share one place in the order, told apart by text hash.  An empty table gives
+    no rows; other columns pass through.
     """
     names = list(levels)
     path = [f"mix_{n}" for n in names]
