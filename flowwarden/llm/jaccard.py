@@ -17,6 +17,7 @@ from flowwarden.llm.text import grams, hash_words, materialize, mix64, text_of
 SHINGLE = 5
 PERCENT = 75
 COMMON_SHARE = 10
+STAR_TURNS = 3
 KEYS_KEPT = 200_000
 CHUNK = 2_000_000
 BLOCK = 1 << 16
@@ -177,7 +178,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     1. Sparse product, one column block against its first row: every n-gram's
        texts are paired with the smallest of them only.  A text keeps the
        partner that it shares most prefix n-grams with, and is measured against
-       it.  Texts linked to one partner form a star around it.
+       it.  Texts linked to one partner form a star around it.  Texts that stay
+       alone try again, with another order of the texts.
     2. Product of the stars: stars that share prefix n-grams are paired,
        overlaps accumulated, pairs out of the size bounds discarded (sizes too far
        apart, or too small an overlap for the smaller size), and the centres measured.
@@ -188,17 +190,29 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     """
     limit = 1 - percent / 100
     post = sets.select("node", F.explode("prefix").alias("s"))
-    heads = post.groupBy("s").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "head")
-    shared = post.join(heads, "s").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("k"))
-    shared = shared.join(sets.select("node", "n"), "node").where(F.col("k") >= 1 + F.expr(f"((n * {percent} + 99) div 100) div {COMMON_SHARE}"))
-    best = shared.groupBy("node").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
-    stars = _measured(best.select(F.col("node").alias("a"), F.col("head").alias("b")), sets, percent, "stars")
-    member = materialize(sets.select("node", "n").join(stars.where("linked").select(F.col("a").alias("node"), "b", "far"), "node", "left").select(
-        "node", "n", F.coalesce("b", "node").alias("star"), F.coalesce("far", F.lit(0.0)).alias("far")), "members")
-    joined = components(stars.where("linked").select("a", "b"))
+    enough = 1 + F.expr(f"((n * {percent} + 99) div 100) div {COMMON_SHARE}")
+    stars = None
+    for turn in range(STAR_TURNS):
+        # Another order in each turn gives the texts still alone another partner.
+        first = F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")) if turn else F.min("node")
+        heads = post.groupBy("s").agg(first.alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "head")
+        alone = post if stars is None else post.join(stars.select("node"), "node", "left_anti")
+        if stars is not None:
+            alone = alone.join(stars.select(F.col("star").alias("node")), "node", "left_anti")
+        shared = alone.join(heads, "s").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("k"))
+        shared = shared.join(sets.select("node", "n"), "node").where(F.col("k") >= enough)
+        best = shared.groupBy("node").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
+        tried = _measured(best.select(F.col("node").alias("a"), F.col("head").alias("b")), sets, percent, "stars")
+        found = tried.where("linked").select(F.col("a").alias("node"), F.col("b").alias("star"), "far")
+        stars = found if stars is None else stars.unionByName(found)
+    stars = materialize(stars, "star-links")
+    member = materialize(sets.select("node", "n").join(stars, "node", "left").select(
+        "node", "n", F.coalesce("star", "node").alias("star"), F.coalesce("far", F.lit(0.0)).alias("far")), "members")
+    # A centre may belong to another star itself; two stars with one part are joined already.
+    above = member.select(F.col("node").alias("centre"), F.col("star").alias("up")).groupBy("centre").agg(F.min("up").alias("part"))
     size = member.groupBy("star").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("far").alias("reach"))
-    size = materialize(size.join(joined, size["star"] == joined["node"], "left").select(
-        "star", "least", "most", "reach", F.coalesce("component", "star").alias("part")), "star-sizes")
+    size = materialize(size.join(above, size["star"] == above["centre"], "left").select(
+        "star", "least", "most", "reach", F.coalesce("part", "star").alias("part")), "star-sizes")
 
     columns = post.join(member.select("node", "star"), "node").select("s", "star").distinct()
     several = columns.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
@@ -211,7 +225,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x.least", "y.least")).alias("n"))
              .where(F.col("k") >= 1 + F.expr(f"n div {COMMON_SHARE}")))
     centres = _measured(pairs.select("a", "b"), sets, percent, "centres")
-    sure = stars.where("linked").select("a", "b").union(centres.where("linked").select("a", "b"))
+    sure = stars.select(F.col("node").alias("a"), F.col("star").alias("b")).union(centres.where("linked").select("a", "b"))
 
     parts = components(sure)
     reach = size.select("star", "reach")
