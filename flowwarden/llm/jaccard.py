@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowwarden.llm import sieve
 from flowwarden.llm.graph import components
-from flowwarden.llm.text import grams, hash_words, materialize, mix64, text_of
+from flowwarden.llm.text import checked_broadcast, grams, hash_words, materialize, mix64, text_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -162,10 +162,22 @@ def _overlaps(batches):
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Exact overlap of each pair (a, b) within the size bound; ``linked`` and the Jaccard distance."""
+    """Exact overlap of each pair (a, b); ``linked`` and the Jaccard distance.
+
+    The sets of the pairs are picked by a broadcast of the pairs if they are few
+    (checked), so only sets that are in a pair are moved, under a key of their
+    own per pair; more pairs are joined with all sets.
+    """
     whole = sets.select("node", "n", "blob")
-    left = pairs.join(whole, pairs["a"] == whole["node"]).select("a", "b", F.col("n").alias("na"), F.col("blob").alias("blob_a"))
-    both = left.join(whole, left["b"] == whole["node"]).select("a", "b", "na", F.col("n").alias("nb"), "blob_a", F.col("blob").alias("blob_b"))
+    pairs = materialize(pairs.select("a", "b"), f"{name}-pairs")
+    few = checked_broadcast(pairs)
+    chosen = pairs if few is None else few
+
+    def side(mine: str) -> DataFrame:
+        return whole.join(chosen, F.col("node") == F.col(mine)).select(
+            "a", "b", F.col("n").alias(f"n{mine}"), F.col("blob").alias(f"blob_{mine}"))
+
+    both = side("a").join(side("b"), ["a", "b"])
     kind = pairs.schema["a"].dataType.simpleString()
     found = both.mapInArrow(_overlaps, f"a {kind}, b {kind}, na long, nb long, both long")
     union = F.col("na") + F.col("nb") - F.col("both")
