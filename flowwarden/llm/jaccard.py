@@ -18,6 +18,7 @@ SHINGLE = 5
 PERCENT = 75
 COMMON_SHARE = 10
 STAR_TURNS = 3
+HOT_STARS = 16
 KEYS_KEPT = 200_000
 CHUNK = 2_000_000
 BLOCK = 1 << 16
@@ -227,15 +228,22 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         "star", "least", "most", "reach", F.coalesce("part", "star").alias("part")), "star-sizes")
 
     columns = post.join(member.select("node", "star"), "node").select("s", "star").distinct()
-    several = columns.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
+    several = columns.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s", (F.col("k") > HOT_STARS).alias("hot"))
     columns = materialize(columns.join(several, "s").join(size, "star"), "star-columns")
+    # A pair shares at least ``common`` n-grams.  A star with fewer hot ones than that shares others too, so its
+    # hot ones are not needed to find its pairs; they are allowed for in the overlap that a pair must have.
+    hot = columns.groupBy("star").agg(F.sum(F.col("hot").cast("int")).alias("n_hot"), F.first("least").alias("size"))
+    hot = hot.select("star", "n_hot", (F.col("n_hot") >= 1 + F.expr(f"((size * {percent} + 99) div 100) div {COMMON_SHARE}")).alias("crowded"))
+    columns = columns.join(hot, "star").where(~F.col("hot") | F.col("crowded"))
+    columns = columns.withColumn("lost", F.when(~F.col("crowded"), F.col("n_hot")))
     x, y = columns.alias("x"), columns.alias("y")
     pairs = (x.join(y, F.col("x.s") == F.col("y.s"))
              .where((F.col("x.star") < F.col("y.star")) & (F.col("x.part") != F.col("y.part"))
                     & (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least")))
              .groupBy(F.col("x.star").alias("a"), F.col("y.star").alias("b"))
-             .agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x.least", "y.least")).alias("n"))
-             .where(F.col("k") >= 1 + F.expr(f"n div {COMMON_SHARE}")))
+             .agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x.least", "y.least")).alias("n"),
+                  F.coalesce(F.max(F.least("x.lost", "y.lost")), F.lit(0)).alias("lost"))
+             .where(F.col("k") + F.col("lost") >= 1 + F.expr(f"n div {COMMON_SHARE}")))
     centres = _measured(pairs.select("a", "b"), sets, percent, "centres")
     sure = stars.select(F.col("node").alias("a"), F.col("star").alias("b")).union(centres.where("linked").select("a", "b"))
 
