@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +15,10 @@ from pyspark.sql import types as T
 from flowwarden.llm.text import NOT_WORD, hash_words, materialize, mix64, text_of
 
 PER_CLASS = 2000
-# A word or pair must be met in more than one of fifty documents of a class (at least 2, at most 12
-# times) to tell anything about the class; that much of its count goes to the shared backoff.
-RARE_SHARE, RARE_LEAST, RARE_MOST = 50, 2.0, 12.0
-# What the shared counts lose to the uniform share.
-DISCOUNT = 0.75
+# Discounts of counts of 1, 2 and more where the counts of counts do not give them.
+DISCOUNTS = (0.75, 1.0, 1.25)
 RUNS = (1, 4, 12)
+FEATURES = 2 * (len(RUNS) + 1)
 THRESHOLD = 0.3
 _START = np.uint64(1)
 
@@ -32,14 +30,13 @@ class ClassModels:
     words: np.ndarray       # sorted word hashes
     context: np.ndarray     # what the pairs that it begins count, by class
     follow: np.ndarray      # of these, what is left to the backoff, by class
-    both: np.ndarray        # what both classes have of the pairs that it begins, and how many such pairs
+    both: np.ndarray        # what the pairs that it begins count in both classes together, and what of it is left to the backoff
     before: np.ndarray      # distinct words before it, by class
-    shared: np.ndarray      # of these, what both classes have
     pairs: np.ndarray       # sorted hashes of word pairs
     pair_count: np.ndarray  # distinct words before the pair, by class
     totals: np.ndarray      # per class: distinct pairs, and what of them is left to the backoff
-    shared_totals: tuple[float, float]
-    rare: float             # the discount of the class counts
+    shared_totals: tuple[float, float, float]  # both classes together: the same, and the number of words
+    discounts: dict[str, tuple[float, float, float]]  # of counts of 1, 2 and more: n0, n1, ns of pairs, b0, b1, bs of words
     prior: float
     centre: np.ndarray
     scale: np.ndarray
@@ -71,35 +68,62 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
-def log_ratio(m: ClassModels, own: np.ndarray) -> np.ndarray:
-    """Per token: log-likelihood under the toxic model less that under the ordinary one."""
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """What counts of 1, 2 and more lose, from how many counts are 1, 2, 3 and 4 (Chen and Goodman)."""
+    if not (n1 and n2 and n3):
+        return DISCOUNTS
+    y = n1 / (n1 + 2 * n2)
+    return tuple(min(most, max(0.1, k - (k + 1) * y * more / own)) for k, own, more, most in ((1, n1, n2, 1.0), (2, n2, n3, 2.0), (3, n3, n4, 3.0)))
+
+
+def _lost(count: np.ndarray, discount: tuple[float, float, float]) -> np.ndarray:
+    return np.array([0.0, *discount])[np.minimum(count, 3).astype(np.int64)]
+
+
+def _lost_of(column: str, discount: tuple[float, float, float]) -> Column:
+    n = F.col(column)
+    return F.when(n >= 3, discount[2]).when(n == 2, discount[1]).when(n == 1, discount[0]).otherwise(0.0)
+
+
+def log_ratio(m: ClassModels, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per token: log-likelihood under the toxic model less that under the ordinary one; then the same without context and without shared counts.
+
+    The shared backoff bounds what a word of one class tells, however often it was met; the second ratio grows with its count.
+    """
     first = np.concatenate([np.full(1, _START), own[:-1]])
     at, known = _find(m.words, own)
-    shared = np.where(known, m.shared[at] if len(m.words) else 0, 0)
-    n_shared, v_shared = m.shared_totals
-    low = np.maximum(shared - DISCOUNT, 0) / n_shared + DISCOUNT * v_shared / n_shared / (v_shared + 1)
+    before = np.where(known[:, None], m.before[at], 0) if len(m.words) else np.zeros((len(own), 2))
+    shared = before.sum(axis=1)
+    n_shared, left, n_words = m.shared_totals
+    low = (shared - _lost(shared, m.discounts["bs"]) + left / (n_words + 1)) / n_shared
     ctx, seen = _find(m.words, first)
     two, paired = _find(m.pairs, _pair(first, own))
     pair = np.where(paired[:, None], m.pair_count[two], 0) if len(m.pairs) else np.zeros((len(own), 2))
     common = np.where(seen[:, None], m.both[ctx], 0) if len(m.words) else np.zeros((len(own), 2))
-    out = []
+    together = pair.sum(axis=1)
+    together -= _lost(together, m.discounts["ns"])
+    out, alone = [], []
     for c in (0, 1):
         n_pairs, left = m.totals[c]
-        uni = (np.maximum(np.where(known, m.before[at, c] if len(m.words) else 0, 0) - m.rare, 0) + left * low) / n_pairs
+        kept = before[:, c] - _lost(before[:, c], m.discounts[f"b{c}"])
+        uni = (kept + left * low) / n_pairs
+        alone.append(np.log((kept + left / (n_words + 1)) / n_pairs))
         times = np.where(seen, m.context[ctx, c], 0) if len(m.words) else np.zeros(len(own))
         back = np.where(seen, m.follow[ctx, c], 0) if len(m.words) else 0
-        mid = (np.maximum(2 * pair.min(axis=1) - DISCOUNT, 0) + DISCOUNT * common[:, 1] * uni) / np.maximum(common[:, 0], 1)
-        bi = (np.maximum(pair[:, c] - m.rare, 0) + back * np.where(common[:, 0] > 0, mid, uni)) / np.maximum(times, 1)
-        out.append(np.log(np.where(times > 0, bi, uni)))
-    return out[1] - out[0]
+        mid = np.where(common[:, 0] > 0, (together + common[:, 1] * uni) / np.maximum(common[:, 0], 1), uni)
+        bi = (pair[:, c] - _lost(pair[:, c], m.discounts[f"n{c}"]) + back * mid) / np.maximum(times, 1)
+        out.append(np.log(np.where(times > 0, bi, mid)))
+    return out[1] - out[0], alone[1] - alone[0]
 
 
 def features(m: ClassModels, own: np.ndarray) -> np.ndarray:
-    """The mean log ratio per word: of the text, and of its most toxic runs of some lengths."""
-    ratio = log_ratio(m, own)
-    total = np.concatenate([[0.0], np.cumsum(ratio)])
-    widths = [min(r, len(ratio)) for r in RUNS]
-    return np.array([ratio.mean(), *((total[w:] - total[:-w]).max() / w for w in widths)])
+    """Of both log ratios: the mean per word of the text, and of its most toxic runs of some lengths."""
+    out = []
+    for ratio in log_ratio(m, own):
+        total = np.concatenate([[0.0], np.cumsum(ratio)])
+        widths = [min(r, len(ratio)) for r in RUNS]
+        out += [ratio.mean(), *((total[w:] - total[:-w]).max() / w for w in widths)]
+    return np.array(out)
 
 
 def _features(batches, shared):
@@ -136,7 +160,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_rows, n_toxic = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (n_toxic + 0.5) / (n_rows + 1)
     each = max(1, min(per_class, n_toxic, n_rows - n_toxic))
-    rare = min(RARE_MOST, max(RARE_LEAST, each / RARE_SHARE))
     order = W.partitionBy("toxic").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
     sample = materialize(labels.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select(
         "id", "toxic", (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(5)) == 0).alias("aside")), "label-sample")
@@ -147,40 +170,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # A pair counts once for each word that it follows, so copies of a text add nothing.
     pairs = pairs.groupBy("u", "v", "w").agg(F.max(1 - F.col("toxic")).alias("n0"), F.max("toxic").alias("n1"))
     pairs = materialize(pairs.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "word-pairs")
+    pairs = pairs.withColumn("ns", F.col("n0") + F.col("n1"))
+
+    def counts_of_counts(table: DataFrame, *names: str) -> dict[str, tuple[float, float, float]]:
+        row = table.agg(*[F.count(F.when(F.col(n) == k, 1)).alias(f"{n}_{k}") for n in names for k in (1, 2, 3, 4)]).first()
+        return {n: discounts(*(row[f"{n}_{k}"] for k in (1, 2, 3, 4))) for n in names}
+
+    lost = counts_of_counts(pairs, "n0", "n1", "ns")
     by_first = pairs.groupBy(F.col("v").alias("word")).agg(
-        F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.sum(F.least("n0", F.lit(rare))).alias("f0"), F.sum(F.least("n1", F.lit(rare))).alias("f1"),
-        F.sum(2 * F.least("n0", "n1")).alias("cs"), F.sum((F.least("n0", "n1") > 0).cast("int")).alias("fs"))
+        F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.sum(_lost_of("n0", lost["n0"])).alias("f0"), F.sum(_lost_of("n1", lost["n1"])).alias("f1"),
+        F.sum("ns").alias("cs"), F.sum(_lost_of("ns", lost["ns"])).alias("fs"))
     by_second = pairs.groupBy(F.col("w").alias("word")).agg(
         F.sum((F.col("n0") > 0).cast("int")).alias("b0"), F.sum((F.col("n1") > 0).cast("int")).alias("b1"))
-    words = materialize(by_first.join(by_second, "word", "full").na.fill(0).withColumn("s", 2 * F.least("b0", "b1")), "word-counts")
-    sums = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("b0", "b1", "s")],
-                     *[F.coalesce(F.sum(F.least(c, F.lit(most))), F.lit(0)).cast("double").alias("v" + c)
-                       for c, most in (("b0", rare), ("b1", rare), ("s", 1.0))]).first()
-    # A word or pair that was met once has no estimate of its own; it is left to the backoff.
-    many = words.where("c0 + c1 > 1 or b0 + b1 > 1").toArrow().sort_by("word")
-    twice = pairs.where("n0 + n1 > 1").toArrow()
+    words = materialize(by_first.join(by_second, "word", "full").na.fill(0).withColumn("bs", F.col("b0") + F.col("b1")), "word-counts")
+    lost |= counts_of_counts(words, "b0", "b1", "bs")
+    sums = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("b0", "b1", "bs")],
+                     *[F.coalesce(F.sum(_lost_of(c, lost[c])), F.lit(0.0)).alias("v" + c) for c in ("b0", "b1", "bs")],
+                     F.count(F.when(F.col("bs") > 0, 1)).alias("n_words")).first()
+    all_words, all_pairs = words.toArrow(), pairs.toArrow()
 
     def columns(table: pa.Table, *names: str) -> np.ndarray:
         return np.column_stack([table.column(n).to_numpy() for n in names]).astype(np.float32)
 
-    key = many.column("word").to_numpy().view(np.uint64)
+    key = all_words.column("word").to_numpy().view(np.uint64)
     rank = np.argsort(key)
-    pair_key = _pair(twice.column("v").to_numpy().view(np.uint64), twice.column("w").to_numpy().view(np.uint64))
+    pair_key = _pair(all_pairs.column("v").to_numpy().view(np.uint64), all_pairs.column("w").to_numpy().view(np.uint64))
     pair_rank = np.argsort(pair_key)
     model = ClassModels(
-        key[rank], columns(many, "c0", "c1")[rank], columns(many, "f0", "f1")[rank], columns(many, "cs", "fs")[rank], columns(many, "b0", "b1")[rank],
-        many.column("s").to_numpy()[rank].astype(np.float32), pair_key[pair_rank], columns(twice, "n0", "n1")[pair_rank],
+        key[rank], columns(all_words, "c0", "c1")[rank], columns(all_words, "f0", "f1")[rank], columns(all_words, "cs", "fs")[rank], columns(all_words, "b0", "b1")[rank],
+        pair_key[pair_rank], columns(all_pairs, "n0", "n1")[pair_rank],
         np.array([[max(sums["b0"], 1), max(sums["vb0"], 1)], [max(sums["b1"], 1), max(sums["vb1"], 1)]]),
-        (max(sums["s"], 1), max(sums["vs"], 1)), rare, prior, np.zeros(len(RUNS) + 1), np.ones(len(RUNS) + 1), np.zeros(len(RUNS) + 2))
+        (max(sums["bs"], 1), max(sums["vbs"], 1), sums["n_words"]), lost, prior, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = texts.where("aside").select("toxic", "text").mapInArrow(lambda b: _features(b, shared), "toxic int, x array<double>").limit(2 * per_class).toArrow()
-    x, y = np.array(held.column("x").to_pylist(), float).reshape(-1, len(RUNS) + 1), held.column("toxic").to_numpy().astype(float)
+    x, y = np.array(held.column("x").to_pylist(), float).reshape(-1, FEATURES), held.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         model.centre, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
         model.weights = _logistic((x - model.centre) / model.scale, y, weight)
     else:
-        model.weights = np.array([np.log(prior / (1 - prior)), *np.zeros(len(RUNS) + 1)])
+        model.weights = np.array([np.log(prior / (1 - prior)), *np.zeros(FEATURES)])
     return model
 
 

@@ -253,6 +253,17 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[9001].score == got[9002].score
 
 
+def test_toxicity_rare_word(spark):
+    """A word in ten of three hundred toxic texts and in no ordinary one, after ten different words, tells the class."""
+    rows = corpus(600, 3)
+    rows = [(i, r[1] + (f" w{i} slur" if i % 60 == 0 else " vile nasty" if i % 2 == 0 else ""), *r[2:]) for i, r in enumerate(rows)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 2 == 0)) for r in rows], "doc_id long, toxic int")
+    probe = [(9001, "the one slur", "en", "s", 1), (9002, "the one word", "en", "s", 1)]
+    model = toxicity.fit(frame(spark, rows), labels)
+    got = {r.doc_id: r for r in toxicity.toxicity(frame(spark, probe), model).collect()}
+    assert got[9001].score > 2 * got[9002].score
+
+
 def test_toxicity_one_class(spark):
     docs = frame(spark, corpus(20))
     labels = spark.createDataFrame([(1000, 0), (1003, 0)], "doc_id long, toxic int")
