@@ -17,19 +17,23 @@ from flowwarden.llm.text import mix64
 DIMS = 8192
 SAMPLE_ROWS = 1600
 CLUSTERS = 3
-REJECT_SHARE = 0.25
+REJECT_SHARE = 0.6
+# A centroid accepts this share of the rows set aside (one of ASIDE), less a margin; cosines grow with
+# the length, so beginnings of these lengths are looked at each by itself, where there are at least so many rows.
+QUANTILE, ASIDE, LEAST_ROWS = 0.02, 4, 20
+BANDS = (6, 20, 60, 200, 700, 2500)
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 
 
 @dataclass
 class Centroids:
-    """Weights of the dimensions, unit centroids, their languages, and the least cosine each accepts."""
+    """Weights of the dimensions, unit centroids, their languages, and the low cosine of each by length of text."""
 
     idf: np.ndarray
     centre: np.ndarray
     lang: list[str]
-    least: np.ndarray
+    low: np.ndarray  # centroids x BANDS
 
 
 def _letters() -> np.ndarray:
@@ -66,22 +70,43 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def _vectors(batches, text_col: str, lang_col: str):
     for batch in batches:
-        for lang, text in zip(batch.column(lang_col).to_pylist(), batch.column(text_col).to_pylist()):
-            found = counts(text)
-            if found is not None:
-                yield pa.RecordBatch.from_pydict({"lang": [lang], "vector": [np.log1p(found).astype(np.float16).tobytes()]})
+        for lang, text, aside in zip(*(batch.column(c).to_pylist() for c in (lang_col, text_col, "__aside"))):
+            parts = [(k, text[:b]) for k, b in enumerate(BANDS) if len(text) >= b] if aside else [(-1, text)]
+            for band, part in parts:
+                found = counts(part)
+                if found is not None:
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "band": pa.array([band], pa.int32()), "vector": [np.log1p(found).astype(np.float16).tobytes()]})
 
 
-def _clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts from the row nearest the mean, then from the farthest rows."""
+def _clusters(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
+    """Spherical k-means with k-means++ starts; clusters of one row go, if others are left."""
+    rng = np.random.default_rng(seed)
     centre = [rows[int(np.argmax(rows @ rows.mean(axis=0)))]]
     while len(centre) < min(k, len(rows)):
-        centre.append(rows[int(np.argmin((rows @ np.array(centre).T).max(axis=1)))])
+        far = np.maximum(1 - (rows @ np.array(centre).T).max(axis=1), 0) ** 2
+        if far.sum() < 1e-9:
+            break
+        centre.append(rows[rng.choice(len(rows), p=far / far.sum())])
     centres = np.array(centre)
     for _ in range(rounds):
         near = np.argmax(rows @ centres.T, axis=1)
         centres = _unit(np.array([rows[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(len(centres))]))
-    return centres
+    size = np.bincount(np.argmax(rows @ centres.T, axis=1), minlength=len(centres))
+    return centres[size > 1] if (size > 1).any() else centres[:1]
+
+
+def _low(cosines: list[np.ndarray], nearest: list[np.ndarray], n: int) -> np.ndarray:
+    """Of each centroid of a language the low quantile by band; a band or centroid of few rows shares its language's or the next band's."""
+    out = np.full((n, len(BANDS)), np.nan)
+    for k, (near, best) in enumerate(zip(cosines, nearest)):
+        for j in range(n):
+            own = near[best == j] if (best == j).sum() >= LEAST_ROWS else near
+            if len(own):
+                out[j, k] = np.quantile(own, QUANTILE, method="higher")
+    for row in out:
+        known = np.flatnonzero(~np.isnan(row))
+        row[:] = np.interp(np.arange(len(BANDS)), known, row[known]) if len(known) else 0.0
+    return out
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -89,36 +114,36 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Learns centroids from at most ``sample_rows`` labelled rows, equally many per language.
 
     The rows of a language come first in the order of a seeded hash of their
-    identifier; their whole texts are read.  Only their count vectors, of fixed
+    identifier; their whole texts are read.  One of four is set aside: the
+    centroids come from the others, and beginnings of those set aside tell what
+    cosines are to be expected at which length.  Only their count vectors, of fixed
     length, reach the driver.  Rows without language or without letters are
     not used; without any row the model knows no language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     n_langs = rows.select(lang_col).distinct().limit(sample_rows).count()
     if not n_langs:
-        return Centroids(np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
+        return Centroids(np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros((0, len(BANDS))))
     order = W.partitionBy("lang").orderBy("h", "id")
     ids = (rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
-           .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, sample_rows // n_langs)).select("id").collect())
+           .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, sample_rows // n_langs)).select("id", (F.col("rank") % ASIDE == 0).alias("aside")).collect())
     wanted = labelled.where(F.col(id_col).isin([r[0] for r in ids]) & F.col(lang_col).isNotNull())
-    got = wanted.select(text_col, lang_col).mapInArrow(
-        partial(_vectors, text_col=text_col, lang_col=lang_col), "lang string, vector binary").limit(sample_rows).collect()
-    names = np.array([r["lang"] for r in got])
+    got = wanted.select(text_col, lang_col, F.col(id_col).isin([r["id"] for r in ids if r["aside"]]).alias("__aside")).mapInArrow(
+        partial(_vectors, text_col=text_col, lang_col=lang_col), "lang string, band int, vector binary").limit(sample_rows * len(BANDS)).collect()
+    names, band = np.array([r["lang"] for r in got]), np.array([r["band"] for r in got])
     tf = np.array([np.frombuffer(r["vector"], np.float16) for r in got], np.float32).reshape(-1, DIMS)
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
+    whole = tf[band < 0]
+    idf = (np.log((1 + len(whole)) / (1 + (whole > 0).sum(axis=0))) + 1).astype(np.float32)
     rows_unit = _unit(tf * idf)
-    centre, lang, least = [], [], []
-    for name in sorted(set(names)):
-        own = rows_unit[names == name]
-        found = _clusters(own, clusters)
-        near = own @ found.T
-        best = near.argmax(axis=1)
-        for j, c in enumerate(found):
-            if (best == j).any():
-                centre.append(c)
-                lang.append(str(name))
-                least.append(float(near[best == j, j].min()))
-    return Centroids(idf, np.array(centre, np.float32), lang, np.array(least))
+    centre, lang, low = [], [], []
+    for name in sorted(set(names[band < 0])):
+        found = _clusters(rows_unit[(names == name) & (band < 0)], clusters)
+        near = [rows_unit[(names == name) & (band == k)] @ found.T for k in range(len(BANDS))]
+        centre += list(found)
+        lang += [str(name)] * len(found)
+        low.append(_low([x.max(axis=1) for x in near], [x.argmax(axis=1) for x in near], len(found)))
+    low = np.concatenate(low)
+    return Centroids(idf, np.array(centre, np.float32), lang, low)
 
 
 def _predict(batches, shared, text_col: str, keep: list[str], reject_share: float):
@@ -134,7 +159,9 @@ def _predict(batches, shared, text_col: str, keep: list[str], reject_share: floa
                 close = _unit(np.log1p(np.array([found[i] for i in filled], np.float32)) * model.idf) @ model.centre.T
                 for i, row, j in zip(filled, close, close.argmax(axis=1)):
                     name[i], near[i] = model.lang[j], float(min(1.0, max(0.0, row[j])))
-                    out[i] = bool(row[j] < reject_share * model.least[j])
+                    # A letter is in three sequences.
+                    length = np.log(max(1, found[i].sum() / 3))
+                    out[i] = bool(row[j] < reject_share * np.interp(length, np.log(BANDS), model.low[j]))
             lang += name
             score += near
             reject += out
@@ -147,8 +174,8 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text", reject_s
     """The input rows with ``lang_pred``, ``score`` (cosine to the nearest centroid) and ``rejected``.
 
     Whole texts are counted.  A text is rejected when it is farther from its
-    nearest centroid than training rows ever were: cosine below
-    ``reject_share`` times the least of that centroid.  ``lang_pred`` is then
+    nearest centroid than nearly all rows set aside were at its length: cosine
+    below ``reject_share`` times the low quantile of that centroid.  ``lang_pred`` is then
     still the nearest language.  Null texts and texts without a letter get
     ``und``, score 0, and are rejected; so does everything if the model knows no
     language.  Repeated rows get equal results, an empty table gives no rows,

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowwarden.llm import bpe, catalog, exact, fingerprint, jaccard, language, lines, mixer, mixing, substring, toxicity
 from flowwarden.llm.graph import components
-from tests.llm.data import component_of, corpus, difficult, frame, held, shingles, words
+from tests.llm.data import component_of, corpus, difficult, frame, held, sentence, shingles, words
 
 
 def sha(text) -> str:
@@ -234,6 +235,20 @@ def test_language(spark):
         assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
 
 
+def test_language_long_and_short(spark):
+    """Texts of no learned language are rejected at any length, short clean ones are kept."""
+    rng = random.Random(4)
+    rows = corpus(300)
+    odd = {"consonants": "bcdfghjklmnpqrstvwxz", "cjk": [chr(c) for c in range(0x4e00, 0x5200)], "cyrillic": [chr(c) for c in range(0x430, 0x450)]}
+    probe = [(f"{k} {n}", " ".join("".join(rng.choices(pool, k=rng.randint(3, 9))) for _ in range(n))) for k, pool in odd.items() for n in (50, 200, 1000, 5000)]
+    clean = [(f"{lang} {n}", sentence(rng, lang, n)) for lang in ("en", "fr", "de") for n in (5, 50, 2000)]
+    # One mislabelled row of a language must not make a centroid that takes its like.
+    rows += [(9001, dict(probe)["consonants 200"], "en", "s", 1)]
+    docs = spark.createDataFrame(probe + clean, "doc_id string, text string")
+    got = {r.doc_id: r.rejected for r in language.identify(docs, language.fit(frame(spark, rows))).collect()}
+    assert {k for k, rejected in got.items() if rejected} == {k for k, _ in probe}
+
+
 def test_language_unlabelled(spark):
     docs = frame(spark, [(1, "some words", None, "s", 1)])
     got = language.identify(docs, language.fit(docs)).collect()
