@@ -312,6 +312,13 @@ def test_spelling_is_a_distribution(spark):
     assert known > odd
 
 
+def test_bit_counts_keep_their_ratio(spark):
+    """Slots with more than 65,535 on both sides are not made even."""
+    vocabulary = spark.range(280_000).select(F.encode(F.concat(F.when(F.col("id") % 4 == 0, "b").otherwise("a"), F.col("id").cast("string")), "utf-8").alias("word"))
+    counts = mixer.learn(vocabulary).counts.astype(float)
+    assert sorted(set(counts[0][counts[0].min(axis=1) > 65535].max(axis=1)))[-1] == 210_000
+
+
 # --- empty tables --------------------------------------------------------------------
 def test_empty_tables(spark, vocabulary):
     docs = frame(spark, [])
