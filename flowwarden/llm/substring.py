@@ -1,4 +1,4 @@
-"""Repeated passages: seeds on winnowed anchors, extended to whole windows and maximal repeats."""
+"""Repeated passages: windows counted exactly where their winnowed anchor repeats; maximal repeats are their unions."""
 
 from __future__ import annotations
 
