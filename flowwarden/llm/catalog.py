@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import bpe, exact, fingerprint, jaccard, language, lines, mixer, mixing, substring, toxicity
+from flowwarden.llm import (
+    bpe, exact, fingerprint, jaccard, language, lines, mixer, mixing, negatives, ownership, substring, toxicity, whitening,
+)
 from flowwarden.llm.text import text_of
 from flowwarden.plans.session import tune
 
@@ -176,3 +178,47 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     found = mixer.lm_scores(documents(spark, sf_dir).select("doc_id", "text"), fold(10) != 0)
     return found.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tune(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query("op11_hard_negatives", """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+          FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5""")
+def op11(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0, moved)
+
+
+def owner_of() -> Column:
+    """The site of a document owns it."""
+    return F.col("source")
+
+
+def repository_of() -> Column:
+    """The part of a site in one language stands for a repository."""
+    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+
+
+@query("op12_secret_scan")
+def op12(spark, sf_dir):
+    found = ownership.scan_secrets(documents(spark, sf_dir), owner_of(), repository_of())
+    return ownership.digests(found)
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    found = whitening.whiten(embeddings(spark, sf_dir))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
