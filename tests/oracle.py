@@ -13,7 +13,7 @@ from flowwarden.plans.session import with_settings
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-PLAIN = {"boolean": "BOOLEAN", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+PLAIN = {"boolean": "BOOLEAN", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 
 
 def session() -> SparkSession:
