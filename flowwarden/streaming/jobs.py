@@ -13,10 +13,7 @@ from flowwarden.operators import behavior as B
 from flowwarden.operators import blocklist as L
 from flowwarden.operators import detect as D
 from flowwarden.plans.training import Model, score
-
-# Events by hand have no origin; a stream's events carry its query id and batch number.
-BLOCK_LOG_SCHEMA = T.StructType([
-    *S.block_event_schema().fields, T.StructField("origin", T.StringType()), T.StructField("batch", T.LongType())])
+from flowwarden.streaming.blocklog import COMPACT_EVERY, BlockLog
 
 
 def tail_lines(spark: SparkSession, folder: str, kind: str = "firewall",
@@ -118,8 +115,8 @@ def latest_windows(spark: SparkSession, path: str, keys=("window_start", "window
 
 
 def read_block_log(spark: SparkSession, path: str) -> DataFrame:
-    """All block and unblock events: those appended by hand and those of streams."""
-    return spark.read.schema(BLOCK_LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    """Block and unblock events, by hand and of streams; of merged ones the newest of each address."""
+    return BlockLog(spark, path).history()
 
 
 def _query_id(spark: SparkSession, checkpoint: str) -> str:
@@ -129,13 +126,14 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
 
 def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_path: str,
                      checkpoint: str, min_rows: int = S.MIN_ROWS_PER_IP, once: bool = True,
-                     seconds: int = S.SLIDE_SECONDS, **rules):
+                     seconds: int = S.SLIDE_SECONDS, compact_every: int = COMPACT_EVERY, **rules):
     """Score each batch of windows, append detections, append blocks.
 
     Blocked sources are left out by an anti join with the block table, so a
-    source is not analysed again after its block.  ``block_path`` must hold a
-    table (an empty one is fine); events may be appended to it by hand at any
-    time and count from the next batch on.
+    source is not analysed again after its block.  ``block_path`` may be empty;
+    events may be appended to it by hand at any time and count from the next
+    batch on.  A batch reads the newest snapshot of the log and the changes after
+    it, which are merged every ``compact_every`` batches.
 
     Every batch writes a folder named by query id and batch number, so a retry
     replaces its own rows and a new checkpoint adds to the old ones.  Read the
@@ -146,9 +144,9 @@ def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_p
     def act(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         origin = _query_id(spark, checkpoint)
-        # A retried batch must not see the blocks its first attempt appended.
-        own = F.coalesce((F.col("origin") == origin) & (F.col("batch") >= number), F.lit(False))
-        events = read_block_log(spark, block_path).filter(~own)
+        log = BlockLog(spark, block_path)
+        log.compact(compact_every)
+        events = log.events(origin, number)
         blocks = L.current_blocks(events)
         chosen = B.eligible(batch, blocks, min_rows)
         scored = score(B.representative_row(chosen, "@timestamp"), model, keys)
@@ -160,7 +158,7 @@ def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_p
         wanted = D.block_decisions(kept, **rules).select(
             "ip", "severity", "reason", F.col("anomaly_score").alias("score"),
             F.col("timestamp").alias("event_at"))
-        L.block_events(events, wanted).withColumns(stamp).write.mode("overwrite").parquet(f"{block_path}/{origin}-{number}")
+        log.write_batch(L.block_events(events, wanted), origin, number)
 
     return _start(behavior, checkpoint, once, seconds).outputMode("update").foreachBatch(act).start()
 
