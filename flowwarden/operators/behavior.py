@@ -36,7 +36,7 @@ def _count(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
-def _sums(first_row: bool, order: list[str]) -> list[Column]:
+def partial_sums(first_row: bool, order: list[str]) -> list[Column]:
     c = F.col
     sums = [F.count("*").alias("n")]
     sums += [_count(c("action") == a).alias(f"n_{a}") for a in ("block", "pass")]
@@ -59,7 +59,7 @@ def _sample_std(n: Column, total: Column, squares: Column) -> Column:
     return F.when(n > 1, F.sqrt(spread / (n.cast("double") * (n - 1).cast("double"))))
 
 
-def _behaviour(seconds: float, first_row: bool) -> list[Column]:
+def merged_sums(seconds: float, first_row: bool) -> list[Column]:
     n = F.sum("n")
 
     def ratio(name: str) -> Column:
@@ -102,7 +102,7 @@ def _in_windows(panes: DataFrame, size: int, slide: int) -> DataFrame:
 def _assemble(sums: DataFrame, pairs: DataFrame, keys: list[str], seconds: float,
               first_row: bool) -> DataFrame:
     """Both parts end up partitioned by the keys, so joining them moves nothing."""
-    totals = sums.groupBy(*keys).agg(*_behaviour(seconds, first_row))
+    totals = sums.groupBy(*keys).agg(*merged_sums(seconds, first_row))
     distinct = pairs.groupBy(*keys).agg(
         F.count_distinct("dst_ip").alias("unique_dst_ips"),
         F.count_distinct("dst_port").alias("unique_dst_ports"),
@@ -121,7 +121,7 @@ def ip_behavior(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECO
     if size % slide:
         raise ValueError("the window size must be a multiple of the slide")
     rows = event_time(df, ts).withColumn("pane", F.window(F.col(ts), f"{slide} seconds")["start"])
-    sums = rows.groupBy("pane", "src_ip").agg(*_sums(first_row, order or [ts]))
+    sums = rows.groupBy("pane", "src_ip").agg(*partial_sums(first_row, order or [ts]))
     pairs = rows.select("pane", "src_ip", "dst_ip", "dst_port").distinct()
     joined = _assemble(_in_windows(sums, size, slide), _in_windows(pairs, size, slide),
                        ["window_start", "src_ip"], size, first_row)
@@ -132,7 +132,7 @@ def ip_behavior(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECO
 def ip_behavior_global(df: DataFrame, seconds: float, ts: str = "@timestamp") -> DataFrame:
     """The same columns per source over the whole table."""
     rows = event_time(df, ts)
-    sums = rows.groupBy("src_ip").agg(*_sums(False, []))
+    sums = rows.groupBy("src_ip").agg(*partial_sums(False, []))
     pairs = rows.select("src_ip", "dst_ip", "dst_port").distinct()
     return _assemble(sums, pairs, ["src_ip"], seconds, False)
 
