@@ -12,10 +12,12 @@ from flowwarden.functions import enrich as E
 from flowwarden.functions import parsing as G
 from flowwarden.operators import clean as C
 from flowwarden.operators import enrich as N
+from flowwarden.operators import lookups as K
 from flowwarden.operators import parse as P
 from flowwarden.plans.storage import materialize, new_path
 from flowwarden.sources import readers, writers
 from flowwarden.streaming import jobs as J
+from flowwarden.streaming.counters import Totals
 
 # ---- raw lines: 29 fields behind a header; some damaged, some of version 6 ----
 PAYLOAD_SQL = """concat_ws(',', CAST(event_id % 90 AS VARCHAR(20)), '', '', CAST(1000000000 + event_id % 500 AS VARCHAR(20)),
@@ -371,6 +373,72 @@ def enrich_geo_dst(spark, sf):
     return placed.select("event_id", "dst_ip", "destination.*")
 
 
+# ---- networks inside networks, names that expire ----
+NESTED_SQL = """SELECT concat('203.0.0.', n_nationkey * 8, '/29') AS network, n_name AS country, 'block' AS city,
+    CAST(n_nationkey AS DOUBLE) AS lat, CAST(1 AS DOUBLE) AS lon FROM {nation}
+  UNION ALL SELECT concat('203.0.0.', n_nationkey * 8, '/27'), n_name, 'wider', CAST(n_nationkey AS DOUBLE), CAST(2 AS DOUBLE)
+    FROM {nation} WHERE n_nationkey % 4 = 0
+  UNION ALL SELECT CASE r_regionkey WHEN 0 THEN '203.0.0.0/24' WHEN 1 THEN '203.0.0.0/16' WHEN 2 THEN '203.0.0.16/28'
+    WHEN 3 THEN '203.0.1.0/25' ELSE '203.0.0.0/33' END, r_name, 'region', CAST(r_regionkey AS DOUBLE), CAST(3 AS DOUBLE) FROM {region}
+  UNION ALL SELECT '203.0.0.32/29', 'AAA', 'again', CAST(0 AS DOUBLE), CAST(4 AS DOUBLE) FROM {region}"""
+
+
+@query("enrich_geo_nested", with_fw(f""", nets AS ({NESTED_SQL.format(nation='nation', region='region')}),
+ sized AS (SELECT *, CAST(string_split(network, '/')[2] AS BIGINT) AS bits, string_split(string_split(network, '/')[1], '.') AS p FROM nets),
+ cut AS (SELECT *, ((CAST(p[1] AS BIGINT) * 16777216 + CAST(p[2] AS BIGINT) * 65536 + CAST(p[3] AS BIGINT) * 256 + CAST(p[4] AS BIGINT))
+   // CAST(pow(2, 32 - bits) AS BIGINT)) AS prefix FROM sized WHERE bits <= 32),
+ addr AS (SELECT event_id, src_ip, CASE WHEN {SRC_SQL} = 'external_source' THEN
+   CAST(string_split(src_ip, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(src_ip, '.')[2] AS BIGINT) * 65536
+   + CAST(string_split(src_ip, '.')[3] AS BIGINT) * 256 + CAST(string_split(src_ip, '.')[4] AS BIGINT) END AS a FROM fw)
+SELECT event_id, src_ip, country, city, {r6('lat')} AS lat, {r6('lon')} AS lon FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY bits DESC, country) AS rn
+  FROM addr LEFT JOIN cut ON a // CAST(pow(2, 32 - bits) AS BIGINT) = prefix) q WHERE rn = 1"""))
+def enrich_geo_nested(spark, sf):
+    nets = spark.sql(NESTED_SQL, nation=load(spark, sf, "nation"), region=load(spark, sf, "region"))
+    return K.add_location_by_prefix(fw(spark, sf), nets).select("event_id", "src_ip", "source.*")
+
+
+# A source is looked up at some of its events; every third lookup fails.
+LOOKUP_SQL = """SELECT src_ip AS ip, CASE WHEN event_id % 3 <> 0 THEN concat('h', event_id % 7, '.example.net') END AS hostname,
+  ts AS looked_up_at FROM {fw} WHERE event_id % 5 = 0"""
+NAME_HIT, NAME_FAILED = 36 * 3600, 6 * 3600
+
+
+@query("enrich_hostname_asof", with_fw(f""", looked AS ({LOOKUP_SQL.format(fw='fw')}),
+ once AS (SELECT ip, looked_up_at, min(hostname) AS hostname FROM looked GROUP BY ip, looked_up_at)
+SELECT event_id, src_ip, CASE WHEN {SRC_SQL} = 'external_source' THEN coalesce(CASE WHEN o.looked_up_at +
+  to_seconds(CASE WHEN hostname IS NULL THEN {NAME_FAILED} ELSE {NAME_HIT} END) > fw.ts THEN hostname END, src_ip) END AS src_hostname
+FROM fw ASOF LEFT JOIN once o ON fw.src_ip = o.ip AND fw.ts >= o.looked_up_at"""))
+def enrich_hostname_asof(spark, sf):
+    rows = fw(spark, sf)
+    looked = spark.sql(LOOKUP_SQL, fw=rows)
+    named = K.add_hostname_asof(rows, looked, ts="ts", hit_seconds=NAME_HIT, failed_seconds=NAME_FAILED, bucket_seconds=86_400)
+    return named.select("event_id", "src_ip", "src_hostname")
+
+
+@query("parse_stream_counts", with_fw(f""", odd AS (SELECT event_id, {ODD_SQL.format(**DUCK_TIMES)} AS message FROM fw),
+  told AS (SELECT event_id, CASE WHEN NOT {_FITS} THEN 'rejected' WHEN {_WANTED} THEN 'accepted' ELSE 'other version' END AS outcome FROM odd)
+SELECT outcome, {i8('count(*)')} AS counted, {i8("CASE WHEN outcome = 'other version' THEN 0 ELSE count(*) END")} AS written,
+  {i8("CASE WHEN outcome = 'other version' THEN 0 ELSE sum(event_id) END")} AS ids FROM told GROUP BY outcome
+UNION ALL SELECT 'read', {i8('count(*)')}, {i8("count(*) FILTER (outcome <> 'other version')")},
+  {i8("sum(event_id) FILTER (outcome <> 'other version')")} FROM told"""))
+def parse_stream_counts(spark, sf):
+    """Lines parsed as a stream in several batches: what is counted, and what is in the two tables."""
+    base = new_path(spark, "parse-stream")
+    rows = fw(spark, sf).selectExpr("event_id", f"{ODD_SQL.format(**SPARK_TIMES)} AS message")
+    rows.repartition(4, "event_id").write.parquet(f"{base}/in")
+    totals = Totals(spark, f"{base}/totals")
+    stream = J.tail_table(spark, f"{base}/in", rows.schema, max_files=2)
+    running = J.parse_stream(stream, f"{base}/ok", f"{base}/bad", f"{base}/state", totals)
+    running.awaitTermination()
+    counted = totals.table(["read", "accepted", "rejected", "other_version"]).drop("query", "last_batch")
+    counted = counted.withColumnRenamed("other_version", "other version").unpivot([], counted.columns[:3] + ["other version"], "outcome", "counted")
+    written = [spark.read.parquet(f"{base}/{f}").select("event_id", F.lit(o).alias("outcome")) for f, o in (("ok", "accepted"), ("bad", "rejected"))]
+    kept = written[0].unionByName(written[1]).rollup("outcome").agg(F.count(F.lit(1)).alias("written"), F.sum("event_id").alias("ids"))
+    kept = kept.withColumn("outcome", F.coalesce("outcome", F.lit("read")))
+    return counted.join(kept, "outcome", "left").na.fill(0, ["written", "ids"])
+
+
 # ---- sources and sinks ----
 EXPORT_SQL = f"""SELECT event_id, {stamp('ts')} AS "@timestamp",
   CASE WHEN event_id % 7 = 0 THEN concat(src_port, ',', src_port + 1) ELSE CAST(src_port AS VARCHAR) END AS src_port,

@@ -124,6 +124,23 @@ def parse_errors(df: DataFrame, message: str = "message") -> DataFrame:
     return bad.select(*df.columns, "tags")
 
 
+OUTCOMES = ("accepted", "rejected", "other version")
+
+
+def classify_lines(df: DataFrame, message: str = "message") -> DataFrame:
+    """Every raw line once: its ``outcome``, and the typed fields of the accepted ones.
+
+    The header pattern runs once per line, whatever its outcome, so one pass
+    serves both the accepted rows and the lines set aside; the columns of the input stay.
+    """
+    headed = parse_header(df, message)
+    right = F.coalesce(F.col("payload").rlike(P.FIRST_LINE + "^" + P.IPV4_PAYLOAD), F.lit(False))
+    told = F.when(F.array_contains("tags", HEADER_FAILURE), "rejected").when(right, "accepted").otherwise("other version")
+    rows = assign_time(convert_types(parse_filterlog(headed.withColumn("outcome", told))))
+    # The line itself is wanted for what is set aside.
+    return rows.withColumn("_line", F.col(message)).transform(drop_work_fields).withColumnRenamed("_line", message)
+
+
 def route_programs(df: DataFrame, program: str = "program") -> DataFrame:
     return df.withColumn("log_type", P.log_type(F.col(program)))
 

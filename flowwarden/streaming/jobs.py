@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +12,11 @@ from flowwarden import schema as S
 from flowwarden.operators import behavior as B
 from flowwarden.operators import blocklist as L
 from flowwarden.operators import detect as D
+from flowwarden.operators import parse as P
 from flowwarden.plans.training import Model, score
+from flowwarden.sources.writers import write_daily
 from flowwarden.streaming.blocklog import COMPACT_EVERY, BlockLog
+from flowwarden.streaming.counters import Totals
 
 
 def tail_lines(spark: SparkSession, folder: str, kind: str = "firewall",
@@ -43,6 +46,34 @@ def write_table(df: DataFrame, path: str, checkpoint: str, once: bool = True,
     return (writer.partitionBy(*partition_by) if partition_by else writer).start()
 
 
+def parse_stream(lines: DataFrame, path: str, error_path: str, checkpoint: str, totals: Totals | None = None,
+                 message: str = "message", once: bool = True, seconds: int = S.FETCH_SECONDS):
+    """Parse a stream of raw lines once; write accepted rows and rejected lines, and count all outcomes.
+
+    The parsed batch is kept while its two parts are written, so a batch is read
+    and parsed once.  Both parts go to a folder per batch, which a retry
+    replaces, and below it by day.  The counts (``read`` and one per outcome)
+    are observed while the accepted rows are written and added to ``totals``
+    before the batch is committed.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = P.classify_lines(batch, message).persist()
+        try:
+            seen = Observation()
+            counted = parsed.observe(seen, F.count(F.lit(1)).alias("read"), *[
+                F.count_if(F.col("outcome") == o).alias(o.replace(" ", "_")) for o in P.OUTCOMES])
+            accepted = counted.filter("outcome = 'accepted'").drop("outcome", "tags", message)
+            write_daily(accepted, f"{path}/batch={number}", mode="overwrite")
+            rejected = parsed.filter("outcome = 'rejected'").select(*batch.columns, "tags").withColumn("event_date", F.current_date())
+            rejected.write.mode("overwrite").partitionBy("event_date").parquet(f"{error_path}/batch={number}")
+            if totals is not None:
+                totals.add(_query_id(batch.sparkSession, checkpoint), number, seen.get)
+        finally:
+            parsed.unpersist()
+
+    return _start(lines, checkpoint, once, seconds).outputMode("append").foreachBatch(write).start()
+
+
 def dedup_stream(df: DataFrame, columns: list[str] | None = None, ts: str = "@timestamp",
                  delay: str = "60 seconds") -> DataFrame:
     return df.withWatermark(f"`{ts}`", delay).dropDuplicatesWithinWatermark(columns or df.columns)
