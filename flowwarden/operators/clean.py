@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from flowwarden import schema as S
 from flowwarden.functions import values as V
-from flowwarden.plans.ranking import domain_sizes, quantiles
+from flowwarden.plans.ranking import quantiles
 from flowwarden.plans.storage import materialize
 
 
@@ -72,11 +72,11 @@ def fill_defaults(df: DataFrame, fills=S.CONSTANT_FILLS) -> DataFrame:
     return df.fillna({c: v for c, v in fills.items() if c in df.columns})
 
 
-def fit_medians(df: DataFrame, columns=S.MEDIAN_COLUMNS, sizes=None) -> dict[str, float]:
+def fit_medians(df: DataFrame, columns=S.MEDIAN_COLUMNS) -> dict[str, float]:
     cols = [c for c in present(df, columns) if isinstance(df.schema[c].dataType, T.NumericType)]
     if not cols:
         return {}
-    return {c: q[0] for c, q in quantiles(df, cols, [0.5], sizes).items() if q[0] is not None}
+    return {c: q[0] for c, q in quantiles(df, cols, [0.5]).items() if q[0] is not None}
 
 
 def apply_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -89,10 +89,10 @@ def impute_median(df: DataFrame, columns=S.MEDIAN_COLUMNS) -> DataFrame:
     return apply_medians(df, fit_medians(df, columns))
 
 
-def fit_bounds(df: DataFrame, columns=S.CLIPPED_COLUMNS, factor: float = S.IQR_FACTOR,
-               sizes=None) -> dict[str, tuple[float, float]]:
+def fit_bounds(df: DataFrame, columns=S.CLIPPED_COLUMNS,
+               factor: float = S.IQR_FACTOR) -> dict[str, tuple[float, float]]:
     """``[Q1 - factor*IQR, Q3 + factor*IQR]`` per column."""
-    found = quantiles(df, present(df, columns), [0.25, 0.75], sizes)
+    found = quantiles(df, present(df, columns), [0.25, 0.75])
     return {
         c: (a - factor * (b - a), b + factor * (b - a))
         for c, (a, b) in found.items() if a is not None
@@ -163,9 +163,8 @@ def clean(df: DataFrame, ts: str = "@timestamp") -> DataFrame:
     of that table.
     """
     rows = materialize(prepare(df, ts), "prepared")
-    sizes = domain_sizes(rows, present(rows, dict.fromkeys([*S.MEDIAN_COLUMNS, *S.CLIPPED_COLUMNS])))
-    filled = apply_medians(rows, fit_medians(rows, sizes=sizes))
-    return normalize_text(apply_bounds(filled, fit_bounds(filled, sizes=sizes)))
+    filled = apply_medians(rows, fit_medians(rows))
+    return normalize_text(apply_bounds(filled, fit_bounds(filled)))
 
 
 def clean_stats(before: DataFrame, after: DataFrame) -> DataFrame:

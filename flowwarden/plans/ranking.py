@@ -8,7 +8,9 @@ before it are added.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from flowwarden.plans.storage import materialize
 ROWS_PER_PART = 200_000
 SMALL_DOMAIN = 100_000
 SKETCH = 10_000
+# A search that sketches do not narrow in so many rounds is done by running sums.
+MOST_ROUNDS = 8
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
@@ -48,68 +52,145 @@ def sorted_places(df: DataFrame, column: str, out: str, rows_per_part: int = ROW
     return ranked.withColumn(out, F.col(out) - 1).drop("_one")
 
 
-def _by_running_sums(df: DataFrame, low: int, high: int) -> tuple[float, float]:
-    """The values at two ranks, from the counts per value and their running sums."""
+def _by_running_sums(df: DataFrame, ranks: list[int]) -> list[float]:
+    """The values at some ranks, from the counts per value and their running sums."""
     counts = df.groupBy("v").agg(F.count("*").alias("n"))
-    row = running_sums(counts, "v", {"upto": "n"}).agg(
-        F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"),
-    ).first()
-    return row.a, row.b
+    row = running_sums(counts, "v", {"upto": "n"}).agg(*[
+        F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
+    return [row[f"r{i}"] for i in range(len(ranks))]
+
+
+@dataclass(eq=False)
+class _Search:
+    """Ranks wanted of one column, and the open interval their values lie in."""
+
+    column: str
+    ranks: list[int]
+    low: float
+    high: float
+    below: int = 0
+    inside: int = 0
+    rounds: int = 0
+    found: dict[int, float] = field(default_factory=dict)
+
+    def missing(self) -> list[int]:
+        return [r for r in self.ranks if r not in self.found]
+
+    def value(self) -> Column:
+        return F.col(f"`{self.column}`").cast("double")
+
+    def between(self) -> Column:
+        """The value where it lies strictly inside."""
+        return F.when((self.value() > self.low) & (self.value() < self.high), self.value())
+
+
+def _count_around(df: DataFrame, searches: list[_Search]) -> list[_Search]:
+    """One pass: place the ends of every interval, and with them the ranks that fall on an end.
+
+    Returns the searches whose interval misses a wanted rank.
+    """
+    counts = []
+    for i, s in enumerate(searches):
+        v = s.value()
+        counts += [F.count(F.when(v < s.low, 1)).alias(f"b{i}"), F.count(F.when(v == s.low, 1)).alias(f"l{i}"),
+                   F.count(s.between()).alias(f"i{i}"), F.count(F.when(v == s.high, 1)).alias(f"h{i}")]
+    row = df.agg(*counts).first()
+    lost = []
+    for i, s in enumerate(searches):
+        start = row[f"b{i}"]
+        s.below, s.inside = start + row[f"l{i}"], row[f"i{i}"]
+        # With equal ends the same rows were counted as both.
+        end = s.below + s.inside + (row[f"h{i}"] if s.high != s.low else 0)
+        for r in s.missing():
+            if start <= r < s.below:
+                s.found[r] = s.low
+            elif s.below + s.inside <= r < end:
+                s.found[r] = s.high
+            elif not start <= r < end:
+                lost.append(s)
+                break
+    return lost
+
+
+def _look_inside(df: DataFrame, searches: list[_Search]) -> list[_Search]:
+    """One pass: the wanted values of intervals with few rows, narrower ends for the others.
+
+    Returns the searches that did not get narrower.
+    """
+    asked, places = [], []
+    for i, s in enumerate(searches):
+        at = [r - s.below for r in s.missing()]
+        if s.inside <= SMALL_DOMAIN:
+            values = F.array_sort(F.collect_list(s.between()))
+            asked += [F.get(values, F.lit(p)).alias(f"v{i}_{p}") for p in at]
+            places.append(at)
+        else:
+            margin = 4.0 / SKETCH
+            levels = [max(0.0, min(at) / s.inside - margin), min(1.0, max(at) / s.inside + margin)]
+            asked.append(F.percentile_approx(s.between(), levels, SKETCH).alias(f"e{i}"))
+            places.append(None)
+    row = df.agg(*asked).first()
+    stuck = []
+    for i, (s, at) in enumerate(zip(searches, places)):
+        if at is not None:
+            s.found.update({p + s.below: row[f"v{i}_{p}"] for p in at})
+        else:
+            low, high = row[f"e{i}"]
+            # The ends are values inside now, so they are counted as ends next time.
+            s.low, s.high, s.rounds = low, high, s.rounds + 1
+            if s.rounds > MOST_ROUNDS:
+                stuck.append(s)
+    return stuck
 
 
 def exact_quantile(df: DataFrame, column: str, level: float) -> float | None:
-    """Linear-interpolated quantile of one column, exact at any number of distinct values.
+    """Linear-interpolated quantile of one column, exact at any number of distinct values."""
+    return quantiles(df, [column], [level])[column][0]
 
-    A sketch brackets the value and one pass counts the rows below the bracket;
-    only rows inside it are looked at further.  A small bracket is sorted; a
-    large one is counted per value with running sums.
+
+def quantiles(df: DataFrame, columns: list[str], levels: list[float]) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of several columns at several levels, all at once.
+
+    One pass of sketches brackets every wanted rank, one counts the rows around
+    the brackets, and one sorts the few rows inside them: three passes over the
+    columns, whatever their number.  A bracket that holds more than
+    ``SMALL_DOMAIN`` rows is narrowed by another such pair of passes first; each
+    leaves about a thousandth of it, or ends on the value that fills it.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
     margin = 4.0 / SKETCH
-    levels = [max(0.0, level - margin), min(1.0, level + margin)]
-    total, ends = values.agg(F.count("*"), F.percentile_approx("v", levels, SKETCH)).first()
-    if not total:
-        return None
-    place = (total - 1) * level
-    low, high = int(place), min(int(place) + 1, total - 1)
-    inside = values.filter(F.col("v").between(*ends))
-    below, held = values.agg(
-        F.count(F.when(F.col("v") < ends[0], 1)),
-        F.count(F.when(F.col("v").between(*ends), 1))).first()
-    if below > low or below + held <= high:
-        a, b = _by_running_sums(values, low, high)
-    elif held <= SMALL_DOMAIN:
-        found = [r.v for r in inside.orderBy("v").offset(low - below).limit(2).collect()]
-        a, b = found[0], found[-1] if high > low else found[0]
-    else:
-        a, b = _by_running_sums(inside, low - below, high - below)
-    return a + (b - a) * (place - low)
-
-
-def domain_sizes(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """About how many distinct values each column has; one pass."""
-    return df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-
-
-def quantiles(df: DataFrame, columns: list[str], levels: list[float],
-              sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of several columns.
-
-    Columns with a small domain (ports, lengths, hop counts) share one pass of
-    the built-in exact aggregate, which keeps one entry per distinct value.
-    Others go through :func:`exact_quantile`.
-    """
-    sizes = sizes or domain_sizes(df, columns)
-    small = [c for c in columns if sizes[c] <= SMALL_DOMAIN]
+    ends = [[max(0.0, q - margin), min(1.0, q + margin)] for q in levels]
+    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    row = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(columns)], *[
+        F.percentile_approx(value[c], [x for e in ends for x in e], SKETCH).alias(f"e{i}") for i, c in enumerate(columns)]).first()
+    searches: dict[tuple[int, int], _Search] = {}
+    for i, c in enumerate(columns):
+        n = row[f"n{i}"]
+        for k, q in enumerate(levels):
+            if n:
+                low = int((n - 1) * q)
+                searches[i, k] = _Search(c, sorted({low, min(low + 1, n - 1)}), *row[f"e{i}"][2 * k:2 * k + 2])
+    waiting = list(searches.values())
+    lost: list[_Search] = []
+    while waiting:
+        missed = _count_around(df, waiting)
+        lost += missed
+        waiting = [s for s in waiting if s.missing() and s not in missed]
+        if waiting:
+            stuck = _look_inside(df, waiting)
+            lost += stuck
+            waiting = [s for s in waiting if s.missing() and s not in stuck]
+    for s in lost:
+        values = df.select(s.value().alias("v")).filter("v IS NOT NULL")
+        s.found.update(zip(s.missing(), _by_running_sums(values, s.missing())))
     out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[
-            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in levels])).alias(c)
-            for c in small
-        ]).first()
-        out.update({c: list(row[c]) if row[c] else [None] * len(levels) for c in small})
-    for c in columns:
-        if c not in out:
-            out[c] = [exact_quantile(df, c, q) for q in levels]
+    for i, c in enumerate(columns):
+        out[c] = []
+        for k, q in enumerate(levels):
+            s = searches.get((i, k))
+            if s is None:
+                out[c].append(None)
+                continue
+            place = (row[f"n{i}"] - 1) * q
+            a, b = s.found[s.ranks[0]], s.found[s.ranks[-1]]
+            out[c].append(a + (b - a) * (place - s.ranks[0]))
     return out

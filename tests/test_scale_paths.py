@@ -57,6 +57,33 @@ def test_exact_quantile_on_every_path(spark, monkeypatch, level):
     assert R.quantiles(df, ["x"], [level])["x"][0] == pytest.approx(want)
 
 
+def test_quantiles_of_many_columns_in_three_passes(spark, monkeypatch):
+    """Few and many distinct values, nulls, one value, none at all: exact, and one pass of each kind for all of them."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    data = {"many": rng.normal(size=n), "few": rng.integers(0, 3, n).astype(float), "ports": rng.integers(0, 65536, n).astype(float),
+            "hot": np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n) * 50), "same": np.full(n, 2.5)}
+    rows = [tuple(float(data[c][i]) for c in data) + (None, None if i % 3 else float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in [*data, "none", "a.b"]))
+    levels = [0.0, 0.05, 0.25, 0.5, 0.6, 0.75, 1.0]
+    want = {c: [float(np.quantile(data[c], q)) for q in levels] for c in data}
+    want |= {"none": [None] * len(levels), "a.b": [float(np.quantile(np.arange(0, n, 3), q)) for q in levels]}
+    passes = []
+    for name in ("_count_around", "_look_inside"):
+        run = getattr(R, name)
+        monkeypatch.setattr(R, name, lambda *a, run=run, name=name: passes.append(name) or run(*a))
+    got = R.quantiles(df, [*want], levels)
+    assert all(got[c] == (want[c] if c == "none" else pytest.approx(want[c])) for c in want)
+    assert passes == ["_count_around", "_look_inside"]
+    monkeypatch.setattr(R, "SMALL_DOMAIN", 1)
+    monkeypatch.setattr(R, "SKETCH", 60)
+    again = R.quantiles(df, [*want], levels)
+    assert all(again[c] == (want[c] if c == "none" else pytest.approx(want[c])) for c in want) and len(passes) > 3
+    monkeypatch.setattr(R, "MOST_ROUNDS", 0)
+    last = R.quantiles(df, ["many", "hot"], [0.3, 0.5])
+    assert last["many"] == pytest.approx([float(np.quantile(data["many"], q)) for q in (0.3, 0.5)])
+
+
 def test_large_vocabulary_is_joined(spark, monkeypatch):
     df = fw(spark, SF)
     vocabulary = X.fit_vocabulary(df.filter("dst_port < 80"))
