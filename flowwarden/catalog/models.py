@@ -145,9 +145,14 @@ def _c(n: int) -> str:
     return {1: "0.0", 2: "1.0"}.get(n, f"(2 * (ln({n - 1}) + 0.5772156649) - 2.0 * {n - 1} / {n})")
 
 
-@query("toy_forest_scores", with_fw(f"""SELECT event_id, {r6(f'''-pow(2.0, -((
+def toy_paths_sql() -> str:
+    """The toy forest's score of a row with ``length, ttl, dst_port``."""
+    return f"""-pow(2.0, -((
   CASE WHEN length <= 700 THEN CASE WHEN ttl <= 62.5 THEN 2 + {_c(2)} ELSE 2 + {_c(3)} END ELSE 1 + {_c(3)} END +
-  CASE WHEN dst_port <= 1024 THEN 1 + {_c(6)} ELSE 2 + {_c(1)} END) / 2.0) / {_c(8)})''')} AS raw_score FROM fw"""))
+  CASE WHEN dst_port <= 1024 THEN 1 + {_c(6)} ELSE 2 + {_c(1)} END) / 2.0) / {_c(8)})"""
+
+
+@query("toy_forest_scores", with_fw(f"SELECT event_id, {r6(toy_paths_sql())} AS raw_score FROM fw"))
 def toy_forest_scores(spark, sf):
     nodes = spark.createDataFrame(pd.DataFrame(
         TOY_NODES, columns=["tree", "node", "feature", "threshold", "depth", "size"]))

@@ -63,8 +63,9 @@ def add_location_by_prefix(df: DataFrame, networks: DataFrame, ip: str = "src_ip
 def name_periods(lookups: DataFrame, hit_seconds: int, failed_seconds: int, bucket_seconds: int) -> DataFrame:
     """Per address and bucket of time: the lookups that count there, in order of time.
 
-    A lookup counts from its time until it expires, so it is listed in the few
-    buckets between the two and nothing has to be carried further.
+    A lookup is listed in the few buckets until the longer of the two times has
+    passed, since for that long it hides those before it, expired or not; nothing
+    has to be carried further.
     """
     c = F.col
     once = lookups.filter("ip IS NOT NULL AND looked_up_at IS NOT NULL").groupBy("ip", "looked_up_at").agg(F.min("hostname").alias("_name"))
@@ -72,8 +73,8 @@ def name_periods(lookups: DataFrame, hit_seconds: int, failed_seconds: int, buck
     lasts = F.when(c("_name").isNull(), F.lit(failed_seconds)).otherwise(F.lit(hit_seconds)).cast("long")
     timed = once.select("ip", "_name", at.alias("_from"), (at + lasts * 1_000_000).alias("_until"))
     width = bucket_seconds * 1_000_000
-    first, last = F.floor(c("_from") / width), F.floor((c("_until") - 1) / width)
-    listed = timed.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+    hides = max(hit_seconds, failed_seconds) * 1_000_000
+    listed = timed.withColumn("_bucket", F.explode(F.sequence(F.floor(c("_from") / width), F.floor((c("_from") + hides) / width))))
     return listed.groupBy(c("ip").alias("_ip"), c("_bucket").alias("_of")).agg(
         F.sort_array(F.collect_list(F.struct("_from", "_until", "_name"))).alias("_names"))
 

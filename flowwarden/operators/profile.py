@@ -97,3 +97,64 @@ def profile_diff(before: DataFrame, after: DataFrame) -> DataFrame:
         return p.select("column_name", *[
             F.col(c).alias(f"{tag}_{c}") for c in ("type", "n_rows", "nulls", "distinct_values")])
     return side(before, "before").join(side(after, "after"), "column_name", "full_outer")
+
+
+# ---- profiles that merge: one small row per day and column, kept and added up later ----
+HLL_BITS = 12
+KLL_SIZE = 400
+
+
+def day_sketches(df: DataFrame, day: Column, columns: list[str] | None = None) -> DataFrame:
+    """Per day and column: rows, nulls, ends, and sketches of the distinct values and of the order of numbers.
+
+    One pass in which only sketches are shuffled, some kilobytes for each day and
+    column of a task.  Distinct values are those of the text form, as in
+    :func:`profile_columns`; ends are the smallest and largest text.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    aggregates = []
+    for i, f in enumerate(fields):
+        text = _text(f)
+        number = F.col(f"`{f.name}`").cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double")
+        aggregates += [
+            F.count(text).alias(f"n{i}"), F.min(text).alias(f"a{i}"), F.max(text).alias(f"b{i}"),
+            F.hll_sketch_agg(text, HLL_BITS).alias(f"d{i}"), F.kll_sketch_agg_double(number, KLL_SIZE).alias(f"q{i}")]
+    wide = df.groupBy(day.cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), *aggregates)
+    rows = F.array(*[F.struct(
+        F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"),
+        (F.col("n") - F.col(f"n{i}")).alias("nulls"), F.col(f"a{i}").alias("smallest"), F.col(f"b{i}").alias("largest"),
+        F.col(f"d{i}").alias("distinct_sketch"),
+        (F.col(f"q{i}") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("binary")).alias("order_sketch"))
+        for i, f in enumerate(fields)])
+    return wide.select("day", F.explode(rows).alias("p")).select("day", "p.*")
+
+
+def write_day_sketches(sketches: DataFrame, path: str) -> None:
+    """Add days to a folder of sketches; a day that is there already is replaced."""
+    sketches.hint("rebalance", "day").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("day").parquet(path)
+
+
+def merge_sketches(sketches: DataFrame, levels: list[float] = (0.5,)) -> DataFrame:
+    """The profile of all the given days, from their sketches alone.
+
+    Rows, nulls and ends are exact; ``distinct_values`` is off by some 1.6 % at
+    ``HLL_BITS``, and the rank of each of ``quantiles`` by about a percent.  A
+    column whose type changed has the type of its last day.
+    """
+    with_order = F.when(F.col("order_sketch").isNotNull() & (F.col("nulls") < F.col("n_rows")), F.col("order_sketch"))
+    merged = sketches.groupBy("column_name").agg(
+        F.max_by("type", "day").alias("type"), F.count_distinct("day").alias("days"), F.sum("n_rows").alias("n_rows"), F.sum("nulls").alias("nulls"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("distinct_values"),
+        F.min("smallest").alias("smallest"), F.max("largest").alias("largest"),
+        F.count(with_order).alias("_ordered"), F.kll_merge_agg_double(with_order).alias("_order"))
+    quantiles = F.when(F.col("_ordered") > 0, F.array(*[F.kll_sketch_get_quantile_double("_order", F.lit(q)) for q in levels]))
+    return merged.select(
+        "column_name", "type", "days", "n_rows", "nulls", (F.col("nulls") * F.lit(100).cast("double") / F.col("n_rows")).alias("null_percent"),
+        "distinct_values", "smallest", "largest", quantiles.alias("quantiles"))
+
+
+def diff_merged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two merged profiles side by side, such as those of two weeks."""
+    def side(p: DataFrame, tag: str) -> DataFrame:
+        return p.select("column_name", *[F.col(c).alias(f"{tag}_{c}") for c in ("type", "n_rows", "nulls", "distinct_values")])
+    return side(before, "before").join(side(after, "after"), "column_name", "full_outer")

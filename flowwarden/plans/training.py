@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,13 @@ from flowwarden.operators import clean as C
 from flowwarden.operators import evaluate as V
 from flowwarden.operators import features as X
 from flowwarden.operators import forest as M
+from flowwarden.plans import versions
 from flowwarden.plans.ranking import exact_quantile
 from flowwarden.plans.storage import materialize
 
+PARTS = "_parts"
+TABLES = ("vocabulary", "scaler", "nodes")
+
 
 @dataclass
 class Model:
@@ -30,23 +35,34 @@ class Model:
     metadata: dict | None = None
 
     def save(self, path: str) -> None:
-        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        """Write all parts to a folder of their own, then commit that folder as the model's newest version.
+
+        A reader gets the version before or this one, never parts of both; the
+        version before stays for readers that are at it.
+        """
         spark = self.nodes.sparkSession
-        state = {"offset": self.offset, "rows_per_tree": self.rows_per_tree,
-                 "metadata": self.metadata or {}}
-        spark.createDataFrame([(json.dumps(state, default=str),)], "state string").coalesce(1).write.mode(
-            "overwrite").text(f"{path}/metadata")
+        number = versions.next_number(spark, path)
+        folder = f"{PARTS}/{number:012d}-{uuid.uuid4().hex}"
+        for name in TABLES:
+            getattr(self, name).write.parquet(f"{path}/{folder}/{name}")
+        state = {"folder": folder, "offset": self.offset, "rows_per_tree": self.rows_per_tree,
+                 "metadata": json.loads(json.dumps(self.metadata or {}, default=str))}
+        if not versions.commit(spark, path, number, state):
+            raise RuntimeError(f"another writer saved version {number} of {path}")
+        older = [n for n in versions.numbers(spark, path) if n < number][-1:]
+        versions.forget_before(spark, path, *(older or [number]))
+        for name in versions.children(spark, f"{path}/{PARTS}"):
+            if int(name.split("-")[0]) < (older or [number])[0]:
+                versions.remove(spark, f"{path}/{PARTS}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Model":
-        state = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-        return Model(
-            spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/scaler"),
-            spark.read.parquet(f"{path}/nodes"), state["offset"], state["rows_per_tree"],
-            state["metadata"],
-        )
+        newest = versions.current(spark, path)
+        if newest is None:
+            raise FileNotFoundError(f"no model was saved to {path}")
+        state = newest[1]
+        tables = [spark.read.parquet(f"{path}/{state['folder']}/{name}") for name in TABLES]
+        return Model(*tables, state["offset"], state["rows_per_tree"], state["metadata"])
 
 
 def model_columns() -> list[str]:
