@@ -21,7 +21,9 @@ REJECT_SHARE = 0.6
 # A centroid accepts this share of the rows set aside (one of ASIDE), less a margin; cosines grow with
 # the length, so beginnings of these lengths are looked at each by itself, where there are at least so many rows.
 QUANTILE, ASIDE, LEAST_ROWS = 0.02, 4, 20
-BANDS = (6, 20, 60, 200, 700, 2500)
+BANDS = (6, 20, 60, 200, 700, 2500, 10_000, 40_000)
+# Rows are thinned by their hash to this many times the rows wanted before any are ranked.
+OVERSAMPLE = 4
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -69,13 +71,29 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batches, text_col: str, lang_col: str):
+    """Logarithms of the counts of whole texts."""
     for batch in batches:
-        for lang, text, aside in zip(*(batch.column(c).to_pylist() for c in (lang_col, text_col, "__aside"))):
-            parts = [(k, text[:b]) for k, b in enumerate(BANDS) if len(text) >= b] if aside else [(-1, text)]
-            for band, part in parts:
+        for lang, text in zip(*(batch.column(c).to_pylist() for c in (lang_col, text_col))):
+            found = counts(text)
+            if found is not None:
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "vector": [np.log1p(found).astype(np.float16).tobytes()]})
+
+
+def _cosines(batches, shared, text_col: str, lang_col: str):
+    """The nearest centroid of a text's own language and its cosine, for beginnings of every length and for the whole text."""
+    idf, centres = shared.value
+    for batch in batches:
+        rows = []
+        for lang, text in zip(*(batch.column(c).to_pylist() for c in (lang_col, text_col))):
+            fits = [k for k, b in enumerate(BANDS) if len(text) >= b]
+            # The whole text stands at the longest length that it reaches.
+            for k, part in [(k, text[:BANDS[k]]) for k in fits] + [(fits[-1] if fits else 0, text)]:
                 found = counts(part)
-                if found is not None:
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "band": pa.array([band], pa.int32()), "vector": [np.log1p(found).astype(np.float16).tobytes()]})
+                if found is not None and lang in centres:
+                    near = (_unit((np.log1p(found) * idf)[None, :]) @ centres[lang].T)[0]
+                    rows.append((lang, k, int(near.argmax()), float(near.max())))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["lang", "band", "best", "cosine"])
 
 
 def _clusters(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -115,35 +133,49 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     The rows of a language come first in the order of a seeded hash of their
     identifier; their whole texts are read.  One of four is set aside: the
-    centroids come from the others, and beginnings of those set aside tell what
-    cosines are to be expected at which length.  Only their count vectors, of fixed
-    length, reach the driver.  Rows without language or without letters are
-    not used; without any row the model knows no language.
+    centroids come from the others, and beginnings of those set aside, and their
+    whole texts, tell what cosines are to be expected at which length.  Only count
+    vectors of the rows that make the centroids reach the driver, one of fixed
+    length each; of the rows set aside tasks return cosines.  Rows without language
+    or without letters are not used; without any row the model knows no language.
     """
+    spark = labelled.sparkSession
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    n_langs = rows.select(lang_col).distinct().limit(sample_rows).count()
-    if not n_langs:
+    held = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(sample_rows).collect()
+    if not held:
         return Centroids(np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros((0, len(BANDS))))
+    each = max(1, sample_rows // len(held))
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    share = F.create_map(*[F.lit(x) for r in held for x in (r["lang"], min(1.0, OVERSAMPLE * each / r["n"]))])
+    thinned = rows.where(F.pmod(F.xxhash64(h), F.lit(1 << 40)) < share[F.col(lang_col)] * float(1 << 40))
     order = W.partitionBy("lang").orderBy("h", "id")
-    ids = (rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
-           .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, sample_rows // n_langs)).select("id", (F.col("rank") % ASIDE == 0).alias("aside")).collect())
-    wanted = labelled.where(F.col(id_col).isin([r[0] for r in ids]) & F.col(lang_col).isNotNull())
-    got = wanted.select(text_col, lang_col, F.col(id_col).isin([r["id"] for r in ids if r["aside"]]).alias("__aside")).mapInArrow(
-        partial(_vectors, text_col=text_col, lang_col=lang_col), "lang string, band int, vector binary").limit(sample_rows * len(BANDS)).collect()
-    names, band = np.array([r["lang"] for r in got]), np.array([r["band"] for r in got])
+    ids = (thinned.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), h.alias("h"))
+           .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("id", (F.col("rank") % ASIDE == 0).alias("aside")).collect())
+    aside = [r["id"] for r in ids if r["aside"]]
+
+    def of(chosen: list) -> DataFrame:
+        found = labelled.where(F.col(id_col).isin(chosen) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+        return found.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+
+    got = of([r["id"] for r in ids if not r["aside"]]).mapInArrow(
+        partial(_vectors, text_col="text", lang_col="lang"), "lang string, vector binary").limit(sample_rows).collect()
+    names = np.array([r["lang"] for r in got])
     tf = np.array([np.frombuffer(r["vector"], np.float16) for r in got], np.float32).reshape(-1, DIMS)
-    whole = tf[band < 0]
-    idf = (np.log((1 + len(whole)) / (1 + (whole > 0).sum(axis=0))) + 1).astype(np.float32)
-    rows_unit = _unit(tf * idf)
+    del got
+    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
+    tf *= idf
+    tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-12)
+    found = {str(name): _clusters(tf[names == name], clusters) for name in sorted(set(names))}
+    shared = spark.sparkContext.broadcast((idf, found))
+    told = of(aside).mapInArrow(partial(_cosines, shared=shared, text_col="text", lang_col="lang"),
+                                "lang string, band int, best int, cosine double").limit(sample_rows * (len(BANDS) + 1)).toPandas()
     centre, lang, low = [], [], []
-    for name in sorted(set(names[band < 0])):
-        found = _clusters(rows_unit[(names == name) & (band < 0)], clusters)
-        near = [rows_unit[(names == name) & (band == k)] @ found.T for k in range(len(BANDS))]
-        centre += list(found)
-        lang += [str(name)] * len(found)
-        low.append(_low([x.max(axis=1) for x in near], [x.argmax(axis=1) for x in near], len(found)))
-    low = np.concatenate(low)
-    return Centroids(idf, np.array(centre, np.float32), lang, low)
+    for name, centres in found.items():
+        near = [told[(told["lang"] == name) & (told["band"] == k)] for k in range(len(BANDS))]
+        centre += list(centres)
+        lang += [name] * len(centres)
+        low.append(_low([x["cosine"].to_numpy() for x in near], [x["best"].to_numpy() for x in near], len(centres)))
+    return Centroids(idf, np.array(centre, np.float32).reshape(-1, DIMS), lang, np.concatenate(low) if low else np.zeros((0, len(BANDS))))
 
 
 def _predict(batches, shared, text_col: str, keep: list[str], reject_share: float):
