@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowwarden.llm.text import mix64
+from flowwarden.llm.text import mix64, sealed
 
 DIMS = 8192
 SAMPLE_ROWS = 1600
@@ -214,8 +214,9 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text", reject_s
     other columns pass through (the three result names are replaced).
     """
     fresh = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    keep = [f for f in docs.schema.fields if f.name not in {n.name for n in fresh}]
+    docs, inner, keep = sealed(docs, [f.name for f in fresh])
+    names = [inner[c] for c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f.name for f in keep]
-    work = partial(_predict, shared=shared, text_col=text_col, keep=names, reject_share=reject_share)
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(lambda b: work(b), T.StructType([*keep, *fresh]))
+    work = partial(_predict, shared=shared, text_col=inner[text_col], keep=names, reject_share=reject_share)
+    done = docs.select(*names).mapInArrow(lambda b: work(b), T.StructType([*(docs.schema[n] for n in names), *fresh]))
+    return done.toDF(*keep, *[f.name for f in fresh])

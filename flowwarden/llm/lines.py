@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.text import checked_broadcast, materialize
+from flowwarden.llm.text import checked_broadcast, materialize, sealed
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -55,26 +55,26 @@ def line_dedup(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES
     other columns pass through (``n_lines`` and ``n_dropped`` are replaced), an
     empty table gives no rows.
     """
-    shares = line_shares(docs, host_col, text_col)
+    docs, inner, keep = sealed(docs, ("n_lines", "n_dropped"))
+    shares = line_shares(docs, inner[host_col], inner[text_col])
     drop = materialize(
         shares.where((F.col("share") > ratio) & (F.col("pages") >= min_pages))
         .groupBy("host").agg(F.collect_list("line").alias("__drop")).withColumnRenamed("host", "__host"), "boilerplate")
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    host = F.col(f"`{host_col}`")
+    rows = docs.select(*[inner[c] for c in keep])
+    host = F.col(inner[host_col])
     few = checked_broadcast(drop.select(F.explode("__drop")))
     if few is not None:
         joined = rows.join(F.broadcast(drop), host.eqNullSafe(F.col("__host")), "left")
     else:
         salted = drop.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__by", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(f"`{text_col}`")), F.lit(SALTS)).cast("int"))
+        rows = rows.withColumn("__by", F.pmod(F.xxhash64(inner[id_col], F.length(inner[text_col])), F.lit(SALTS)).cast("int"))
         joined = rows.join(salted, host.eqNullSafe(F.col("__host")) & (F.col("__by") == F.col("__salt")), "left")
-    text = F.col(f"`{text_col}`")
+    text = F.col(inner[text_col])
     hit = F.col("__drop").isNotNull()
     left = F.when(hit, F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__drop"), _mark(x))))
     joined = joined.withColumn("__left", left)
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long")
     kept = F.when(hit & text.isNotNull(), F.array_join("__left", "\n")).otherwise(text)
     dropped = F.when(hit & text.isNotNull(), n_lines - F.size("__left")).otherwise(0).cast("long")
-    return joined.select(*[(kept if c == text_col else F.col(f"`{c}`")).alias(c) for c in keep],
+    return joined.select(*[(kept if c == text_col else F.col(inner[c])).alias(c) for c in keep],
                          n_lines.alias("n_lines"), dropped.alias("n_dropped"))

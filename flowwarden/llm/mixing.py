@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowwarden.llm.text import checked_broadcast, materialize, text_of, word_count
+from flowwarden.llm.text import checked_broadcast, materialize, text_of, word_count, sealed
 
 NONE = "(none)"
 SALTS = 64
@@ -32,7 +32,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     siblings only when the children together are short.
     """
     tree = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    tree = tree.withColumn("given", F.least(budget.cast("long"), F.sum("cap").over(W.partitionBy())))
+    tree = tree.withColumn("given", F.least(budget.cast("long"), tree.agg(F.sum("cap")).scalar()))
     for depth, level in enumerate(levels):
         parent, node = list(levels[:depth]), list(levels[:depth + 1])
         nodes = tree.groupBy(*node).agg(F.sum("cap").alias("c"), F.first("given").alias("b")).withColumn("w", _weight(level, weights.get(level, {})))
@@ -74,16 +74,18 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     """
     names = list(levels)
     path = [f"mix_{n}" for n in names]
-    fresh = {"n_tokens", "copies", "tokens_used", *path}
-    keep = [c for c in docs.columns if c not in fresh]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep],
-                       *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(p) for c, p in zip(levels.values(), path)],
-                       word_count(text_of(text_col)).alias("n_tokens"), F.xxhash64(text_of(text_col)).alias("__tie"))
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(NONE))
+    # The levels are columns of the input by its own names, so they are taken before it gets inner ones.
+    tree = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(p) for c, p in zip(levels.values(), path)]
+    _, inner, keep = sealed(docs, {"n_tokens", "copies", "tokens_used", *path})
+    wide = docs.select("*", *tree).toDF(*inner.values(), *path)
+    text = text_of(inner[text_col])
+    rows = wide.select(*[inner[c] for c in keep], *path, word_count(text).alias("n_tokens"), F.xxhash64(text).alias("__tie"))
+    ident = F.coalesce(F.col(inner[id_col]).cast("string"), F.lit(NONE))
     slim = materialize(rows.select(ident.alias("ident"), *path, "n_tokens", "__tie").where("n_tokens > 0"), "mix-rows")
     leaves = slim.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"))
-    total = F.expr(f"(sum(tokens) over () * {int(fraction[0])}) div {int(fraction[1])}")
-    plan = budgets(leaves.withColumn("want", total), path, {f"mix_{k}": v for k, v in weights.items()}, F.col("want"), max_epochs)
+    leaves = materialize(leaves, "mix-leaves")
+    tokens = leaves.agg(F.sum("tokens")).first()[0] or 0
+    plan = budgets(leaves, path, {f"mix_{k}": v for k, v in weights.items()}, F.lit(tokens * int(fraction[0]) // int(fraction[1])), max_epochs)
     plan = materialize(plan.select(*path, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest")), "mix-plan")
     few = checked_broadcast(plan)
 
@@ -113,5 +115,5 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     last = F.when(F.col("cut").isNull() | (here > F.col("cut")), F.lit(0).cast("long")).when(here == F.col("cut"), F.col("part")).otherwise(F.col("n_tokens"))
     chosen = chosen.withColumn("__last", last).withColumn("copies", F.col("whole") + (F.col("__last") > 0).cast("long"))
     return chosen.where("copies > 0").select(
-        *[F.col(f"`{c}`") for c in keep], *path, "n_tokens", "copies",
+        *[F.col(inner[c]).alias(c) for c in keep], *path, "n_tokens", "copies",
         (F.col("whole") * F.col("n_tokens") + F.col("__last")).alias("tokens_used"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.llm import sieve
-from flowwarden.llm.text import hash_words, materialize, mix64, text_of
+from flowwarden.llm.text import hash_words, materialize, mix64, text_of, sealed
 
 WINDOW = 35
 GRAM = 8
@@ -131,7 +131,7 @@ def _candidates(batches, shared, bits: int, window: int, gram: int):
         owner = np.concatenate([doc[alone], np.full(len(many), -1), d[begin]]).astype(np.int64)
         known = owner >= 0
         id_of = pa.array(ids, kind).take(pa.array(np.where(known, owner, 0), mask=~known))
-        h_of = pa.array(np.where(known, np.array(marks, np.int32)[np.maximum(owner, 0)], 0).astype(np.int32))
+        h_of = pa.array(np.where(known, np.array(marks, np.int64)[np.maximum(owner, 0)], 0).astype(np.int64))
         n_rows = len(owner)
         ranges = np.arange(n_rows) >= len(alone) + len(many)
         return pa.RecordBatch.from_arrays([
@@ -169,8 +169,8 @@ def _removed(batches, text_col: str, keep: list[str]):
             if ranges.is_valid and len(ranges):
                 step = np.zeros(len(words) + 1, np.int64)
                 spans = ranges.values
-                np.add.at(step, spans.field("start").to_numpy(), 1)
-                np.add.at(step, spans.field("stop").to_numpy(), -1)
+                np.add.at(step, np.minimum(spans.field("start").to_numpy(), len(words)), 1)
+                np.add.at(step, np.minimum(spans.field("stop").to_numpy(), len(words)), -1)
                 stays = np.cumsum(step[:-1]) == 0
                 n_words.append(len(words))
                 words = [words[i] for i in np.flatnonzero(stays)]
@@ -193,11 +193,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """
     table, bits = anchor_filter(docs, text_col, window, gram)
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("h"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(table)
     work = partial(_candidates, shared=shared, bits=bits, window=window, gram=gram)
-    windows = rows.mapInArrow(lambda b: work(b), f"merged boolean, win long, n int, id {kind}, h int, start int, stop int")
+    windows = rows.mapInArrow(lambda b: work(b), f"merged boolean, win long, n int, id {kind}, h long, start int, stop int")
     counted = windows.withColumn("all", F.expr("sum(n) over (partition by merged, win)"))
     return (counted.where((F.col("all") > 1) & (F.col("start") >= 0))
             .groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
@@ -216,13 +216,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are told apart by a hash of the text.  An empty table gives no rows; other
     columns pass through (the result names are replaced).
     """
-    fresh = ("kept_text", "n_words", "n_removed")
-    keep = [f for f in docs.schema.fields if f.name not in fresh]
-    names = [f.name for f in keep]
-    found = repeats(docs, id_col, text_col, window, gram)
-    text = text_of(text_col)
-    rows = docs.select(*[F.col(f"`{n}`") for n in names], F.hash(text).alias("__h"))
-    joined = rows.join(found, rows[f"`{id_col}`"].eqNullSafe(found["id"]) & (rows["__h"] == found["h"]), "left")
-    joined = joined.select(*[rows[f"`{n}`"] for n in names], F.col("ranges").alias("__ranges"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "kept_text string", "n_words long", "n_removed long"])
-    return joined.mapInArrow(partial(_removed, text_col=text_col, keep=names), schema)
+    docs, inner, keep = sealed(docs, ("kept_text", "n_words", "n_removed"))
+    names = [inner[c] for c in keep]
+    found = repeats(docs, inner[id_col], inner[text_col], window, gram)
+    rows = docs.select(*names, F.xxhash64(text_of(inner[text_col])).alias("__h"))
+    joined = rows.join(found, rows[inner[id_col]].eqNullSafe(found["id"]) & (rows["__h"] == found["h"]), "left")
+    joined = joined.select(*names, F.col("ranges").alias("__ranges"))
+    schema = ", ".join([*(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names), "kept_text string", "n_words long", "n_removed long"])
+    done = joined.mapInArrow(partial(_removed, text_col=inner[text_col], keep=names), schema)
+    return done.toDF(*keep, "kept_text", "n_words", "n_removed")

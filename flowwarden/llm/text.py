@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.plans.storage import materialize
 
-__all__ = ["WORD", "materialize", "text_of", "word_count", "split_words", "hash_words", "NOT_WORD", "mix64", "grams", "checked_broadcast"]
+__all__ = ["WORD", "materialize", "text_of", "word_count", "split_words", "hash_words", "NOT_WORD", "mix64", "grams", "checked_broadcast", "sealed"]
 
 # A word is a run of anything but ASCII white space.  ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +31,17 @@ def checked_broadcast(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(small) if small.limit(most + 1).count() <= most else None
 
 
+def sealed(docs: DataFrame, fresh: Iterable[str]) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """The table under inner names, the inner name of each column, and the columns that pass through.
+
+    No column of the input can clash with one that an operator makes for itself.
+    A column with the name of a result, in whatever case, is replaced by it.
+    """
+    inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    taken = {f.lower() for f in fresh}
+    return docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))]), inner, [c for c in docs.columns if c.lower() not in taken]
+
+
 # --- vectorised hashes, inside tasks -------------------------------------------------
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowwarden.llm.text import NOT_WORD, hash_words, materialize, mix64, text_of
+from flowwarden.llm.text import NOT_WORD, hash_words, materialize, mix64, text_of, sealed
 
 PER_CLASS = 2000
 # Discounts of counts of 1, 2 and more where the counts of counts do not give them.
@@ -236,9 +236,9 @@ def toxicity(docs: DataFrame, model: ClassModels, text_col: str = "text", thresh
     rows get equal scores, an empty table gives no rows, other columns pass
     through (the two result names are replaced).
     """
-    keep = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    names = [f.name for f in keep]
+    docs, inner, keep = sealed(docs, ("score", "predicted"))
+    names = [inner[c] for c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*keep, T.StructField("score", T.DoubleType())])
-    rows = docs.select(*[f"`{n}`" for n in names]).mapInArrow(partial(_scores, shared=shared, text_col=text_col, keep=names), schema)
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField("score", T.DoubleType())])
+    rows = docs.select(*names).mapInArrow(partial(_scores, shared=shared, text_col=inner[text_col], keep=names), schema)
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int")).toDF(*keep, "score", "predicted")

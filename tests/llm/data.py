@@ -12,7 +12,8 @@ SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 # Names that operators use inside or return; such columns of the input must not disturb them.
-CLASHES = ["id", "h", "n", "score", "ids", "kept_text", "n_tokens", "run", "host", "line", "word", "copies", "node", "key", "train", "toxic"]
+CLASHES = ["id", "h", "n", "score", "ids", "kept_text", "n_tokens", "run", "host", "line", "word", "copies", "node", "key", "train", "toxic", "part", "whole", "rest", "cut", "ranges", "__h", "__ranges", "__drop", "__c0", "Score", "lang_Pred",
+           "N_Words", "band", "at", "start", "stop", "Copies_", "__salt"]
 
 POOL = {"en": "the of and th in er onal ing tion re sh wh ble ou ly".split(), "fr": "le la de que eux ai pour é ou ment tre".split(),
         "de": "der und zu ü ung sch en ß ein mit ver".split()}

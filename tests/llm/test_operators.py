@@ -329,3 +329,39 @@ def test_empty_tables(spark, vocabulary):
         language.identify(docs, language.fit(docs)), toxicity.toxicity(docs, toxicity.fit(docs, labels)), mixer.lm_scores(docs, F.lit(True)),
     ]
     assert [df.count() for df in found] == [0] * len(found)
+
+
+# --- rows without id whose texts have one 32-bit hash ---------------------------------
+def test_substring_rows_without_id_are_told_apart(spark):
+    """Two texts without id whose 32-bit hashes are equal keep their own ranges."""
+    size = 400_000
+    found = spark.range(size).select(F.concat(F.lit("w "), F.col("id").cast("string")).alias("t")).withColumn("h", F.hash("t"))
+    twin = found.groupBy("h").agg(F.collect_list("t").alias("t")).where(F.size("t") > 1).first()
+    assert twin is not None
+    passage = " ".join(f"p{k}" for k in range(40))
+    # The same ending gives texts of one hash another common hash only by chance, so the texts stay short.
+    rows = [(None, twin.t[0], "en", "s", 1), (None, twin.t[1], "en", "s", 1), (1, passage, "en", "s", 1), (None, passage, "en", "s", 1)]
+    got = sorted((r.text, r.n_words, r.n_removed) for r in substring.substring_dedup(frame(spark, rows, clash=True)).collect())
+    assert got == sorted([(twin.t[0], 2, 0), (twin.t[1], 2, 0), (passage, 40, 40), (passage, 40, 40)])
+
+
+def test_results_replace_columns_of_their_name_in_any_case(spark):
+    """An input column named like a result, in another case, is replaced and not ambiguous."""
+    docs = frame(spark, corpus(30)).select("*", F.lit("x").alias("Score"), F.lit("x").alias("N_Dropped"), F.lit("x").alias("Kept_Text"), F.lit("x").alias("COPIES"))
+    labels = spark.createDataFrame([(1000, 0), (1003, 1)], "doc_id long, toxic int")
+    model = language.fit(docs)
+    for found, fresh in ((lines.line_dedup(docs), "n_dropped"), (substring.substring_dedup(docs), "kept_text"), (language.identify(docs, model), "score"),
+                         (toxicity.toxicity(docs, toxicity.fit(docs, labels)), "score"), (mixing.mix(docs, {"lang": F.col("lang")}, {}, (1, 1), 1), "copies")):
+        assert [c for c in found.columns if c.lower() == fresh] == [fresh]
+        assert found.count() == 30 and found.where(F.col(fresh).cast("string") == "x").count() == 0
+
+
+def test_repeated_rows(spark):
+    """Repeated rows are rows of their own with equal results."""
+    rows = corpus(40)
+    docs = frame(spark, rows + rows[:7], clash=True)
+    labels = spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows)], "doc_id long, toxic int")
+    for found in (lines.line_dedup(docs), language.identify(docs, language.fit(docs)), toxicity.toxicity(docs, toxicity.fit(docs, labels))):
+        per = Counter(r.doc_id for r in found.collect())
+        assert all(per[r[0]] == (2 if i < 7 else 1) for i, r in enumerate(rows))
+        assert found.distinct().count() == len(rows)
