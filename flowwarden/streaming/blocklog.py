@@ -81,10 +81,11 @@ class BlockLog:
             rows = rows.filter(~F.coalesce(own, F.lit(False)))
         return newest_events(rows)
 
-    def write_batch(self, events: DataFrame, origin: str, number: int) -> None:
-        """The events of a batch; a retry replaces them."""
+    def write_batch(self, events: DataFrame, origin: str, number: int) -> DataFrame:
+        """Write the events of a batch and return them as stored; a retry replaces them."""
         stamped = events.withColumns({"origin": F.lit(origin), "batch": F.lit(number).cast("long")})
         stamped.hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/{origin}-{number}")
+        return self._read([f"{origin}-{number}"])
 
     def _closed(self, changes: list[str]) -> list[str]:
         """All changes but the last folder of every stream."""

@@ -136,9 +136,9 @@ class RunningCounters(StreamingQueryListener):
         return 0.0 if begun is None else (dt.datetime.now(dt.timezone.utc) - begun).total_seconds()
 
 
-def window_metrics() -> list:
-    """The detector's counters over scored windows (``total_connections, analysed, is_anomaly``)."""
-    on = F.coalesce(F.col("analysed"), F.lit(False))
+def window_metrics(analysed: bool = False) -> list:
+    """The detector's counters over scored windows (``total_connections, is_anomaly``, and ``analysed`` if asked for)."""
+    on = F.coalesce(F.col("analysed"), F.lit(False)) if analysed else F.lit(True)
     bad = F.coalesce(F.col("is_anomaly"), F.lit(False))
     return [
         F.coalesce(F.sum("total_connections"), F.lit(0)).alias("logs_so_far"),
@@ -148,8 +148,8 @@ def window_metrics() -> list:
 
 
 def observe_windows(scored: DataFrame, name: str = "detector") -> DataFrame:
-    """Let a stream of scored windows report the detector's counters."""
-    return scored.observe(name, *window_metrics())
+    """Let a stream of scored windows, some of them not analysed, report the detector's counters."""
+    return scored.observe(name, *window_metrics(analysed=True))
 
 
 def observe_fetches(rows: DataFrame, name: str = "fetches", ts: str = "@timestamp") -> DataFrame:

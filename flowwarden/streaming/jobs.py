@@ -16,7 +16,7 @@ from flowwarden.operators import parse as P
 from flowwarden.plans.training import Model, score
 from flowwarden.sources.writers import write_daily
 from flowwarden.streaming.blocklog import COMPACT_EVERY, BlockLog
-from flowwarden.streaming.counters import Totals
+from flowwarden.streaming.counters import Totals, window_metrics
 
 
 def tail_lines(spark: SparkSession, folder: str, kind: str = "firewall",
@@ -185,7 +185,7 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
 
 def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_path: str,
                      checkpoint: str, min_rows: int = S.MIN_ROWS_PER_IP, once: bool = True,
-                     seconds: int = S.SLIDE_SECONDS, compact_every: int = COMPACT_EVERY, **rules):
+                     seconds: int = S.SLIDE_SECONDS, compact_every: int = COMPACT_EVERY, totals: Totals | None = None, **rules):
     """Score each batch of windows, append detections, append blocks.
 
     Blocked sources are left out by an anti join with the block table, so a
@@ -194,6 +194,9 @@ def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_p
     batch on.  A batch reads the newest snapshot of the log and the changes after
     it, which are merged every ``compact_every`` batches.
 
+    With ``totals`` the detector's counters are added to it inside each batch: rows and
+    windows analysed, normal ones, detections and blocks so far, and the sources of the last batch.
+
     Every batch writes a folder named by query id and batch number, so a retry
     replaces its own rows and a new checkpoint adds to the old ones.  Read the
     detections with :func:`latest_detections`.
@@ -208,7 +211,7 @@ def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_p
         events = log.events(origin, number)
         blocks = L.current_blocks(events)
         chosen = B.eligible(batch, blocks, min_rows)
-        scored = score(B.representative_row(chosen, "@timestamp"), model, keys)
+        scored = score(B.representative_row(chosen, "@timestamp"), model, keys).persist()
         stamp = {"origin": F.lit(origin), "batch": F.lit(number).cast("long")}
         found = D.detections(scored).withColumns(stamp)
         out = f"{found_path}/{origin}-{number}"
@@ -217,7 +220,10 @@ def detection_stream(behavior: DataFrame, model: Model, block_path: str, found_p
         wanted = D.block_decisions(kept, **rules).select(
             "ip", "severity", "reason", F.col("anomaly_score").alias("score"),
             F.col("timestamp").alias("event_at"))
-        log.write_batch(L.block_events(events, wanted), origin, number)
+        new = log.write_batch(L.block_events(events, wanted), origin, number)
+        if totals is not None:
+            totals.add(origin, number, scored.agg(*window_metrics()).first().asDict() | {"blocks_so_far": new.count()})
+        scored.unpersist()
 
     return _start(behavior, checkpoint, once, seconds).outputMode("update").foreachBatch(act).start()
 

@@ -1,6 +1,9 @@
 """Cases in which rows or values used to be lost, or results to depend on size."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +88,12 @@ def test_a_cluster_needs_a_shared_folder():
 
 def test_first_line_patterns_agree_with_the_other_engine():
     assert "(?d)" not in G.STRICT_HEADER + G.RELAXED_HEADER + G.BSD_HEADER
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "flowwarden.llm", "corpus_pipeline"])
+def test_other_queries_stay_when_the_corpus_operators_cannot_be_imported(missing):
+    """A library that only they need, their folder or the pipeline is not there."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); print('parse_typed' in q, 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == ["True", "False", "True"]

@@ -11,6 +11,7 @@ from flowwarden.plans import training as Tr
 from flowwarden.plans.storage import new_path
 from flowwarden.sources import writers
 from flowwarden.streaming import jobs as J
+from flowwarden.streaming.counters import Totals
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,8 +29,9 @@ def test_detection_stream_blocks_once(spark):
         part.write.mode("append").parquet(f"{base}/in")
         stream = J.tail_table(spark, f"{base}/in", rows.schema)
         windows = J.behavior_stream(stream, "@timestamp", 3 * 86_400, 86_400)
-        J.detection_stream(windows, model, f"{base}/blocks", f"{base}/found", f"{base}/state").awaitTermination()
+        J.detection_stream(windows, model, f"{base}/blocks", f"{base}/found", f"{base}/state", totals=totals).awaitTermination()
 
+    totals = Totals(spark, f"{base}/totals")
     run(rows.filter("`@timestamp` < '2024-01-15'"))
     blocks = J.read_block_log(spark, f"{base}/blocks")
     first = {r.ip for r in L.current_blocks(blocks).collect()}
@@ -41,6 +43,8 @@ def test_detection_stream_blocks_once(spark):
     assert not later & first  # a blocked source is not analysed again
     per_ip = J.read_block_log(spark, f"{base}/blocks").groupBy("ip").count()
     assert per_ip.filter("count > 1").count() == 0
+    counted = totals.read(totals.queries()[0])
+    assert counted["blocks_so_far"] == per_ip.count() - 1 and counted["detections_so_far"] == found.count() == counted["analysed_so_far"]
     latest = J.latest_detections(spark, f"{base}/found")
     assert latest.count() == latest.select("ip", "timestamp").distinct().count() > 0
 
