@@ -109,13 +109,20 @@ def rename_aliases(df: DataFrame, aliases: dict[str, str] = S.FIELD_ALIASES) ->
 
 
 def parse_lines(df: DataFrame, message: str = "message") -> DataFrame:
-    """Raw lines to accepted IPv4 rows: header, early filter, fields, time, types."""
-    # One test on the raw line keeps good headers with version 4; a filter on the
-    # captured fields would be pushed below them and run the pattern again.
-    wanted = P.FIRST_LINE + P.STRICT_HEADER.removesuffix("(.*)") + P.IPV4_PAYLOAD
-    headed = parse_header(df.filter(F.col(message).rlike(wanted)), message)
-    rows = assign_time(convert_types(parse_filterlog(headed)))
-    return drop_work_fields(rows).drop("tags")
+    """Raw lines to accepted IPv4 rows: header, early filter, fields, time, types.
+
+    The header pattern runs once per line.  A filter on its groups would be
+    pushed below them and run the pattern again, so lines are kept by exploding
+    an array that holds the groups or nothing.
+    """
+    found = df.withColumn("_head", P.captures(F.col(message), P.STRICT_HEADER, len(P.STRICT_GROUPS)))
+    payload = P.captured(F.col("_head"), P.STRICT_GROUPS.index("payload"))
+    wanted = (F.size("_head") > 1) & payload.rlike(P.FIRST_LINE + "^" + P.IPV4_PAYLOAD)
+    nothing = F.array().cast("array<array<string>>")
+    kept = found.select(*df.columns, F.explode(F.when(wanted, F.array("_head")).otherwise(nothing)).alias("_head"))
+    headed = kept.select(*df.columns, F.col(message).alias("raw_message"),
+                         *[P.captured(F.col("_head"), i).alias(name) for i, name in enumerate(P.STRICT_GROUPS)])
+    return drop_work_fields(assign_time(convert_types(parse_filterlog(headed))))
 
 
 def parse_errors(df: DataFrame, message: str = "message") -> DataFrame:
