@@ -12,6 +12,8 @@ SETTINGS = {
     # The JVM does not compile methods above 8000 bytes of bytecode.  A stage with
     # some 65 feature columns is above that; with this limit Spark splits it.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows go to Python tasks in batches; long texts make batches of the usual 10,000 rows large on both sides.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 # These can only be given when the session is built.
 START_SETTINGS = {
