@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from flowwarden.llm.text import NOT_WORD, hash_words, materialize, mix64, text_of, sealed
 
 PER_CLASS = 2000
+OVERSAMPLE = 4
+# Weight of the squares of the regression's weights (of standardised features), chosen by folds of training rows.
+RIDGE = 1.0
 # Discounts of counts of 1, 2 and more where the counts of counts do not give them.
 DISCOUNTS = (0.75, 1.0, 1.25)
 RUNS = (1, 4, 12)
@@ -134,7 +137,7 @@ def _features(batches, shared):
             [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["toxic", "x"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weights of a logistic regression with intercept, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -148,7 +151,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         per_class: int = PER_CLASS, seed: int = 23) -> ClassModels:
-    """Learns from at most ``per_class`` labelled rows of each class, equally many, first in a seeded hash order of their ids.
+    """Learns from at most ``per_class`` labelled rows of each class, first in a seeded hash order of their ids.
 
     Four fifths of them are counted (whole texts), the rest fix how log ratios
     become scores, at the class shares of all labelled rows.  Several labels of
@@ -159,9 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels = materialize(labels, "labels")
     n_rows, n_toxic = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (n_toxic + 0.5) / (n_rows + 1)
-    each = max(1, min(per_class, n_toxic, n_rows - n_toxic))
+    # Rows are thinned by their hash before the few that are wanted of each class are ranked.
+    share = F.when(F.col("toxic") == 1, min(1.0, OVERSAMPLE * per_class / max(n_toxic, 1))).otherwise(
+        min(1.0, OVERSAMPLE * per_class / max(n_rows - n_toxic, 1)))
+    thinned = labels.where(F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(1 << 40)) < share * float(1 << 40))
     order = W.partitionBy("toxic").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    sample = materialize(labels.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select(
+    sample = materialize(thinned.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).select(
         "id", "toxic", (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(5)) == 0).alias("aside")), "label-sample")
     texts = materialize(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(
         F.broadcast(sample), "id").select("toxic", "aside", "text"), "labelled-texts")
