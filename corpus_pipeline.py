@@ -8,10 +8,12 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowwarden.llm import catalog, jaccard, language, lines
 from flowwarden.llm.text import materialize
+from flowwarden.plans.session import tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,35 +23,55 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; a missing language is filled with the predicted one."""
+    """Rejected documents go, those without a letter among them; a missing language is filled with the predicted one.
+
+    Null and empty texts are rejected, repeated rows alike; an empty table stays empty.
+    """
+    tune(spark)
     found = language.identify(docs, catalog.language_model(docs))
     return _documents(found.where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from the texts; no document goes."""
+    """Boilerplate lines go from the texts; no document goes.
+
+    A null text stays null with null ``n_chars``, a text that loses all lines becomes empty; an empty table stays empty.
+    """
+    tune(spark)
     return _documents(lines.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays.
 
-    Repeated rows of one id are one document.  Documents without id stay.
+    Rows of one id are one document: the row with the smallest text, language and
+    source stays.  Documents without id stay, and so do empty texts, which have no
+    near duplicates; an empty table stays empty.
     """
+    tune(spark)
     parts = jaccard.jaccard_components(docs)
     stay = parts.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _documents(kept.unionByName(docs.where(F.col("doc_id").isNull())))
+    kept = _documents(docs).join(stay, "doc_id", "left_semi")
+    # One row as a rule; a sort of the few rows of an id costs no more than the shuffle that brings them together.
+    first = W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    kept = kept.withColumn("__place", F.row_number().over(first)).where("__place = 1")
+    return _documents(kept).unionByName(_documents(docs.where(F.col("doc_id").isNull())))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture uses them: not at all, once, or once per epoch."""
+    """Documents as often as the mixture uses them: not at all, once, or once per epoch.
+
+    Null texts and texts without words hold no tokens and go; a null language or
+    source is a node of its own; repeated rows count each; an empty table stays empty.
+    """
+    tune(spark)
     found = catalog.mixed(docs)
     return _documents(found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and of the decoded text."""
+    """Token counts and digests of the encoded and of the decoded text, a row per row; a null text counts as empty."""
+    tune(spark)
     return catalog.encoded(docs)
 
 
