@@ -8,7 +8,6 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowwarden.llm import catalog, jaccard, language, lines
@@ -52,9 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     parts = jaccard.jaccard_components(docs)
     stay = parts.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = _documents(docs).join(stay, "doc_id", "left_semi")
-    # One row as a rule; a sort of the few rows of an id costs no more than the shuffle that brings them together.
-    first = W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    kept = kept.withColumn("__place", F.row_number().over(first)).where("__place = 1")
+    # Rows of one id are combined before they move, so many of them do not meet in one task.
+    kept = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
     return _documents(kept).unionByName(_documents(docs.where(F.col("doc_id").isNull())))
 
 

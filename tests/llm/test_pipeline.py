@@ -9,7 +9,7 @@ import tiktoken
 import corpus_pipeline
 from flowwarden.llm import catalog, lines
 from flowwarden.llm.text import materialize
-from tests.llm.data import component_of, corpus, frame, words
+from tests.llm.data import component_of, corpus, difficult, frame, words
 from tests.llm.test_operators import lines_by_hand
 
 
@@ -45,3 +45,25 @@ def test_pipeline(spark, tmp_path):
 
     run = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(run) == Counter(seen["byte_bpe"])
+
+
+def test_pipeline_on_difficult_rows(spark):
+    """Nulls in every column, repeated rows, one id with several texts, clashing extra columns."""
+    rows = corpus(60) + [r for r in difficult() if r[0] != 7 and r[0] != 8]
+    docs = frame(spark, rows + rows[:5], clash=True)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    ids = Counter(r.doc_id for r in kept if r.doc_id is not None)
+    assert max(ids.values()) == 1 and sum(r.doc_id is None for r in kept) == sum(r[0] is None for r in rows)
+    nine = [r.text for r in kept if r.doc_id == 9]
+    assert nine == [min(r[1] for r in rows if r[0] == 9)]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, ""), name)
+        assert name == "byte_bpe" or docs.columns == corpus_pipeline.COLUMNS
+    assert docs.count() > 30
+
+
+def test_pipeline_on_an_empty_table(spark):
+    docs = frame(spark, [], clash=True)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, ""), name)
+        assert docs.count() == 0
