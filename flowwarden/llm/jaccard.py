@@ -18,7 +18,6 @@ SHINGLE = 5
 PERCENT = 75
 COMMON_SHARE = 10
 STAR_TURNS = 3
-HOT_STARS = 16
 KEYS_KEPT = 200_000
 CHUNK = 2_000_000
 BLOCK = 1 << 16
@@ -122,13 +121,13 @@ def _prefix_counts(batches, shared, bits: int, size: int, percent: int):
 
 
 def _sets(batches, levels, table, bits: int, table_bits: int, size: int, percent: int):
-    """Of each text that may have a partner: its possibly shared prefix and its whole set.
+    """Of each text that may have a partner: its possibly shared prefix, the places of it in the order, and its whole set.
 
     Of texts with the same words, the first that a task meets speaks for all.
     """
     keys: set[bytes] = set()
     for batch in batches:
-        node, n, prefix, blob = [], [], [], []
+        node, n, prefix, place, blob = [], [], [], [], []
         for id_, text in zip(batch.column("id").to_pylist(), batch.column("text")):
             raw = text.as_py().encode("utf-8")
             key = sequence_key(raw)
@@ -139,15 +138,17 @@ def _sets(batches, levels, table, bits: int, table_bits: int, size: int, percent
             keys.add(key)
             own = shingles(raw, size)
             first = _prefix(own, levels.value, bits, percent)
-            first = first[sieve.hits(table.value, table_bits, first)]
+            at = np.flatnonzero(sieve.hits(table.value, table_bits, first))
+            first = first[at]
             if len(own) and len(first) >= common(-(-percent * len(own) // 100)):
                 node.append(id_)
                 n.append(len(own))
                 prefix.append(first.view(np.int64))
+                place.append(at.astype(np.int32))
                 blob.append(own.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node, batch.schema.field("id").type), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(blob, pa.binary())],
-            ["node", "n", "prefix", "blob"])
+            [pa.array(node, batch.schema.field("id").type), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())),
+             pa.array(place, pa.list_(pa.int32())), pa.array(blob, pa.binary())], ["node", "n", "prefix", "place", "blob"])
 
 
 def _overlaps(batches):
@@ -227,23 +228,22 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     size = materialize(size.join(above, size["star"] == above["centre"], "left").select(
         "star", "least", "most", "reach", F.coalesce("part", "star").alias("part")), "star-sizes")
 
-    columns = post.join(member.select("node", "star"), "node").select("s", "star").distinct()
-    several = columns.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s", (F.col("k") > HOT_STARS).alias("hot"))
-    columns = materialize(columns.join(several, "s").join(size, "star"), "star-columns")
-    # A pair shares at least ``common`` n-grams.  A star with fewer hot ones than that shares others too, so its
-    # hot ones are not needed to find its pairs; they are allowed for in the overlap that a pair must have.
-    hot = columns.groupBy("star").agg(F.sum(F.col("hot").cast("int")).alias("n_hot"), F.first("least").alias("size"))
-    hot = hot.select("star", "n_hot", (F.col("n_hot") >= 1 + F.expr(f"((size * {percent} + 99) div 100) div {COMMON_SHARE}")).alias("crowded"))
-    columns = columns.join(hot, "star").where(~F.col("hot") | F.col("crowded"))
-    columns = columns.withColumn("lost", F.when(~F.col("crowded"), F.col("n_hot")))
+    # All that two sets share comes, in the order of rarity, not before the first n-gram that they share, so a place
+    # says how large a partner may be that is alike enough and meets this n-gram first.
+    places = sets.select("node", F.explode(F.arrays_zip("prefix", "place")).alias("p"), F.col("n").alias("own")).select(
+        "node", F.col("p.prefix").alias("s"), F.expr(f"(100 * own - {100 + percent} * p.place) div {percent}").alias("top"))
+    columns = places.join(member.select("node", "star"), "node").groupBy("s", "star").agg(F.max("top").alias("top"))
+    columns = columns.join(size, "star").where(F.col("top") >= F.expr(f"(least * {percent} + 99) div 100"))
+    several = columns.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
+    columns = materialize(columns.join(several, "s"), "star-columns")
     x, y = columns.alias("x"), columns.alias("y")
     pairs = (x.join(y, F.col("x.s") == F.col("y.s"))
              .where((F.col("x.star") < F.col("y.star")) & (F.col("x.part") != F.col("y.part"))
+                    & (F.col("y.least") <= F.col("x.top")) & (F.col("x.least") <= F.col("y.top"))
                     & (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least")))
              .groupBy(F.col("x.star").alias("a"), F.col("y.star").alias("b"))
-             .agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x.least", "y.least")).alias("n"),
-                  F.coalesce(F.max(F.least("x.lost", "y.lost")), F.lit(0)).alias("lost"))
-             .where(F.col("k") + F.col("lost") >= 1 + F.expr(f"n div {COMMON_SHARE}")))
+             .agg(F.max("x.top").alias("top_a"), F.max("y.top").alias("top_b")))
+    pairs = materialize(pairs, "star-pairs")
     centres = _measured(pairs.select("a", "b"), sets, percent, "centres")
     sure = stars.select(F.col("node").alias("a"), F.col("star").alias("b")).union(centres.where("linked").select("a", "b"))
 
@@ -254,13 +254,13 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             .where((F.col("ra") + F.col("rb") > 0) & (F.col("far") <= limit + F.col("ra") + F.col("rb") + 1e-9)))
     near = (near.join(parts.select(F.col("node").alias("a"), F.col("component").alias("pa")), "a", "left")
             .join(parts.select(F.col("node").alias("b"), F.col("component").alias("pb")), "b", "left")
-            .where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b", F.col("far").alias("apart"), "ra", "rb"))
+            .where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).join(pairs, ["a", "b"]).select("a", "b", F.col("far").alias("apart"), "ra", "rb", "top_a", "top_b"))
     near = materialize(near, "near-stars")
     slack = F.lit(limit + 1e-9)
     xs = near.join(member.select(F.col("star").alias("a"), F.col("node").alias("x"), F.col("far").alias("fx"), F.col("n").alias("nx")), "a").where(
-        F.col("apart") <= slack + F.col("fx") + F.col("rb"))
+        (F.col("apart") <= slack + F.col("fx") + F.col("rb")) & (F.col("nx") <= F.col("top_b")))
     ys = member.select(F.col("star").alias("b"), F.col("node").alias("y"), F.col("far").alias("fy"), F.col("n").alias("ny"))
-    wanted = (xs.join(ys, "b").where((F.col("apart") <= slack + F.col("fx") + F.col("fy"))
+    wanted = (xs.join(ys, "b").where((F.col("apart") <= slack + F.col("fx") + F.col("fy")) & (F.col("ny") <= F.col("top_a"))
                                      & (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")))
               .select(F.col("x").alias("a"), F.col("y").alias("b")))
     more = _measured(wanted, sets, percent, "member-pairs")
@@ -305,7 +305,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held, held_bits = sieve.build(repeated)
     table = spark.sparkContext.broadcast(held)
     sets = materialize(rows.where("id is not null").mapInArrow(
-        lambda b: _sets(b, order, table, bits, held_bits, size, percent), f"node {kind}, n long, prefix array<long>, blob binary"), "sets")
+        lambda b: _sets(b, order, table, bits, held_bits, size, percent), f"node {kind}, n long, prefix array<long>, place array<int>, blob binary"), "sets")
     parts = components(_links(sets, percent).union(
         texts.join(nodes, "key").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))))
     parts = parts.withColumnRenamed("node", "id")
