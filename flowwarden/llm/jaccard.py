@@ -194,13 +194,14 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
        partner that it shares most prefix n-grams with, and is measured against
        it.  Texts linked to one partner form a star around it.  Texts that stay
        alone try again, with another order of the texts.
-    2. Product of the stars: stars that share prefix n-grams are paired,
-       overlaps accumulated, pairs out of the size bounds discarded (sizes too far
-       apart, or too small an overlap for the smaller size), and the centres measured.
+    2. Product of the stars: two stars are paired at an n-gram if it may be the
+       first, in the order of rarity, of all that two of their members share: its
+       place in either set leaves enough n-grams for a partner of the other's
+       size.  The centres are measured.
     3. The Jaccard distance is a metric, so members of two stars can only be
        linked if the centres are no farther apart than the limit and their two
-       distances together.  Such members are measured one by one, unless their
-       stars are joined already.
+       distances together.  Of such stars the members that meet in the same way
+       are measured one by one, unless their stars are joined already.
     """
     limit = 1 - percent / 100
     post = sets.select("node", F.explode("prefix").alias("s"))
@@ -224,9 +225,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         "node", "n", F.coalesce("star", "node").alias("star"), F.coalesce("far", F.lit(0.0)).alias("far")), "members")
     # A centre may belong to another star itself; two stars with one part are joined already.
     above = member.select(F.col("node").alias("centre"), F.col("star").alias("up")).groupBy("centre").agg(F.min("up").alias("part"))
-    size = member.groupBy("star").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("far").alias("reach"))
+    size = member.groupBy("star").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("far").alias("reach"),
+                                      F.count(F.lit(1)).alias("many"))
     size = materialize(size.join(above, size["star"] == above["centre"], "left").select(
-        "star", "least", "most", "reach", F.coalesce("part", "star").alias("part")), "star-sizes")
+        "star", "least", "most", "reach", "many", F.coalesce("part", "star").alias("part")), "star-sizes")
 
     # All that two sets share comes, in the order of rarity, not before the first n-gram that they share, so a place
     # says how large a partner may be that is alike enough and meets this n-gram first.
@@ -241,28 +243,35 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
              .where((F.col("x.star") < F.col("y.star")) & (F.col("x.part") != F.col("y.part"))
                     & (F.col("y.least") <= F.col("x.top")) & (F.col("x.least") <= F.col("y.top"))
                     & (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least")))
-             .groupBy(F.col("x.star").alias("a"), F.col("y.star").alias("b"))
-             .agg(F.max("x.top").alias("top_a"), F.max("y.top").alias("top_b")))
-    pairs = materialize(pairs, "star-pairs")
-    centres = _measured(pairs.select("a", "b"), sets, percent, "centres")
+             .select(F.col("x.star").alias("a"), F.col("y.star").alias("b")).distinct())
+    centres = _measured(pairs, sets, percent, "centres")
     sure = stars.select(F.col("node").alias("a"), F.col("star").alias("b")).union(centres.where("linked").select("a", "b"))
 
     parts = components(sure)
-    reach = size.select("star", "reach")
-    near = (centres.where("not linked").join(reach.select(F.col("star").alias("a"), F.col("reach").alias("ra")), "a")
-            .join(reach.select(F.col("star").alias("b"), F.col("reach").alias("rb")), "b")
+    reach = size.select("star", "reach", "many")
+    near = (centres.where("not linked").join(reach.select(F.col("star").alias("a"), F.col("reach").alias("ra"), F.col("many").alias("ma")), "a")
+            .join(reach.select(F.col("star").alias("b"), F.col("reach").alias("rb"), F.col("many").alias("mb")), "b")
             .where((F.col("ra") + F.col("rb") > 0) & (F.col("far") <= limit + F.col("ra") + F.col("rb") + 1e-9)))
     near = (near.join(parts.select(F.col("node").alias("a"), F.col("component").alias("pa")), "a", "left")
             .join(parts.select(F.col("node").alias("b"), F.col("component").alias("pb")), "b", "left")
-            .where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).join(pairs, ["a", "b"]).select("a", "b", F.col("far").alias("apart"), "ra", "rb", "top_a", "top_b"))
+            .where(F.coalesce("pa", "a") != F.coalesce("pb", "b")))
+    # The smaller star is spread over its n-grams first.
+    swap = F.col("ma") > F.col("mb")
+
+    def either(this: str, other: str):
+        return F.when(swap, F.col(this)).otherwise(F.col(other))
+
+    near = near.select(either("b", "a").alias("a"), either("a", "b").alias("b"), either("ra", "rb").alias("rb"), F.col("far").alias("apart"))
     near = materialize(near, "near-stars")
     slack = F.lit(limit + 1e-9)
-    xs = near.join(member.select(F.col("star").alias("a"), F.col("node").alias("x"), F.col("far").alias("fx"), F.col("n").alias("nx")), "a").where(
-        (F.col("apart") <= slack + F.col("fx") + F.col("rb")) & (F.col("nx") <= F.col("top_b")))
-    ys = member.select(F.col("star").alias("b"), F.col("node").alias("y"), F.col("far").alias("fy"), F.col("n").alias("ny"))
-    wanted = (xs.join(ys, "b").where((F.col("apart") <= slack + F.col("fx") + F.col("fy")) & (F.col("ny") <= F.col("top_a"))
-                                     & (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")))
-              .select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # Members meet at an n-gram that may be the first of what they share, as stars do.
+    at = member.join(places, "node")
+    xs = near.join(at.select(F.col("star").alias("a"), F.col("node").alias("x"), F.col("far").alias("fx"), F.col("n").alias("nx"), "s",
+                             F.col("top").alias("tx")), "a").where(F.col("apart") <= slack + F.col("fx") + F.col("rb"))
+    ys = at.select(F.col("star").alias("b"), F.col("node").alias("y"), F.col("far").alias("fy"), F.col("n").alias("ny"), "s", F.col("top").alias("ty"))
+    wanted = (xs.join(ys, ["b", "s"]).where((F.col("apart") <= slack + F.col("fx") + F.col("fy"))
+                                            & (F.col("ny") <= F.col("tx")) & (F.col("nx") <= F.col("ty")))
+              .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     more = _measured(wanted, sets, percent, "member-pairs")
     return sure.union(more.where("linked").select("a", "b"))
 
