@@ -32,6 +32,22 @@ def test_salted_join_equals_broadcast(spark):
     assert rows_of(small) == rows_of(large) and large.count() == 3000
 
 
+def test_large_table_is_neither_broadcast_nor_repeated(spark, monkeypatch):
+    """A table past the bound is joined by sorting though its size is taken for small; only heavy keys have parts."""
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id") % 50).alias("k"))
+    table = spark.range(40).select(F.col("id").alias("key"), F.concat(F.lit("n"), "id").alias("name"))
+    small = J.checked_left_join(left, table, [("k", "key")])
+    monkeypatch.setattr(J, "HEAVY_ROWS", 500)
+    large = J.checked_left_join(left, table, [("k", "key")], max_rows=5, salts=4)
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    assert rows_of(small) == rows_of(large) and large.count() == 3000
+    spread, repeated = J.spread_heavy(left, table, [("k", "key")], 4)
+    assert repeated.count() == 40 + 3
+    salts = {r.k: r.n for r in spread.groupBy("k").agg(F.count_distinct("_salt").alias("n")).collect()}
+    assert salts.pop(0) == 4 and salts.pop(None) == 4 and set(salts.values()) == {1}
+
+
 def test_running_sums(spark):
     rng = random.Random(1)
     data = [(float(v), rng.randint(0, 9)) for v in rng.sample(range(10_000), 2_000)]
