@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowwarden.catalog.tables import fw
 from flowwarden.operators import behavior as B
+from flowwarden.operators import enrich as N
 from flowwarden.operators import features as X
 from flowwarden.operators import forest as M
 from flowwarden.plans import joins as J
@@ -48,6 +49,15 @@ def test_large_table_is_neither_broadcast_nor_repeated(spark, monkeypatch):
     assert salts.pop(0) == 4 and salts.pop(None) == 4 and set(salts.values()) == {1}
 
 
+def test_many_names_of_destinations_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(J.checked_left_join, "__defaults__", (None, 5, 4))
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(["203.0.0.7", "224.0.0.5", None, "10.0.0.1", "203.0.9.9", "203.0.0.7"])], "i int, dst_ip string")
+    names = spark.range(30).select(F.concat(F.lit("203.0.0."), "id").alias("ip"), F.concat(F.lit("h"), "id").alias("hostname"))
+    named = N.add_hostname(rows, names, "dst_ip", "dst_hostname", destination=True)
+    assert "strategy=merge" in named._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.i: r.dst_hostname for r in named.collect()} == {0: "h7", 1: None, 2: None, 3: None, 4: "203.0.9.9", 5: "h7"}
+
+
 def test_running_sums(spark):
     rng = random.Random(1)
     data = [(float(v), rng.randint(0, 9)) for v in rng.sample(range(10_000), 2_000)]
