@@ -117,7 +117,8 @@ UNION ALL SELECT 'input', {i8('count(*)')}, {i8('sum(event_id)')} FROM told
 UNION ALL SELECT 'last payload', {i8('count(*)')}, {i8("sum(length(regexp_extract(message, '" + _duck(G.STRICT_HEADER) + "', 6)))")} FROM told WHERE outcome = 'accepted'"""))
 def parse_accounting(spark, sf):
     """Three outcomes that add up to the input, and the length of the accepted payloads."""
-    rows = fw(spark, sf).selectExpr("event_id", f"{ODD_SQL.format(**SPARK_TIMES)} AS message")
+    # The lines are made once: every part below reads them, and a filter moved below them would make them again.
+    rows = materialize(fw(spark, sf).selectExpr("event_id", f"{ODD_SQL.format(**SPARK_TIMES)} AS message"), "lines")
     headed = P.parse_header(rows)
     fits = headed.filter(~F.array_contains("tags", P.HEADER_FAILURE))
     accepted = P.ipv4_only(fits)
