@@ -417,6 +417,9 @@ def enrich_hostname_asof(spark, sf):
     return named.select("event_id", "src_ip", "src_hostname")
 
 
+LINES_PER_FILE, FILES_PER_BATCH = 250_000, 24
+
+
 @query("parse_stream_counts", with_fw(f""", odd AS (SELECT event_id, {ODD_SQL.format(**DUCK_TIMES)} AS message FROM fw),
   told AS (SELECT event_id, CASE WHEN NOT {_FITS} THEN 'rejected' WHEN {_WANTED} THEN 'accepted' ELSE 'other version' END AS outcome FROM odd)
 SELECT outcome, {i8('count(*)')} AS counted, {i8("CASE WHEN outcome = 'other version' THEN 0 ELSE count(*) END")} AS written,
@@ -427,9 +430,11 @@ def parse_stream_counts(spark, sf):
     """Lines parsed as a stream in several batches: what is counted, and what is in the two tables."""
     base = new_path(spark, "parse-stream")
     rows = fw(spark, sf).selectExpr("event_id", f"{ODD_SQL.format(**SPARK_TIMES)} AS message")
-    rows.repartition(4, "event_id").write.parquet(f"{base}/in")
+    # Files of at most so many lines, however many there are, and half of the files or a fixed number in a batch.
+    files = max(4, -(-load(spark, sf, "events").count() // LINES_PER_FILE))
+    rows.repartition(files, "event_id").write.parquet(f"{base}/in")
     totals = Totals(spark, f"{base}/totals")
-    stream = J.tail_table(spark, f"{base}/in", rows.schema, max_files=2)
+    stream = J.tail_table(spark, f"{base}/in", rows.schema, max_files=min(files // 2, FILES_PER_BATCH))
     running = J.parse_stream(stream, f"{base}/ok", f"{base}/bad", f"{base}/state", totals)
     running.awaitTermination()
     counted = totals.table(["read", "accepted", "rejected", "other_version"]).drop("query", "last_batch")

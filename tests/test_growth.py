@@ -1,6 +1,9 @@
 """Work that must not grow faster than the tables: lines made once, files of bounded size, values staged apart."""
 
-from flowwarden.catalog import QUERIES
+from pyspark.sql import functions as F
+
+from flowwarden.catalog import QUERIES, lines
+from flowwarden.plans import storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -8,3 +11,12 @@ SF = "/root/testdata/sf0.001"
 def test_accounting_makes_its_lines_once(spark):
     plan = QUERIES["parse_accounting"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "filterlog 98188" not in plan
+
+
+def test_streamed_lines_are_in_files_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LINES_PER_FILE", 100, raising=False)
+    base = storage.new_path(spark, "growth")
+    monkeypatch.setattr(lines, "new_path", lambda *_: base)
+    lines.parse_stream_counts(spark, SF).collect()
+    written = spark.read.parquet(f"{base}/in").groupBy(F.input_file_name()).count()
+    assert written.count() >= 9 and max(r["count"] for r in written.collect()) < 200
