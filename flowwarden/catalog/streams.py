@@ -69,13 +69,17 @@ def replayed(spark, rows, by: str, name: str, run, files: int = 1):
     ``run(stream, checkpoint)`` starts a query over the stream and returns it.
     """
     base = new_path(spark, name)
-    stored = materialize(rows, name)
-    values = [r[0] for r in stored.select(by).distinct().orderBy(by).collect()]
+    # A folder per value, written in one pass: its file is then made from its own rows, not by reading the whole table.
+    staged = rows.filter(F.col(by).isNotNull()).withColumn("_at", F.col(by).cast("string"))
+    staged.hint("rebalance", "_at").write.partitionBy("_at").parquet(f"{base}/staged")
+    stored = spark.read.schema(staged.schema).parquet(f"{base}/staged")
+    values = [r[0] for r in stored.groupBy("_at").agg(F.min(by).alias("v")).orderBy("v").collect()]
     half = len(values) // 2
     for part in (values[:half], values[half:]):
         for v in part:
-            stored.filter(F.col(by) == F.lit(v)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        running = run(J.tail_table(spark, f"{base}/in", stored.schema, max_files=files), f"{base}/state")
+            one = stored.filter(F.col("_at") == F.lit(v)).drop("_at")
+            one.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        running = run(J.tail_table(spark, f"{base}/in", rows.schema, max_files=files), f"{base}/state")
         running.awaitTermination()
     return running
 

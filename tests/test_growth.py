@@ -1,8 +1,10 @@
 """Work that must not grow faster than the tables: lines made once, files of bounded size, values staged apart."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from flowwarden.catalog import QUERIES, lines
+from flowwarden.catalog import QUERIES, lines, streams
 from flowwarden.plans import storage
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +22,21 @@ def test_streamed_lines_are_in_files_of_bounded_size(spark, monkeypatch):
     lines.parse_stream_counts(spark, SF).collect()
     written = spark.read.parquet(f"{base}/in").groupBy(F.input_file_name()).count()
     assert written.count() >= 9 and max(r["count"] for r in written.collect()) < 200
+
+
+def test_replayed_values_are_staged_apart_and_streamed_in_order(spark, monkeypatch):
+    base = storage.new_path(spark, "growth")
+    monkeypatch.setattr(streams, "new_path", lambda *_: base)
+    times = [dt.datetime(2024, 1, d) for d in (3, 1, 2)]
+    rows = spark.createDataFrame([(i, times[i % 3]) for i in range(30)] + [(99, None)], "i int, at timestamp")
+    seen = []
+
+    def run(stream, checkpoint):
+        note = lambda batch, _: seen.append({r.at for r in batch.collect()})
+        running = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(note).start()
+        running.awaitTermination()
+        return running
+
+    streams.replayed(spark, rows, "at", "growth", run)
+    assert seen == [{t} for t in sorted(times)]
+    assert len(spark.read.parquet(f"{base}/staged").select(F.input_file_name()).distinct().collect()) == 3
