@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowwarden.catalog import QUERIES, lines, streams
 from flowwarden.plans import storage
+from flowwarden.streaming import jobs as J
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,16 @@ def test_replayed_values_are_staged_apart_and_streamed_in_order(spark, monkeypat
     streams.replayed(spark, rows, "at", "growth", run)
     assert seen == [{t} for t in sorted(times)]
     assert len(spark.read.parquet(f"{base}/staged").select(F.input_file_name()).distinct().collect()) == 3
+
+
+def test_destinations_of_a_stream_are_a_small_sketch(spark):
+    rows = spark.range(3001).select(
+        F.lit("a").alias("src_ip"), F.when(F.col("id") < 3000, F.concat(F.lit("d"), "id")).alias("dst_ip"), F.lit(80).alias("dst_port"), F.lit("in").alias("dir"),
+        F.lit("pass").alias("action"), F.lit("tcp").alias("proto_name"), F.lit(1).alias("src_port"), F.lit(10).alias("length"), F.lit(64).alias("ttl"),
+        F.lit(5).alias("data_length"), F.lit("match").alias("reason"), F.lit("S").alias("tcp_flags"), F.lit(1).alias("tcp_window"),
+        F.lit(dt.datetime(2024, 1, 1)).alias("ts"))
+    found = J.behavior_stream(rows, "ts", 60, 60)
+    assert "hll_sketch_agg" in found._jdf.queryExecution().analyzed().toString()
+    assert abs(found.first().unique_dst_ips - 3000) < 150
+    nothing = J.behavior_stream(rows.withColumn("dst_ip", F.lit(None).cast("string")), "ts", 60, 60)
+    assert nothing.first().unique_dst_ips == 0
