@@ -20,6 +20,8 @@ from flowwarden.streaming.counters import Totals, window_metrics
 
 # Registers of the sketch of destinations, as a power of two: a standard error of 1.6 %.
 SKETCH_BITS = 12
+# Parts into which a source's destinations are dealt where they are counted exactly.
+DESTINATION_PARTS = 512
 
 
 def tail_lines(spark: SparkSession, folder: str, kind: str = "firewall",
@@ -132,25 +134,26 @@ def exact_behavior_stream(df: DataFrame, ts: str = "@timestamp", size: int = S.W
                           slide: int = S.SLIDE_SECONDS, delay: str | None = None, order: list[str] = ()) -> DataFrame:
     """The behaviour columns of :func:`behavior_stream` with exact distinct counts.
 
-    Two stateful steps: sums per window, source and destination, then their sums
-    per window and source.  A destination is one key of the first step, so a
-    source that reaches very many of them is spread over tasks and no state holds
-    them together; counting them is counting rows.  Windows come out once, in
-    append mode, when the watermark has passed them.
+    Two stateful steps: sums and sets per window, source and part of its destinations, then
+    their sums per window and source.  A destination is in one of ``DESTINATION_PARTS``
+    parts by its hash, so a source that reaches very many of them is spread over tasks and
+    has a state per part, not one per destination; the sizes of the parts' sets add up to
+    the exact count.  Windows come out once, in append mode, when the watermark has passed them.
     """
     now = F.coalesce(F.col(f"`{ts}`").cast("timestamp"), F.current_timestamp())
     rows = df.filter(F.col("src_ip").isNotNull()).withColumn(ts, now).withWatermark(f"`{ts}`", delay or f"{size} seconds")
     ties = [ts, *order, *B.FIRST_ROW]
-    per_destination = rows.groupBy(F.window(F.col(f"`{ts}`"), f"{size} seconds", f"{slide} seconds"), "src_ip", "dst_ip").agg(
-        *B.partial_sums(True, ties), F.collect_set("dst_port").alias("ports"))
-    # One row per port; a destination's sums go with its first row only.
-    kept = [c for c in per_destination.columns if c not in ("window", "src_ip", "dst_ip", "ports")]
-    per_port = per_destination.select("window", "src_ip", "dst_ip", *kept, F.posexplode_outer("ports").alias("_place", "_port"))
+    part = F.pmod(F.xxhash64("dst_ip"), F.lit(DESTINATION_PARTS)).alias("_part")
+    per_part = rows.groupBy(F.window(F.col(f"`{ts}`"), f"{size} seconds", f"{slide} seconds"), "src_ip", part).agg(
+        *B.partial_sums(True, ties), F.collect_set("dst_ip").alias("_reached"), F.collect_set("dst_port").alias("ports"))
+    # One row per port; a part's sums go with its first row only.
+    per_part = per_part.withColumn("_reached", F.size("_reached"))
+    kept = [c for c in per_part.columns if c not in ("window", "src_ip", "_part", "ports")]
+    per_port = per_part.select("window", "src_ip", *kept, F.posexplode_outer("ports").alias("_place", "_port"))
     first = F.coalesce(F.col("_place"), F.lit(0)) == 0
-    per_port = per_port.select("window", "src_ip", "_port", (first & F.col("dst_ip").isNotNull()).alias("_destination"),
-                               *[F.when(first, F.col(c)).alias(c) for c in kept])
+    per_port = per_port.select("window", "src_ip", "_port", *[F.when(first, F.col(c)).alias(c) for c in kept])
     out = per_port.groupBy("window", "src_ip").agg(
-        *B.merged_sums(size, True), F.count_if("_destination").alias("unique_dst_ips"),
+        *B.merged_sums(size, True), F.sum("_reached").alias("unique_dst_ips"),
         F.size(F.collect_set("_port")).cast("bigint").alias("unique_dst_ports"))
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                       *[c for c in out.columns if c != "window"])

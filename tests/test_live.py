@@ -161,3 +161,15 @@ def test_exact_distinct_destinations(spark):
     want = rows.agg(F.count_distinct("dst_ip"), F.count_distinct("dst_port"), F.count("*")).first()
     assert len(got) == 1 and (got[0].unique_dst_ips, got[0].unique_dst_ports, got[0].total_connections) == tuple(want)
     assert got[0].unique_dst_ips > 10_000
+
+
+def test_exact_destinations_have_a_state_per_part(spark):
+    """9,000 destinations of one source make as many states as there are parts, not one each."""
+    base = new_path(spark, "parts")
+    rows = fw(spark, SF).limit(1).drop("event_id").crossJoin(spark.range(9_000).withColumnRenamed("id", "event_id")).withColumns({
+        "ts": F.timestamp_seconds(F.lit(1_704_100_000)), "src_ip": F.lit("203.0.113.1"), "dst_ip": F.concat(F.lit("10.1."), F.col("event_id").cast("string"))})
+    rows.write.parquet(f"{base}/in")
+    running = J.write_table(J.exact_behavior_stream(J.tail_table(spark, f"{base}/in", rows.schema), "ts", 86_400, 86_400), f"{base}/out", f"{base}/state")
+    running.awaitTermination()
+    most = max(s.numRowsTotal for p in running.recentProgress for s in p.stateOperators)
+    assert 0 < most <= 512
