@@ -254,7 +254,10 @@ def train_model(spark, sf):
 def iforest_scores_volume(spark, sf):
     rows = fw_volume(spark, sf, "@timestamp")
     keyed = rows.withColumn("row_key", F.xxhash64(*rows.columns))
-    return Tr.fit(materialize(keyed.repartition("row_key"), "rows"), "row_key")[1]
+    # Only a table that is read in few parts has to be spread over the tasks.
+    if keyed.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        keyed = keyed.repartition("row_key")
+    return Tr.fit(materialize(keyed, "rows"), "row_key")[1]
 
 
 @query("score_windows")

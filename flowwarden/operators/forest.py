@@ -168,24 +168,39 @@ def score_samples(df: DataFrame, nodes: DataFrame, features: list[str],
         cuts, paths = cut.ravel(), path.ravel()
         x = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
         out = np.empty(len(x))
+
+        def beyond(part: np.ndarray, node: int) -> np.ndarray:
+            return part[feature[:, node]] > cut[:, node, None]
+
         # All trees at once for a few hundred rows keeps the work inside the cache.
         for low in range(0, len(x), CHUNK):
-            part = x[low:low + CHUNK]
-            n = len(part)
-            flat = part.T.ravel()
+            part = np.ascontiguousarray(x[low:low + CHUNK].T)
+            n = part.shape[1]
             row = np.arange(n)[None, :]
             offset = (feature * n).ravel()
-            node = np.zeros((trees, n), dtype=np.int64)
-            for _ in range(depth):
-                at = node + start
-                place = offset.take(at)
+            at = np.zeros((trees, n), dtype=np.int64)
+            # The nodes of the first two levels are compared for all rows: no row is looked up alone there.
+            if depth:
+                right = beyond(part, 0)
+                at += 1
+                at += right
+            if depth > 1:
+                right = np.where(right, beyond(part, 2), beyond(part, 1))
+                at <<= 1
+                at += 1
+                at += right
+            at += start
+            place, value, limit = np.empty_like(at), np.empty(at.shape), np.empty(at.shape)
+            # Every place is inside its table; clip only lets take write to ``out`` without a copy.
+            for _ in range(depth - 2):
+                offset.take(at, out=place, mode="clip")
                 place += row
-                right = flat.take(place) > cuts.take(at)
-                node <<= 1
-                node += 1
-                node += right
-            node += start
-            out[low:low + n] = paths.take(node).sum(axis=0)
+                part.take(place, out=value, mode="clip")
+                cuts.take(at, out=limit, mode="clip")
+                at <<= 1
+                at += 1 - start
+                at += value > limit
+            out[low:low + n] = paths.take(at, out=value, mode="clip").sum(axis=0)
         return pa.array(-np.exp2(-out / trees / norm))
 
     descend.__annotations__ = {"rows": pa.Array, "return": pa.Array}

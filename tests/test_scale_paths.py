@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowwarden.catalog import models
 from flowwarden.catalog.tables import fw
 from flowwarden.operators import behavior as B
 from flowwarden.operators import enrich as N
@@ -211,3 +212,49 @@ def test_train_save_load_and_detect(spark):
     assert scored.filter("total_connections < 5").count() == 0
     found, blocks = detect(scored, severities=["LOW", "MEDIUM"])
     assert found.count() == scored.filter("is_anomaly").count() == blocks.count()
+
+
+def test_table_read_in_many_parts_is_not_moved_before_the_forest(spark, tmp_path, monkeypatch):
+    """Rows of a table in many files are stored as they are read; few files are spread, rows and keys are the same."""
+    plans = []
+
+    class Seen(Exception):
+        pass
+
+    def stop(df, name):
+        plans.append(df)
+        raise Seen
+
+    monkeypatch.setattr(models, "materialize", stop)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    for files, sub in ((2 * spark.sparkContext.defaultParallelism, "many"), (1, "one")):
+        rows.repartition(files).write.parquet(f"{tmp_path}/{sub}/lineitem.parquet")
+        spark.conf.set("spark.sql.files.openCostInBytes", "128MB")
+        try:
+            with pytest.raises(Seen):
+                models.iforest_scores_volume(spark, f"{tmp_path}/{sub}")
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        moved = "RepartitionByExpression" in plans[-1]._jdf.queryExecution().optimizedPlan().toString()
+        assert moved == (sub == "one")
+    assert rows_of(plans[0]) == rows_of(plans[1])
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 5, 40])
+def test_scores_of_forests_of_every_depth(spark, limit):
+    """The path of each row through trees of no, one, two and more levels, followed node by node."""
+    rng = random.Random(limit)
+    data = [(i, rng.random(), float(rng.randint(0, 3)), rng.choice([None, 1.0, 2.5])) for i in range(300)]
+    df = spark.createDataFrame(data, "k long, a double, b double, c double")
+    nodes = M.fit_nodes(df, ["a", "b", "c"], "k", trees=6, rows_per_tree=limit).toPandas()
+    table = {(r.tree, r.node): r for r in nodes.itertuples()}
+    got = {r.k: r.raw_score for r in M.score_samples(df, spark.createDataFrame(nodes), ["a", "b", "c"], max(limit, 2)).collect()}
+    trees = sorted(nodes["tree"].unique())
+    for k, *x in data:
+        ends = []
+        for t in trees:
+            node = 0
+            while (r := table[t, node]).feature >= 0:
+                node = 2 * node + 1 + ((x[r.feature] or 0.0) > r.threshold)
+            ends.append(r.depth + M.average_path(r.size))
+        assert abs(got[k] + 2 ** (-sum(ends) / len(trees) / M.average_path(max(limit, 2)))) < 1e-12
