@@ -3,9 +3,9 @@
 Sums are taken per slide interval first and only those are repeated for the
 windows they fall in, so the repetition comes after the map-side combine.  All
 of them add up exactly (integers), so the result equals aggregating the rows.
-Distinct destinations are counted from the (interval, source, destination,
-port) combinations, which spreads a source holding a large share of the rows
-over its destinations.
+Destinations and ports are counted from the set of intervals in which a source
+reached each of them, which spreads a source holding a large share of the rows
+over its destinations; each counts once in every window that the set touches.
 """
 
 from __future__ import annotations
@@ -99,13 +99,29 @@ def _in_windows(panes: DataFrame, size: int, slide: int) -> DataFrame:
         "window_start", F.col("pane") - step).drop("pane", "back")
 
 
-def _assemble(sums: DataFrame, pairs: DataFrame, keys: list[str], seconds: float,
+def _reached(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Each row twice: once with its destination, once with its port."""
+    address, port = [f.dataType for f in rows.select("dst_ip", "dst_port").schema]
+    kinds = [F.struct("dst_ip", F.lit(None).cast(port).alias("dst_port")), F.struct(F.lit(None).cast(address).alias("dst_ip"), "dst_port")]
+    return rows.select(*keep, F.explode(F.array(*kinds)).alias("_one")).select(*keep, "_one.*")
+
+
+def _reached_in_windows(rows: DataFrame, size: int, slide: int) -> DataFrame:
+    """Each destination and each port of a source once for every window in which it was reached."""
+    panes = _reached(rows, ["pane", "src_ip"]).groupBy("src_ip", "dst_ip", "dst_port").agg(F.collect_set("pane").alias("panes"))
+    back = F.sequence(F.lit(0), F.lit(size // slide - 1))
+    starts = F.transform("panes", lambda p: F.transform(
+        back, lambda i: p - F.make_dt_interval(secs=i * F.lit(slide).cast("decimal(18,6)"))))
+    return panes.select("src_ip", "dst_ip", "dst_port", F.explode(F.array_distinct(F.flatten(starts))).alias("window_start"))
+
+
+def _assemble(sums: DataFrame, reached: DataFrame, keys: list[str], seconds: float,
               first_row: bool) -> DataFrame:
     """Both parts end up partitioned by the keys, so joining them moves nothing."""
     totals = sums.groupBy(*keys).agg(*merged_sums(seconds, first_row))
-    distinct = pairs.groupBy(*keys).agg(
-        F.count_distinct("dst_ip").alias("unique_dst_ips"),
-        F.count_distinct("dst_port").alias("unique_dst_ports"),
+    distinct = reached.groupBy(*keys).agg(
+        F.count("dst_ip").alias("unique_dst_ips"),
+        F.count("dst_port").alias("unique_dst_ports"),
     )
     return totals.join(distinct, keys)
 
@@ -122,8 +138,7 @@ def ip_behavior(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECO
         raise ValueError("the window size must be a multiple of the slide")
     rows = event_time(df, ts).withColumn("pane", F.window(F.col(ts), f"{slide} seconds")["start"])
     sums = rows.groupBy("pane", "src_ip").agg(*partial_sums(first_row, order or [ts]))
-    pairs = rows.select("pane", "src_ip", "dst_ip", "dst_port").distinct()
-    joined = _assemble(_in_windows(sums, size, slide), _in_windows(pairs, size, slide),
+    joined = _assemble(_in_windows(sums, size, slide), _reached_in_windows(rows, size, slide),
                        ["window_start", "src_ip"], size, first_row)
     return joined.withColumn("window_end", F.col("window_start") + F.make_dt_interval(
         secs=F.lit(size).cast("decimal(18,6)")))
@@ -133,8 +148,7 @@ def ip_behavior_global(df: DataFrame, seconds: float, ts: str = "@timestamp") ->
     """The same columns per source over the whole table."""
     rows = event_time(df, ts)
     sums = rows.groupBy("src_ip").agg(*partial_sums(False, []))
-    pairs = rows.select("src_ip", "dst_ip", "dst_port").distinct()
-    return _assemble(sums, pairs, ["src_ip"], seconds, False)
+    return _assemble(sums, _reached(rows, ["src_ip"]).distinct(), ["src_ip"], seconds, False)
 
 
 def window_counts(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECONDS,

@@ -258,3 +258,27 @@ def test_scores_of_forests_of_every_depth(spark, limit):
                 node = 2 * node + 1 + ((x[r.feature] or 0.0) > r.threshold)
             ends.append(r.depth + M.average_path(r.size))
         assert abs(got[k] + 2 ** (-sum(ends) / len(trees) / M.average_path(max(limit, 2)))) < 1e-12
+
+
+def test_windows_count_destinations_without_a_row_per_combination(spark):
+    """Distinct counts with nulls and repeats; destinations and ports are not multiplied by windows before they are combined."""
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    data = [(start + dt.timedelta(seconds=rng.randrange(300)), rng.choice(["a", "b"]), rng.choice([None, "x", "y", "z"]), rng.choice([None, 22, 80, 443]),
+             "tcp", "pass", 1, 2, 3, 4) for _ in range(120)] + [(start, "c", None, None, "tcp", "pass", 1, 2, 3, 4)] * 2
+    names = ["ts", "src_ip", "dst_ip", "dst_port", "proto_name", "action", "src_port", "length", "ttl", "data_length"]
+    df = spark.createDataFrame(data, "ts timestamp, src_ip string, dst_ip string, dst_port int, proto_name string, action string, src_port int, length int, ttl int, data_length int")
+    assert df.columns == names
+    found = B.ip_behavior(df, "ts", 60, 20)
+    want = {}
+    for r in df.collect():
+        pane = int(r.ts.timestamp()) // 20 * 20
+        for back in range(3):
+            dsts, ports = want.setdefault((pane - 20 * back, r.src_ip), (set(), set()))
+            dsts.update([r.dst_ip] if r.dst_ip else [])
+            ports.update([r.dst_port] if r.dst_port else [])
+    assert {(int(r.window_start.timestamp()), r.src_ip): (r.unique_dst_ips, r.unique_dst_ports) for r in found.collect()} == {
+        k: (len(d), len(p)) for k, (d, p) in want.items()}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = {r.src_ip: (r.unique_dst_ips, r.unique_dst_ports) for r in B.ip_behavior_global(df, 60, "ts").collect()}
+    assert whole == {"a": (3, 3), "b": (3, 3), "c": (0, 0)}
