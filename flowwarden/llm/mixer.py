@@ -1,8 +1,13 @@
-"""Language-model scores: bit predictors over hashed contexts, mixed by gated weights and refined."""
+"""Language-model scores: bit predictors over hashed contexts, mixed by gated weights and refined.
+
+A token of a text is coded bit by bit, given the tokens before it.  A token that is not among the
+frequent words is one symbol there, and is then spelled by a second model of the same kind over bytes.
+"""
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import partial
@@ -30,6 +35,15 @@ GATES = (len(ORDERS) + 1, PLACES * 8)
 REFINE_CONTEXTS, REFINE_STEPS = 256, 33
 STOP = 32
 SMOOTH = 0.1
+# Of the model of tokens: contexts are the node alone, and after the last one, two and three tokens.
+TOKEN_ORDERS = 4
+LEAST_SLOT_BITS, MOST_SLOT_BITS = 14, 20
+TOKENS_AT_ONCE = 1 << 14
+LEVELS = 32
+TOKEN_STEP_BITS = 4096
+TOKEN_GATES = (TOKEN_ORDERS, LEVELS)
+TOKEN_CELLS = TOKEN_ORDERS * LEVELS * REFINE_STEPS * 2
+HEAD_LEAST = 2
 
 
 # --- how a word becomes bits ---------------------------------------------------------
@@ -156,21 +170,30 @@ def _start() -> list[np.ndarray]:
 
 
 # --- learning, distributed -----------------------------------------------------------
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: the low bytes of small counts are zero, and pack to nothing when stored."""
+    return values.astype(np.float32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(4, -1).T).view(np.float32).reshape(-1)
+
+
 def _sum_blocks(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, more in zip(batch.column("block").to_pylist(), batch.column("held")):
-            values = np.frombuffer(more.as_py(), np.float32)
+            values = _unpacked(more.as_py())
             held[b] = held[b] + values if b in held else values.astype(np.float64)
     for b, values in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["block", "held"])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(values)], pa.binary())], ["block", "held"])
 
 
 def _as_blocks(flat: np.ndarray):
     for b in range(-(-len(flat) // BLOCK)):
         part = flat[b * BLOCK:(b + 1) * BLOCK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["block", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(part)], pa.binary())], ["block", "held"])
 
 
 def _summed(rows: DataFrame, work, size: int) -> np.ndarray:
@@ -178,7 +201,7 @@ def _summed(rows: DataFrame, work, size: int) -> np.ndarray:
     blocks = rows.mapInArrow(work, "block int, held binary").repartition("block").mapInArrow(_sum_blocks, "block int, held binary")
     out = np.zeros(-(-size // BLOCK) * BLOCK, np.float32)
     for b, held in materialize(blocks, "sums").toLocalIterator():
-        values = np.frombuffer(held, np.float32)
+        values = _unpacked(held)
         out[b * BLOCK:b * BLOCK + len(values)] = values
     return out[:size]
 
@@ -198,14 +221,13 @@ def _count(batches, code: Code):
         for begin, end in _blocks(words):
             for bit, _, _, _, slots, _ in _bits(words[begin:end], code):
                 for k, s in enumerate(slots):
-                    at, n = np.unique(s * 2 + bit, return_counts=True)
-                    counts[k, at] += n.astype(np.uint32)
+                    np.add.at(counts[k], s * 2 + bit, np.uint32(1))
     yield from _as_blocks(counts.reshape(-1))
 
 
 def _learn(batches, shared, code: Code):
     """Online: the weights follow the error of each small step; the refining table counts along."""
-    gates, refine, n = _start(), np.zeros((REFINE_CONTEXTS, REFINE_STEPS, 2)), 0
+    gates, refine, n = _start(), np.zeros(REFINE_CONTEXTS * REFINE_STEPS * 2), 0
     for batch in batches:
         words = batch.column("word").to_pylist()
         for begin, end in _blocks(words):
@@ -215,7 +237,7 @@ def _learn(batches, shared, code: Code):
                     part = slice(at, at + STEP_BITS)
                     x = _mixed(gates, say[:, part], [c[part] for c in chosen])
                     error = bit[part] - _squash(x)
-                    np.add.at(refine, (node[part], _cell(x), bit[part]), 1)
+                    np.add.at(refine, (node[part] * REFINE_STEPS + _cell(x)) * 2 + bit[part], 1.0)
                     slope = error * say[:, part]
                     for g, c in zip(gates, chosen):
                         push = np.stack([np.bincount(c[part], s, len(g)) for s in slope], axis=1)
@@ -223,7 +245,7 @@ def _learn(batches, shared, code: Code):
                         g += RATE * push / np.sqrt(np.maximum(seen, 1))
                     n += len(error)
     if n:
-        yield from _as_blocks(np.concatenate([[n], *(n * g.reshape(-1) for g in gates), refine.reshape(-1)]))
+        yield from _as_blocks(np.concatenate([[n], *(n * g.reshape(-1) for g in gates), refine]))
 
 
 def learn(vocabulary: DataFrame) -> Mixer:
@@ -293,14 +315,217 @@ def _vocabulary(batches):
         yield flush()
 
 
-def _word_scores(batches, shared, n_tokens: int, n_words: int, discount: float):
+# --- tokens of whole texts ------------------------------------------------------------
+@dataclass
+class TokenCode:
+    """A prefix code of the frequent words and, as the last symbol, of all others: the inner nodes and bits of one after the other."""
+
+    first: np.ndarray   # by symbol, where its path starts
+    size: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    marks: np.ndarray   # a hash per inner node
+
+    @property
+    def other(self) -> int:
+        return len(self.size) - 1
+
+
+def token_code(counts: np.ndarray) -> TokenCode:
+    """Huffman code of the counts; a symbol without any gets a code too."""
+    n = len(counts)
+    above, side, depth = np.full(2 * n - 1, -1), np.zeros(2 * n - 1, np.int8), np.zeros(2 * n - 1, np.int64)
+    heap = [(int(c) + 1, i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    for inner in range(n, 2 * n - 1):
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        above[x], above[y], side[y] = inner, inner, 1
+        heapq.heappush(heap, (a + b, inner))
+    for i in range(2 * n - 3, -1, -1):
+        depth[i] = depth[above[i]] + 1
+    size = depth[:n].copy()
+    first = np.cumsum(size) - size
+    nodes, bits = np.zeros(size.sum(), np.int32), np.zeros(size.sum(), np.int8)
+    symbol = at = np.arange(n)
+    for up in range(1, size.max() + 1):
+        symbol, at = symbol[size[symbol] >= up], at[size[symbol] >= up]
+        place = first[symbol] + size[symbol] - up
+        nodes[place], bits[place] = above[at] - n, side[at]
+        at = above[at]
+    return TokenCode(first, size, nodes, bits, (mix64(np.arange(1, max(n, 2), dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32))
+
+
+def _identities(words: list[bytes], ranks: dict[bytes, int]) -> list[int]:
+    """Of frequent words the rank, of others a negative hash, so that they too are a context."""
+    return [ranks[w] if w in ranks else -1 - zlib.crc32(w) for w in words]
+
+
+def _before(same: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """A hash of the last one, two, three tokens of the text, where ``place`` counts the tokens from its start."""
+    held, out = np.full(len(same), 11, np.uint64), []
+    with np.errstate(over="ignore"):
+        for back in range(1, TOKEN_ORDERS):
+            prior = np.concatenate([np.zeros(back, np.int64), same[:-back]])[:len(same)].view(np.uint64) + np.uint64(1 << 40)
+            held = mix64(held + np.where(place >= back, prior, np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(back))
+            out.append((held >> np.uint64(32)).astype(np.uint32))
+    return out
+
+
+def _token_bits(code: TokenCode, same: np.ndarray, place: np.ndarray, slot_bits: int):
+    """In runs of tokens, every bit of their codes: its token, bit, place in the code, and its slot per context order."""
+    symbol = np.where(same < 0, code.other, same)
+    before = _before(same, place)
+    for begin in range(0, len(same), TOKENS_AT_ONCE):
+        part = slice(begin, begin + TOKENS_AT_ONCE)
+        size = code.size[symbol[part]]
+        token = np.repeat(np.arange(len(size)), size)
+        level = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        at = level + np.repeat(code.first[symbol[part]], size)
+        node = code.nodes[at]
+        mark = code.marks[node]
+        slots = [node, *((b[part][token] ^ mark) >> np.uint32(32 - slot_bits) for b in before)]
+        if len(token):
+            yield begin + token, code.bits[at].astype(np.int64), np.minimum(level, LEVELS - 1), [s.astype(np.int64) for s in slots]
+
+
+def _batch_tokens(batch, ranks: dict[bytes, int]):
+    """Of runs of texts: (text in batch, its words and end), the identity of each token, its place in its text, its text."""
+    held, tokens = [], 0
+    for i, text in enumerate(batch.column("text")):
+        words = _words(text.as_py())
+        words.append(b"")
+        held.append((i, words))
+        tokens += len(words)
+        if tokens >= TOKENS_AT_ONCE or i + 1 == batch.num_rows:
+            size = np.array([len(words) for _, words in held])
+            same = np.array([x for _, words in held for x in _identities(words, ranks)], np.int64)
+            yield held, same, np.arange(len(same)) - np.repeat(np.cumsum(size) - size, size), np.repeat(np.arange(len(held)), size)
+            held, tokens = [], 0
+
+
+def _count_tokens(batches, shared, slot_bits: int):
+    code, ranks = shared.value
+    counts = np.zeros((TOKEN_ORDERS - 1, 2 << slot_bits), np.uint32)
+    for batch in batches:
+        for _, same, place, _ in _batch_tokens(batch, ranks):
+            for _, bit, _, slots in _token_bits(code, same, place, slot_bits):
+                for k, s in enumerate(slots[1:]):
+                    np.add.at(counts[k], s * 2 + bit, np.uint32(1))
+    yield from _as_blocks(counts.reshape(-1))
+
+
+def _told(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """The log odds that two counts speak for; exactly 0 only where nothing was counted."""
+    return np.where(ones + zeros > 0, np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))) + np.float32(1e-6), np.float32(0))
+
+
+def _gated(say: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Which gated weights are used: how many contexts are known, and the place in the code."""
+    return (say[1:] != 0).sum(axis=0) * LEVELS + level
+
+
+def _start_tokens() -> list[np.ndarray]:
+    """At first the frequency of a token alone speaks."""
+    return [np.tile(np.eye(1, TOKEN_ORDERS) / 2, (n, 1)) for n in TOKEN_GATES]
+
+
+def _both_gates(gates: list[np.ndarray]) -> np.ndarray:
+    """Weights by context order, then by known contexts and place."""
+    return np.ascontiguousarray((gates[0][:, None, :] + gates[1][None, :, :]).reshape(-1, TOKEN_ORDERS).T.astype(np.float32))
+
+
+def _weighed(weights: np.ndarray, say: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    return sum(w.take(gate) * s for w, s in zip(weights, say))
+
+
+def _learn_tokens(batches, shared, counted, slot_bits: int):
+    """Online as for bytes.  A bit is left out of the counts that predict it."""
+    (code, ranks), counts = shared.value, counted.value
+    gates, refine, n = _start_tokens(), np.zeros(TOKEN_CELLS), 0
+    for batch in batches:
+        for _, same, place, _ in _batch_tokens(batch, ranks):
+            for _, bit, level, slots in _token_bits(code, same, place, slot_bits):
+                own = bit.astype(np.float32)
+                say = np.stack([_told(np.maximum(c[:, 1].take(s) - own, 0), np.maximum(c[:, 0].take(s) - (1 - own), 0)) for c, s in zip(counts, slots)])
+                gate = _gated(say, level)
+                known, mixed = gate // LEVELS, []
+                for at in range(0, len(bit), TOKEN_STEP_BITS):
+                    part = slice(at, at + TOKEN_STEP_BITS)
+                    chosen = [known[part], level[part]]
+                    mixed.append(_weighed(_both_gates(gates), say[:, part], gate[part]))
+                    error = own[part] - _squash(mixed[-1])
+                    for g, c in zip(gates, chosen):
+                        push = np.stack([np.bincount(c, error * s, len(g)) for s in say[:, part]], axis=1)
+                        g += RATE * push / np.sqrt(np.maximum(np.bincount(c, minlength=len(g)), 1))[:, None]
+                np.add.at(refine, (gate * REFINE_STEPS + _cell(np.concatenate(mixed))) * 2 + bit, 1.0)
+                n += len(bit)
+    if n:
+        yield from _as_blocks(np.concatenate([[n], *(n * g.reshape(-1) for g in gates), refine]))
+
+
+@dataclass
+class TokenMixer:
+    """What the predictors say by order and slot, gated weights, and the refining table."""
+
+    told: list[np.ndarray]
+    weights: np.ndarray
+    refined: np.ndarray   # known contexts and place x steps, flat: probability of a one
+    slot_bits: int
+
+
+def learn_tokens(rows: DataFrame, shared, counts: np.ndarray) -> TokenMixer:
+    """Learns the model of tokens from whole texts (column ``text``), given the code and ranks (``shared``) and each symbol's count.
+
+    Steps, each a sum over partitions of arrays of fixed size, as for bytes: bit counts by hashed context (those of the
+    node alone are sums of the given counts), then mixing weights and the refining table.
+    """
+    spark = rows.sparkSession
+    code, _ = shared.value
+    slot_bits = min(MOST_SLOT_BITS, max(LEAST_SLOT_BITS, int(counts.sum()).bit_length()))
+    alone = np.zeros((len(code.marks), 2))
+    np.add.at(alone.reshape(-1), code.nodes.astype(np.int64) * 2 + code.bits, np.repeat(counts.astype(float), code.size))
+    texts = rows.select("text")
+    seen = _summed(texts, partial(_count_tokens, shared=shared, slot_bits=slot_bits), (TOKEN_ORDERS - 1) * (2 << slot_bits))
+    held = [alone.astype(np.float32), *seen.reshape(TOKEN_ORDERS - 1, -1, 2)]
+    counted = spark.sparkContext.broadcast(held)
+    sizes = [n * TOKEN_ORDERS for n in TOKEN_GATES]
+    flat = _summed(texts, partial(_learn_tokens, shared=shared, counted=counted, slot_bits=slot_bits), 1 + sum(sizes) + TOKEN_CELLS)
+    counted.unpersist()
+    gates, at = [], 1
+    for n, size, start in zip(TOKEN_GATES, sizes, _start_tokens()):
+        gates.append(flat[at:at + size].reshape(n, -1) / flat[0] if flat[0] else start)
+        at += size
+    refine = flat[at:].reshape(-1, REFINE_STEPS, 2).astype(np.float64)
+    refined = (refine[:, :, 1] + 8 * _squash(np.linspace(-8, 8, REFINE_STEPS))) / (refine.sum(axis=2) + 8)
+    return TokenMixer([_told(c[:, 1], c[:, 0]) for c in held], _both_gates(gates), refined.reshape(-1).astype(np.float32), slot_bits)
+
+
+def told(model: TokenMixer, code: TokenCode, same: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token's symbol, given the tokens before it."""
+    out = np.zeros(len(same))
+    for token, bit, level, slots in _token_bits(code, same, place, model.slot_bits):
+        say = np.stack([t.take(s) for t, s in zip(model.told, slots)])
+        gate = _gated(say, level)
+        x = _weighed(model.weights, say, gate)
+        p = np.clip((_squash(x) + model.refined.take(gate * REFINE_STEPS + _cell(x))) / 2, 1e-5, 1 - 1e-5).astype(np.float64)
+        begin = token[0]
+        found = np.bincount(token - begin, np.log10(np.where(bit == 1, p, 1 - p)))
+        out[begin:begin + len(found)] += found
+    return out
+
+
+def _word_scores(batches, shared, ranks, n_tokens: int, n_words: int, rest: tuple[int, int], discount: float):
+    """The base score of each word but the frequent ones, and its score as one of these others (``rest``: their tokens and words)."""
     base_of = np.log10(n_tokens + SMOOTH * (n_words + 1))
+    n_rest, n_other = rest
+    _, frequent = ranks.value
     for batch in batches:
+        batch = batch.filter(pa.array([w not in frequent for w in batch.column("word").to_pylist()], pa.bool_()))
         words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64)
         spell = spelled(shared.value, words)
-        if n_tokens:
-            own = np.log10(np.maximum(c - discount, 1e-300) / n_tokens)
-            back = np.log10(discount * n_words / n_tokens) + spell
+        if n_rest:
+            own = np.log10(np.maximum(c - discount, 1e-300) / n_rest)
+            back = np.log10(discount * n_other / n_rest) + spell
             score = np.maximum(own, back) + np.log10(1 + 10.0 ** -np.abs(own - back))
         else:
             score = spell
@@ -308,9 +533,10 @@ def _word_scores(batches, shared, n_tokens: int, n_words: int, discount: float):
                                          ["word", "c", "base", "score"])
 
 
-def _per_text(batches, shared):
-    """A row of sums over the frequent words of each text, and a row per other word of it."""
-    head = shared.value
+def _per_text(batches, shared, model, base):
+    """A row of sums over the tokens of each text, and a row per word of it that is not frequent."""
+    code, ranks = shared.value
+    base = base.value
 
     def flush(batch):
         at = pa.array(index, pa.int64())
@@ -322,30 +548,25 @@ def _per_text(batches, shared):
 
     for batch in batches:
         index, word, times, sums = [], [], [], []
-        for i, text in enumerate(batch.column("text")):
-            words = _words(text.as_py())
-            known, base, score = 0, 0.0, 0.0
-            counts = Counter(words)
-            counts[b""] += 1
-            for w, n in counts.items():
-                found = head.get(w)
-                if found is not None:
-                    known += n * found[0]
-                    base += n * found[1]
-                    score += n * found[2]
-                else:
-                    index.append(i)
-                    word.append(w)
-                    times.append(n)
-                    sums.append((0, 0, 0, 0, 0.0, 0.0))
-            # No word holds a space, so this key meets nothing in the join and spreads the rows.
-            index.append(i)
-            word.append(b" %d" % (batch.column("h")[i].as_py() ^ len(words)))
-            times.append(0)
-            sums.append((1, len(words) + 1, sum(map(len, words)) + len(words) + 1, known, base, score))
-            if len(index) >= ROWS_AT_ONCE:
-                yield flush(batch)
-                index, word, times, sums = [], [], [], []
+        for texts, same, place, text in _batch_tokens(batch, ranks):
+            known = np.bincount(text, same >= 0, len(texts)).astype(np.int64)
+            bases = np.bincount(text, base.take(np.where(same < 0, code.other, same)), len(texts))
+            scores = np.bincount(text, told(model.value, code, same, place), len(texts))
+            for (i, words), n, b, s in zip(texts, known.tolist(), bases.tolist(), scores.tolist()):
+                if n < len(words):
+                    for w, many in Counter(w for w in words if w not in ranks).items():
+                        index.append(i)
+                        word.append(w)
+                        times.append(many)
+                        sums.append((0, 0, 0, 0, 0.0, 0.0))
+                # No word holds a space, so this key meets nothing in the join and spreads the rows.
+                index.append(i)
+                word.append(b" %d" % (batch.column("h")[i].as_py() ^ len(words)))
+                times.append(0)
+                sums.append((1, len(words), sum(map(len, words)) + len(words), n, b, s))
+                if len(index) >= ROWS_AT_ONCE:
+                    yield flush(batch)
+                    index, word, times, sums = [], [], [], []
         if index:
             yield flush(batch)
 
@@ -356,16 +577,18 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
 
     Tokens are the words of the whole text (ASCII lower case) and one end.  Counts
     are taken over all rows where ``train`` holds.  ``base_score`` is the smoothed
-    unigram log10 probability.  ``score`` is the model's: a token is either one
-    seen in training, by its discounted count, or spelled bit by bit.  The bits
-    are predicted from hashed contexts of several orders, mixed by weights that
-    two gates choose (how many orders know the context; place in word and byte),
-    and refined.  ``bits_per_byte`` is the score in bits over the bytes scored.
-
-    Contexts end at word borders, so a word's probability depends on the word
-    alone and is computed once per distinct word; texts then sum over their
-    words: the ``head_words`` most frequent are broadcast (a fixed number), the
-    others joined.  A hot word is always among the frequent ones.
+    unigram log10 probability.  ``score`` is the model's, over every token of the
+    whole text in order.  The token's prefix code is predicted bit by bit from
+    hashed contexts of several orders, those of the tokens before it among them,
+    mixed by weights that two gates choose (how many contexts are known; place in
+    the code), and refined.  The ``head_words`` most frequent training words that
+    occur twice at least have a code each (a fixed number, broadcast), all others
+    share one: such a word is then one seen in training, by its discounted count,
+    or spelled, by a model of the same kind whose contexts are the bytes before.
+    ``bits_per_byte`` is the score in bits over the bytes scored.
+
+    What a word costs once it is known to be none of the frequent ones depends on
+    the word alone, so it is computed once per distinct word and joined.
 
     Null text counts as empty and has the end alone.  Repeated rows (same id and
     text) give equal rows.  Without training rows every count is zero and words
@@ -376,15 +599,22 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     vocabulary = materialize(rows.select("text", "train").mapInArrow(_vocabulary, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     n_tokens, n_words = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    n_tokens, n_words = int(n_tokens), int(n_words)
+    top = vocabulary.where(F.col("c") >= HEAD_LEAST).orderBy(F.col("c").desc(), "word").limit(head_words).toArrow()
+    c = top.column("c").to_numpy()
+    rest = (n_tokens - int(c.sum()), n_words - len(c))
+    counts = np.append(c, rest[0])
+    shared = spark.sparkContext.broadcast((token_code(counts), {w: i for i, w in enumerate(top.column("word").to_pylist())}))
+    base = spark.sparkContext.broadcast(np.append(np.log10(c + SMOOTH) - np.log10(n_tokens + SMOOTH * (n_words + 1)), 0.0))
+    tokens = spark.sparkContext.broadcast(learn_tokens(rows.where("train"), shared, counts))
     model = spark.sparkContext.broadcast(learn(vocabulary.where("c > 0")))
     scored = materialize(vocabulary.mapInArrow(
-        partial(_word_scores, shared=model, n_tokens=int(n_tokens), n_words=int(n_words), discount=discount), "word binary, c long, base double, score double"), "word-scores")
-    top = scored.orderBy(F.col("c").desc(), "word").limit(head_words).toArrow()
-    head = spark.sparkContext.broadcast({w: (int(c > 0), b, s) for w, c, b, s in zip(*(top.column(k).to_pylist() for k in ("word", "c", "base", "score")))})
+        partial(_word_scores, shared=model, ranks=shared, n_tokens=n_tokens, n_words=n_words, rest=rest, discount=discount),
+        "word binary, c long, base double, score double"), "word-scores")
 
     kind = rows.schema["id"].dataType.simpleString()
     parts = rows.select("id", F.hash("text").alias("h"), "text").mapInArrow(
-        partial(_per_text, shared=head),
+        partial(_per_text, shared=shared, model=tokens, base=base),
         f"id {kind}, h int, word binary, times long, rows long, n_tokens long, n_bytes long, n_known long, base double, score double")
     tail = scored.select("word", F.col("c").alias("wc"), F.col("base").alias("wb"), F.col("score").alias("ws"))
     joined = parts.join(tail, "word", "left").groupBy("id", "h").agg(
@@ -398,5 +628,5 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
 
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(
         F.col("id").alias(id_col), per_row("n_tokens").alias("n_tokens"), per_row("n_known").alias("n_known"),
-        F.lit(int(n_tokens)).cast("long").alias("train_tokens"), per_row("base").alias("base_score"), per_row("score").alias("score"),
+        F.lit(n_tokens).cast("long").alias("train_tokens"), per_row("base").alias("base_score"), per_row("score").alias("score"),
         (-per_row("score") * float(np.log2(10)) / per_row("n_bytes")).alias("bits_per_byte"))

@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -312,6 +313,36 @@ def test_spelling_is_a_distribution(spark):
     assert known > odd
 
 
+def test_scores_depend_on_the_tokens_before(spark):
+    """Known words in the order met in training are likelier than the same words in another order."""
+    rng = random.Random(2)
+    follow = ["north south east west up down left right".split(), "one two three four five six seven eight".split()]
+    rows = [(i, " ".join(w for _ in range(12) for w in rng.choice(follow)), "en", "s", 1) for i in range(200)]
+    mixed = follow[0] * 6
+    rng.shuffle(mixed)
+    rows += [(9000, " ".join(follow[0] * 6), "en", "s", 1), (9001, " ".join(mixed), "en", "s", 1)]
+    got = {r.doc_id: r for r in mixer.lm_scores(frame(spark, rows), F.col("doc_id") < 9000).collect()}
+    assert got[9000].n_known == got[9001].n_known == got[9001].n_tokens == 49
+    assert abs(got[9000].base_score - got[9001].base_score) < 1e-9
+    assert got[9000].score > got[9001].score / 4 and got[9000].score > got[9000].base_score / 4
+
+
+def test_tokens_are_a_distribution(spark):
+    """The probabilities of all symbols after the same tokens sum to one."""
+    texts = spark.createDataFrame([("the cat sat on the mat " * 9,), ("a cat ate the rat",)], "text string")
+    words = ["the", "cat", "mat", ""]
+    code = mixer.token_code(np.array([20, 10, 9, 2, 25]))
+    shared = spark.sparkContext.broadcast((code, {w.encode(): i for i, w in enumerate(words)}))
+    model = mixer.learn_tokens(texts, shared, np.array([20, 10, 9, 2, 25]))
+    last = []
+    for symbol in [*range(len(words)), -5]:
+        same = np.array([0, 1, symbol])
+        last.append(mixer.told(model, code, same, np.arange(3))[-1])
+    assert abs(sum(10 ** x for x in last) - 1) < 1e-4
+    alone = mixer.token_code(np.array([7]))
+    assert list(alone.size) == [0] and alone.other == 0
+
+
 def test_bit_counts_keep_their_ratio(spark):
     """Slots with more than 65,535 on both sides are not made even."""
     vocabulary = spark.range(280_000).select(F.encode(F.concat(F.when(F.col("id") % 4 == 0, "b").otherwise("a"), F.col("id").cast("string")), "utf-8").alias("word"))
