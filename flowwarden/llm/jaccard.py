@@ -17,11 +17,13 @@ from flowwarden.llm.text import checked_broadcast, grams, hash_words, materializ
 SHINGLE = 5
 PERCENT = 75
 COMMON_SHARE = 10
-STAR_TURNS = 3
 KEYS_KEPT = 200_000
 CHUNK = 2_000_000
 BLOCK = 1 << 16
 LEAST_BITS, MOST_BITS = 20, 24
+# Which shingles of prefixes are repeated is asked of their upper 48 bits, in parts of some 2 ** 18 shingles at 128 a text.
+CUT = 16
+PART_BITS = 20
 
 
 def shingles(raw: bytes, size: int) -> np.ndarray:
@@ -37,6 +39,25 @@ def sequence_key(raw: bytes) -> bytes:
     return hashlib.md5(b" ".join(raw.lower().split())).digest()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: the high bytes of small ones are zero, and pack to nothing when stored."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(held: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(held, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _pack(own: np.ndarray) -> bytes:
+    """Sorted hashes as the steps between them."""
+    return _planes(np.diff(own, prepend=np.uint64(0)))
+
+
+def _unpack(held: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(held, np.uint64), dtype=np.uint64)
+
+
 def _crowd_slot(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(hashes ^ np.uint64(0x5EED)) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -60,7 +81,7 @@ def _profile(batches, bits: int, size: int):
             ["id", "key", "n", "block", "crowd"])
     used = [b for b in range(len(crowd) // BLOCK) if crowd[b * BLOCK:(b + 1) * BLOCK].any()]
     for b in used:
-        held = np.minimum(crowd[b * BLOCK:(b + 1) * BLOCK], 65535).astype(np.uint16).tobytes()
+        held = _planes(np.minimum(crowd[b * BLOCK:(b + 1) * BLOCK], 65535).astype(np.uint16))
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([held], pa.binary())],
             ["id", "key", "n", "block", "crowd"])
@@ -71,7 +92,7 @@ def _levels(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, counts in zip(batch.column("block").to_pylist(), batch.column("crowd")):
-            more = np.frombuffer(counts.as_py(), np.uint16)
+            more = _from_planes(counts.as_py(), np.uint16)
             held[b] = held[b] + more if b in held else more.astype(np.uint64)
     for b, counts in held.items():
         level = np.floor(np.log2(counts + 1) * 2).astype(np.uint8)
@@ -92,15 +113,20 @@ def _prefix(own: np.ndarray, levels: np.ndarray, bits: int, percent: int) -> np.
     """
     n = len(own)
     keep = n - -(-percent * n // 100) + common(n)
-    return own[np.lexsort((own, levels[_crowd_slot(own, bits)]))[:keep]]
+    # The set is sorted, so a stable order of the levels alone is enough.
+    return own[np.argsort(levels[_crowd_slot(own, bits)], kind="stable")[:keep]]
 
 
-def _prefix_counts(batches, shared, bits: int, size: int, percent: int):
+def _prefix_parts(batches, shared, bits: int, part_bits: int, size: int, percent: int):
+    """The shingles of prefixes, cut to their upper bits and sorted, in a row per part; a shingle of two texts or more twice."""
     held, keys, total = [], set(), 0
 
     def flush():
-        value, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["s", "n"])
+        value, n = np.unique(np.concatenate(held) >> np.uint64(CUT), return_counts=True)
+        value = np.repeat(value, np.minimum(n, 2))
+        parts, first = np.unique(value >> np.uint64(64 - CUT - part_bits), return_index=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(parts.astype(np.int32)), pa.array([_pack(x) for x in np.split(value, first[1:])], pa.binary())], ["part", "held"])
 
     for batch in batches:
         for text in batch.column("text"):
@@ -120,7 +146,15 @@ def _prefix_counts(batches, shared, bits: int, size: int, percent: int):
         yield flush()
 
 
-def _sets(batches, levels, table, bits: int, table_bits: int, size: int, percent: int):
+def _repeated(table: pa.Table) -> pa.Table:
+    """The shingles of a part that occur twice or more."""
+    value = np.sort(np.concatenate([_unpack(x.as_py()) for x in table.column("held")]))
+    value = np.unique(value[1:][value[1:] == value[:-1]])
+    return pa.table({"part": pa.array(table.column("part")[:1].to_pylist(), pa.int32()), "n": pa.array([len(value)], pa.int64()),
+                     "held": pa.array([value.tobytes()], pa.binary())})
+
+
+def _sets(batches, levels, table, bits: int, table_bits: int, part_bits: int, size: int, percent: int):
     """Of each text that may have a partner: its possibly shared prefix, the places of it in the order, and its whole set.
 
     Of texts with the same words, the first that a task meets speaks for all.
@@ -138,14 +172,16 @@ def _sets(batches, levels, table, bits: int, table_bits: int, size: int, percent
             keys.add(key)
             own = shingles(raw, size)
             first = _prefix(own, levels.value, bits, percent)
-            at = np.flatnonzero(sieve.hits(table.value, table_bits, first))
+            cut = first >> np.uint64(CUT)
+            places = sieve.part_slots(cut, cut >> np.uint64(64 - CUT - part_bits), part_bits, table_bits)
+            at = np.flatnonzero(sieve.held(table.value, places, len(cut)))
             first = first[at]
             if len(own) and len(first) >= common(-(-percent * len(own) // 100)):
                 node.append(id_)
                 n.append(len(own))
                 prefix.append(first.view(np.int64))
                 place.append(at.astype(np.int32))
-                blob.append(own.tobytes())
+                blob.append(_pack(own))
         yield pa.RecordBatch.from_arrays(
             [pa.array(node, batch.schema.field("id").type), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())),
              pa.array(place, pa.list_(pa.int32())), pa.array(blob, pa.binary())], ["node", "n", "prefix", "place", "blob"])
@@ -155,7 +191,7 @@ def _overlaps(batches):
     for batch in batches:
         both = []
         for a, b in zip(batch.column("blob_a"), batch.column("blob_b")):
-            x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+            x, y = _unpack(a.as_py()), _unpack(b.as_py())
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
@@ -193,7 +229,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
        texts are paired with the smallest of them only.  A text keeps the
        partner that it shares most prefix n-grams with, and is measured against
        it.  Texts linked to one partner form a star around it.  Texts that stay
-       alone try again, with another order of the texts.
+       alone try again, with the largest, and then in the order of a hash.
     2. Product of the stars: two stars are paired at an n-gram if it may be the
        first, in the order of rarity, of all that two of their members share: its
        place in either set leaves enough n-grams for a partner of the other's
@@ -206,17 +242,22 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     limit = 1 - percent / 100
     post = sets.select("node", F.explode("prefix").alias("s"))
     enough = 1 + F.expr(f"((n * {percent} + 99) div 100) div {COMMON_SHARE}")
+    # The first texts of an n-gram in all three orders are taken in one pass; of the hash only itself moves.
+    hashed = F.xxhash64("node")
+    heads = materialize(post.groupBy("s").agg(F.min("node").alias("h0"), F.max("node").alias("h1"), F.min(hashed).alias("h2"),
+                                              F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "heads")
     stars = None
-    for turn in range(STAR_TURNS):
-        # Another order in each turn gives the texts still alone another partner.
-        first = F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")) if turn else F.min("node")
-        heads = post.groupBy("s").agg(first.alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "head")
+    for turn, mine in enumerate((F.col("node"), F.col("node"), hashed)):
         alone = post if stars is None else post.join(stars.select("node"), "node", "left_anti")
         if stars is not None:
             alone = alone.join(stars.select(F.col("star").alias("node")), "node", "left_anti")
-        shared = alone.join(heads, "s").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("k"))
+        shared = alone.join(heads.select("s", F.col(f"h{turn}").alias("head")), "s").where(mine != F.col("head"))
+        shared = shared.groupBy("node", "head").agg(F.count(F.lit(1)).alias("k"))
         shared = shared.join(sets.select("node", "n"), "node").where(F.col("k") >= enough)
         best = shared.groupBy("node").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
+        if mine is hashed:
+            names = sets.groupBy(hashed.alias("head")).agg(F.min("node").alias("name"))
+            best = best.join(names, "head").select("node", F.col("name").alias("head"))
         tried = _measured(best.select(F.col("node").alias("a"), F.col("head").alias("b")), sets, percent, "stars")
         found = tried.where("linked").select(F.col("a").alias("node"), F.col("b").alias("star"), "far")
         stars = found if stars is None else stars.unionByName(found)
@@ -235,9 +276,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     places = sets.select("node", F.explode(F.arrays_zip("prefix", "place")).alias("p"), F.col("n").alias("own")).select(
         "node", F.col("p.prefix").alias("s"), F.expr(f"(100 * own - {100 + percent} * p.place) div {percent}").alias("top"))
     columns = places.join(member.select("node", "star"), "node").groupBy("s", "star").agg(F.max("top").alias("top"))
-    columns = columns.join(size, "star").where(F.col("top") >= F.expr(f"(least * {percent} + 99) div 100"))
+    columns = columns.join(size.select("star", "least"), "star").where(F.col("top") >= F.expr(f"(least * {percent} + 99) div 100")).drop("least")
     several = columns.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
-    columns = materialize(columns.join(several, "s"), "star-columns")
+    columns = materialize(columns.join(several, "s").join(size, "star"), "star-columns")
     x, y = columns.alias("x"), columns.alias("y")
     pairs = (x.join(y, F.col("x.s") == F.col("y.s"))
              .where((F.col("x.star") < F.col("y.star")) & (F.col("x.part") != F.col("y.part"))
@@ -265,7 +306,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     near = materialize(near, "near-stars")
     slack = F.lit(limit + 1e-9)
     # Members meet at an n-gram that may be the first of what they share, as stars do.
-    at = member.join(places, "node")
+    asked = near.select(F.col("a").alias("star")).union(near.select("b")).distinct()
+    at = member.join(asked, "star", "left_semi").join(places, "node")
     xs = near.join(at.select(F.col("star").alias("a"), F.col("node").alias("x"), F.col("far").alias("fx"), F.col("n").alias("nx"), "s",
                              F.col("top").alias("tx")), "a").where(F.col("apart") <= slack + F.col("fx") + F.col("rb"))
     ys = at.select(F.col("star").alias("b"), F.col("node").alias("y"), F.col("far").alias("fy"), F.col("n").alias("ny"), "s", F.col("top").alias("ty"))
@@ -297,7 +339,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    bits = min(MOST_BITS, max(LEAST_BITS, (32 * rows.count()).bit_length()))
+    n_rows = rows.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * n_rows).bit_length()))
+    part_bits = min(PART_BITS, ((128 * n_rows) >> 18).bit_length() + 1)
     profile = materialize(rows.mapInArrow(partial(_profile, bits=bits, size=size),
                                           f"id {kind}, key binary, n long, block int, crowd binary"), "profile")
     crowd = profile.where("block is not null").select("block", "crowd").repartition("block").mapInArrow(_levels, "block int, level binary").collect()
@@ -309,12 +353,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = texts.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"))
     nodes = materialize(nodes, "nodes")
 
-    counts = rows.select("text").mapInArrow(lambda b: _prefix_counts(b, order, bits, size, percent), "s long, n int")
-    repeated = materialize(counts.groupBy("s").agg(F.sum("n").alias("n")).where("n > 1").select("s"), "prefixes")
-    held, held_bits = sieve.build(repeated)
+    parts = rows.select("text").mapInArrow(lambda b: _prefix_parts(b, order, bits, part_bits, size, percent), "part int, held binary")
+    repeated = materialize(parts.groupBy("part").applyInArrow(_repeated, "part int, n long, held binary"), "prefixes")
+    held, held_bits = sieve.build_parts(repeated, part_bits)
     table = spark.sparkContext.broadcast(held)
     sets = materialize(rows.where("id is not null").mapInArrow(
-        lambda b: _sets(b, order, table, bits, held_bits, size, percent), f"node {kind}, n long, prefix array<long>, place array<int>, blob binary"), "sets")
+        lambda b: _sets(b, order, table, bits, held_bits, part_bits, size, percent), f"node {kind}, n long, prefix array<long>, place array<int>, blob binary"), "sets")
     parts = components(_links(sets, percent).union(
         texts.join(nodes, "key").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))))
     parts = parts.withColumnRenamed("node", "id")

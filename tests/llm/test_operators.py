@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from flowwarden.llm import bpe, catalog, exact, fingerprint, jaccard, language, lines, mixer, mixing, substring, toxicity
+from flowwarden.llm import bpe, catalog, exact, fingerprint, jaccard, language, lines, mixer, mixing, sieve, substring, toxicity
 from flowwarden.llm.graph import components
 from tests.llm.data import component_of, corpus, difficult, frame, held, sentence, shingles, words
 
@@ -147,6 +147,26 @@ def test_jaccard_difficult(spark):
     assert {part[9, 1]} == {9} and {v for (i, _), v in part.items() if i in (7, 8)} == {7}
 
 
+def test_jaccard_moves_packed_parts(spark):
+    """Prefixes move as a row per part, not a row per shingle; what is repeated is found, and all of it passes the bit table."""
+    texts = [r[1] for r in corpus(60) if r[1]]
+    levels = spark.sparkContext.broadcast(np.zeros(1 << 20, np.uint8))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    parts = docs.mapInArrow(lambda b: jaccard._prefix_parts(b, levels, 20, 2, 5, 75), "part int, held binary")
+    assert parts.count() <= 3 * 4
+    stored = jaccard.materialize(parts.groupBy("part").applyInArrow(jaccard._repeated, "part int, n long, held binary"), "prefixes")
+    own = Counter(int(x) >> 16 for t in {jaccard.sequence_key(t.encode()): t for t in texts}.values()
+                  for x in jaccard._prefix(jaccard.shingles(t.encode(), 5), levels.value, 20, 75))
+    got = np.concatenate([np.frombuffer(r.held, np.uint64) for r in stored.collect()])
+    assert {x for x, n in own.items() if n > 1} <= set(got.tolist()) <= set(own)
+    table, bits = sieve.build_parts(stored, 2)
+    every = np.array(list(own), np.uint64)
+    hit = sieve.held(table, sieve.part_slots(every, every >> np.uint64(46), 2, bits), len(every))
+    assert set(got.tolist()) <= set(every[hit].tolist()) and hit.sum() < len(got) + 0.02 * len(own)
+    one = jaccard.shingles(texts[0].encode(), 5)
+    assert (jaccard._unpack(jaccard._pack(one)) == one).all() and len(jaccard._unpack(jaccard._pack(one[:0]))) == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 99)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
