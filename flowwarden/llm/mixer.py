@@ -38,7 +38,7 @@ SMOOTH = 0.1
 # Of the model of tokens: contexts are the node alone, and after the last one, two and three tokens.
 TOKEN_ORDERS = 4
 LEAST_SLOT_BITS, MOST_SLOT_BITS = 14, 20
-TOKENS_AT_ONCE = 1 << 14
+TOKENS_AT_ONCE, TOKENS_IN_CACHE = 1 << 14, 1 << 11
 LEVELS = 32
 TOKEN_STEP_BITS = 4096
 TOKEN_GATES = (TOKEN_ORDERS, LEVELS)
@@ -375,17 +375,17 @@ def _token_bits(code: TokenCode, same: np.ndarray, place: np.ndarray, slot_bits:
     """In runs of tokens, every bit of their codes: its token, bit, place in the code, and its slot per context order."""
     symbol = np.where(same < 0, code.other, same)
     before = _before(same, place)
-    for begin in range(0, len(same), TOKENS_AT_ONCE):
-        part = slice(begin, begin + TOKENS_AT_ONCE)
-        size = code.size[symbol[part]]
+    for begin in range(0, len(same), TOKENS_IN_CACHE):
+        part = slice(begin, begin + TOKENS_IN_CACHE)
+        size = code.size.take(symbol[part])
         token = np.repeat(np.arange(len(size)), size)
         level = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        at = level + np.repeat(code.first[symbol[part]], size)
-        node = code.nodes[at]
-        mark = code.marks[node]
-        slots = [node, *((b[part][token] ^ mark) >> np.uint32(32 - slot_bits) for b in before)]
+        at = level + np.repeat(code.first.take(symbol[part]), size)
+        node = code.nodes.take(at).astype(np.int64)
+        mark = code.marks.take(node)
+        slots = [node, *(((b[part].take(token) ^ mark) >> np.uint32(32 - slot_bits)).astype(np.int64) for b in before)]
         if len(token):
-            yield begin + token, code.bits[at].astype(np.int64), np.minimum(level, LEVELS - 1), [s.astype(np.int64) for s in slots]
+            yield begin + token, code.bits.take(at).astype(np.int64), np.minimum(level, LEVELS - 1), slots
 
 
 def _batch_tokens(batch, ranks: dict[bytes, int]):
@@ -421,7 +421,7 @@ def _told(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 
 def _gated(say: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Which gated weights are used: how many contexts are known, and the place in the code."""
-    return (say[1:] != 0).sum(axis=0) * LEVELS + level
+    return sum((s != 0).view(np.int8) for s in say[1:]) * np.int64(LEVELS) + level
 
 
 def _start_tokens() -> list[np.ndarray]:
@@ -446,17 +446,19 @@ def _learn_tokens(batches, shared, counted, slot_bits: int):
         for _, same, place, _ in _batch_tokens(batch, ranks):
             for _, bit, level, slots in _token_bits(code, same, place, slot_bits):
                 own = bit.astype(np.float32)
-                say = np.stack([_told(np.maximum(c[:, 1].take(s) - own, 0), np.maximum(c[:, 0].take(s) - (1 - own), 0)) for c, s in zip(counts, slots)])
+                both = [c.take(s, axis=0) for c, s in zip(counts, slots)]
+                say = np.stack([_told(np.maximum(c[:, 1] - own, 0), np.maximum(c[:, 0] - (1 - own), 0)) for c in both])
                 gate = _gated(say, level)
-                known, mixed = gate // LEVELS, []
+                mixed = []
                 for at in range(0, len(bit), TOKEN_STEP_BITS):
                     part = slice(at, at + TOKEN_STEP_BITS)
-                    chosen = [known[part], level[part]]
                     mixed.append(_weighed(_both_gates(gates), say[:, part], gate[part]))
                     error = own[part] - _squash(mixed[-1])
-                    for g, c in zip(gates, chosen):
-                        push = np.stack([np.bincount(c, error * s, len(g)) for s in say[:, part]], axis=1)
-                        g += RATE * push / np.sqrt(np.maximum(np.bincount(c, minlength=len(g)), 1))[:, None]
+                    # By known contexts, place and order; a gate's own sums are sums of these.
+                    push = np.stack([np.bincount(gate[part], error * s, TOKEN_ORDERS * LEVELS) for s in say[:, part]], axis=1).reshape(TOKEN_ORDERS, LEVELS, -1)
+                    met = np.bincount(gate[part], minlength=TOKEN_ORDERS * LEVELS).reshape(TOKEN_ORDERS, LEVELS)
+                    for g, over in zip(gates, (1, 0)):
+                        g += RATE * push.sum(axis=over) / np.sqrt(np.maximum(met.sum(axis=over), 1))[:, None]
                 np.add.at(refine, (gate * REFINE_STEPS + _cell(np.concatenate(mixed))) * 2 + bit, 1.0)
                 n += len(bit)
     if n:
@@ -507,9 +509,9 @@ def told(model: TokenMixer, code: TokenCode, same: np.ndarray, place: np.ndarray
         say = np.stack([t.take(s) for t, s in zip(model.told, slots)])
         gate = _gated(say, level)
         x = _weighed(model.weights, say, gate)
-        p = np.clip((_squash(x) + model.refined.take(gate * REFINE_STEPS + _cell(x))) / 2, 1e-5, 1 - 1e-5).astype(np.float64)
+        p = np.clip((_squash(x) + model.refined.take(gate * REFINE_STEPS + _cell(x))) / 2, 1e-5, 1 - 1e-5)
         begin = token[0]
-        found = np.bincount(token - begin, np.log10(np.where(bit == 1, p, 1 - p)))
+        found = np.bincount(token - begin, np.log(np.where(bit == 1, p, 1 - p))) / np.log(10)
         out[begin:begin + len(found)] += found
     return out
 
