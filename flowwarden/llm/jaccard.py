@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowwarden.llm import sieve
@@ -18,8 +19,9 @@ SHINGLE = 5
 PERCENT = 75
 COMMON_SHARE = 10
 KEYS_KEPT = 200_000
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 BLOCK = 1 << 16
+MOST_COUNTED = 65535
 LEAST_BITS, MOST_BITS = 20, 24
 # Which shingles of prefixes are repeated is asked of their upper 48 bits, in parts of some 2 ** 18 shingles at 128 a text.
 CUT = 16
@@ -58,13 +60,23 @@ def _unpack(held: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(held, np.uint64), dtype=np.uint64)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts that are mostly 0, 1 or 2, in some two bits each."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_RLE)
+    return packer.compress(_planes(counts)) + packer.flush()
+
+
+def _unpack_counts(held: bytes) -> np.ndarray:
+    return _from_planes(zlib.decompress(held), np.uint16)
+
+
 def _crowd_slot(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(hashes ^ np.uint64(0x5EED)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _profile(batches, bits: int, size: int):
     """A row per text (id, key, n), then the partition's shingle counts by slot, in blocks."""
-    crowd = np.zeros(1 << bits, np.uint32)
+    crowd = np.zeros(1 << bits, np.uint16)
     kind = pa.int64()
     for batch in batches:
         kind = batch.schema.field("id").type
@@ -72,7 +84,9 @@ def _profile(batches, bits: int, size: int):
         for text in batch.column("text"):
             raw = text.as_py().encode("utf-8")
             own = shingles(raw, size)
-            crowd[_crowd_slot(own, bits)] += 1
+            at = _crowd_slot(own, bits)
+            seen = crowd[at]
+            crowd[at] = seen + (seen < MOST_COUNTED)
             keys.append(sequence_key(raw) if len(own) else None)
             sizes.append(len(own))
         n = len(keys)
@@ -81,7 +95,7 @@ def _profile(batches, bits: int, size: int):
             ["id", "key", "n", "block", "crowd"])
     used = [b for b in range(len(crowd) // BLOCK) if crowd[b * BLOCK:(b + 1) * BLOCK].any()]
     for b in used:
-        held = _planes(np.minimum(crowd[b * BLOCK:(b + 1) * BLOCK], 65535).astype(np.uint16))
+        held = _pack_counts(crowd[b * BLOCK:(b + 1) * BLOCK])
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([held], pa.binary())],
             ["id", "key", "n", "block", "crowd"])
@@ -92,8 +106,8 @@ def _levels(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, counts in zip(batch.column("block").to_pylist(), batch.column("crowd")):
-            more = _from_planes(counts.as_py(), np.uint16)
-            held[b] = held[b] + more if b in held else more.astype(np.uint64)
+            more = _unpack_counts(counts.as_py())
+            held[b] = held[b] + more if b in held else more.astype(np.uint32)
     for b, counts in held.items():
         level = np.floor(np.log2(counts + 1) * 2).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "level"])
@@ -122,11 +136,16 @@ def _prefix_parts(batches, shared, bits: int, part_bits: int, size: int, percent
     held, keys, total = [], set(), 0
 
     def flush():
-        value, n = np.unique(np.concatenate(held) >> np.uint64(CUT), return_counts=True)
-        value = np.repeat(value, np.minimum(n, 2))
-        parts, first = np.unique(value >> np.uint64(64 - CUT - part_bits), return_index=True)
+        # In place, as an executor runs several of these at once.
+        value = np.concatenate(held)
+        held.clear()
+        value >>= np.uint64(CUT)
+        value.sort()
+        value = value[np.concatenate([np.ones(min(2, len(value)), bool), value[2:] != value[:-2]])]
+        parts = (value >> np.uint64(64 - CUT - part_bits)).astype(np.int32)
+        first = np.concatenate([[0], np.flatnonzero(parts[1:] != parts[:-1]) + 1])
         return pa.RecordBatch.from_arrays(
-            [pa.array(parts.astype(np.int32)), pa.array([_pack(x) for x in np.split(value, first[1:])], pa.binary())], ["part", "held"])
+            [pa.array(parts[first]), pa.array([_pack(x) for x in np.split(value, first[1:])], pa.binary())], ["part", "held"])
 
     for batch in batches:
         for text in batch.column("text"):
@@ -141,7 +160,7 @@ def _prefix_parts(batches, shared, bits: int, part_bits: int, size: int, percent
                 total += len(held[-1])
             if total >= CHUNK:
                 yield flush()
-                held, keys, total = [], set(), 0
+                keys, total = set(), 0
     if total:
         yield flush()
 
@@ -240,25 +259,33 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
        are measured one by one, unless their stars are joined already.
     """
     limit = 1 - percent / 100
-    post = sets.select("node", F.explode("prefix").alias("s"))
-    enough = 1 + F.expr(f"((n * {percent} + 99) div 100) div {COMMON_SHARE}")
     # The first texts of an n-gram in all three orders are taken in one pass; of the hash only itself moves.
     hashed = F.xxhash64("node")
-    heads = materialize(post.groupBy("s").agg(F.min("node").alias("h0"), F.max("node").alias("h1"), F.min(hashed).alias("h2"),
-                                              F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "heads")
+    post = sets.select("node", "n", F.explode("prefix").alias("s"))
+    same = Window.partitionBy("s")
+    met = post.select("node", "n", hashed.alias("own"), F.min("node").over(same).alias("h0"), F.max("node").over(same).alias("h1"),
+                      F.min(hashed).over(same).alias("h2"))
+    head, hash_ = F.col("p.head"), F.col("p.hash")
+    none = F.lit(None).cast(sets.schema["node"].dataType)
+    turns = [F.struct(F.lit(0).alias("turn"), F.col("h0").alias("head"), F.lit(None).cast("long").alias("hash")),
+             F.struct(F.lit(1).alias("turn"), F.col("h1").alias("head"), F.lit(None).cast("long").alias("hash")),
+             F.struct(F.lit(2).alias("turn"), none.alias("head"), F.col("h2").alias("hash"))]
+    shared = (met.where((F.col("h0") != F.col("h1"))).select("node", "n", "own", F.explode(F.array(*turns)).alias("p"))
+              .where(F.coalesce(head != F.col("node"), hash_ != F.col("own")))
+              .groupBy("node", "n", F.col("p.turn").alias("turn"), head.alias("head"), hash_.alias("hash")).agg(F.count(F.lit(1)).alias("k")))
+    shared = shared.where(F.col("k") >= 1 + F.expr(f"((n * {percent} + 99) div 100) div {COMMON_SHARE}"))
+    best = materialize(shared.groupBy("node", "turn").agg(F.max_by(F.struct("head", "hash"), F.struct("k", -F.col("head"), -F.col("hash"))).alias("p"))
+                       .select("node", "turn", "p.head", "p.hash"), "heads")
+    names = sets.groupBy(hashed.alias("hash")).agg(F.min("node").alias("name"))
     stars = None
-    for turn, mine in enumerate((F.col("node"), F.col("node"), hashed)):
-        alone = post if stars is None else post.join(stars.select("node"), "node", "left_anti")
+    for turn in range(3):
+        asked = best.where(F.col("turn") == turn)
         if stars is not None:
-            alone = alone.join(stars.select(F.col("star").alias("node")), "node", "left_anti")
-        shared = alone.join(heads.select("s", F.col(f"h{turn}").alias("head")), "s").where(mine != F.col("head"))
-        shared = shared.groupBy("node", "head").agg(F.count(F.lit(1)).alias("k"))
-        shared = shared.join(sets.select("node", "n"), "node").where(F.col("k") >= enough)
-        best = shared.groupBy("node").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
-        if mine is hashed:
-            names = sets.groupBy(hashed.alias("head")).agg(F.min("node").alias("name"))
-            best = best.join(names, "head").select("node", F.col("name").alias("head"))
-        tried = _measured(best.select(F.col("node").alias("a"), F.col("head").alias("b")), sets, percent, "stars")
+            asked = asked.join(stars.select("node"), "node", "left_anti")
+            asked = asked.join(stars.select(F.col("star").alias("node")), "node", "left_anti")
+        if turn == 2:
+            asked = asked.join(names, "hash").select("node", F.col("name").alias("head"))
+        tried = _measured(asked.select(F.col("node").alias("a"), F.col("head").alias("b")), sets, percent, "stars")
         found = tried.where("linked").select(F.col("a").alias("node"), F.col("b").alias("star"), "far")
         stars = found if stars is None else stars.unionByName(found)
     stars = materialize(stars, "star-links")
@@ -273,12 +300,19 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
     # All that two sets share comes, in the order of rarity, not before the first n-gram that they share, so a place
     # says how large a partner may be that is alike enough and meets this n-gram first.
-    places = sets.select("node", F.explode(F.arrays_zip("prefix", "place")).alias("p"), F.col("n").alias("own")).select(
-        "node", F.col("p.prefix").alias("s"), F.expr(f"(100 * own - {100 + percent} * p.place) div {percent}").alias("top"))
-    columns = places.join(member.select("node", "star"), "node").groupBy("s", "star").agg(F.max("top").alias("top"))
-    columns = columns.join(size.select("star", "least"), "star").where(F.col("top") >= F.expr(f"(least * {percent} + 99) div 100")).drop("least")
-    several = columns.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
-    columns = materialize(columns.join(several, "s").join(size, "star"), "star-columns")
+    def places(of: DataFrame, *more: str) -> DataFrame:
+        """The n-grams of the sets in ``of`` (stored: node and ``more``), with their largest partners.  Sets are not moved if ``of`` is short (checked)."""
+        few = checked_broadcast(of)
+        return sets.select("node", "prefix", "place", F.col("n").alias("own")).join(of if few is None else few, "node").select(
+            "node", *more, "own", F.explode(F.arrays_zip("prefix", "place")).alias("p")).select(
+            "node", *more, F.col("p.prefix").alias("s"), F.expr(f"(100 * own - {100 + percent} * p.place) div {percent}").alias("top"))
+
+    least = materialize(member.select("node", "star").join(size.select("star", "least"), "star"), "member-stars")
+    columns = places(least, "star", "least").where(F.col("top") >= F.expr(f"(least * {percent} + 99) div 100")).select("s", "star", "top")
+    # Moved once, by n-gram: what follows needs no other order.
+    columns = columns.repartition("s").groupBy("s", "star").agg(F.max("top").alias("top"))
+    columns = columns.withColumn("k", F.count(F.lit(1)).over(same)).where("k > 1").drop("k")
+    columns = materialize(columns.join(size, "star"), "star-columns")
     x, y = columns.alias("x"), columns.alias("y")
     pairs = (x.join(y, F.col("x.s") == F.col("y.s"))
              .where((F.col("x.star") < F.col("y.star")) & (F.col("x.part") != F.col("y.part"))
@@ -307,7 +341,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     slack = F.lit(limit + 1e-9)
     # Members meet at an n-gram that may be the first of what they share, as stars do.
     asked = near.select(F.col("a").alias("star")).union(near.select("b")).distinct()
-    at = member.join(asked, "star", "left_semi").join(places, "node")
+    at = places(materialize(member.join(asked, "star", "left_semi"), "asked-members"), "star", "far", "n")
     xs = near.join(at.select(F.col("star").alias("a"), F.col("node").alias("x"), F.col("far").alias("fx"), F.col("n").alias("nx"), "s",
                              F.col("top").alias("tx")), "a").where(F.col("apart") <= slack + F.col("fx") + F.col("rb"))
     ys = at.select(F.col("star").alias("b"), F.col("node").alias("y"), F.col("far").alias("fy"), F.col("n").alias("ny"), "s", F.col("top").alias("ty"))

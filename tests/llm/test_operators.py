@@ -4,10 +4,13 @@ import base64
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -167,6 +170,52 @@ def test_jaccard_moves_packed_parts(spark):
     assert (jaccard._unpack(jaccard._pack(one)) == one).all() and len(jaccard._unpack(jaccard._pack(one[:0]))) == 0
 
 
+def test_jaccard_counts_are_packed():
+    """A partition's counts of shingles take two bits a slot or so where nearly all are 0 or 1, and do not wrap."""
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.random()) for _ in range(2000)) for _ in range(250)] + ["again and again and on"] * 70_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    out = list(jaccard._profile([batch], 20, 5))
+    blocks = [(b, c) for x in out for b, c in zip(x.column("block").to_pylist(), x.column("crowd").to_pylist()) if b is not None]
+    assert len(blocks) == 16 and sum(len(c) for _, c in blocks) < 2 ** 20 * 3 // 8
+    counts = np.concatenate([jaccard._unpack_counts(c) for _, c in sorted(blocks)])
+    want = Counter(int(x) for t, n in Counter(texts).items() for x in np.unique(jaccard._crowd_slot(jaccard.shingles(t.encode(), 5), 20)) for _ in range(n))
+    assert counts.max() == 65535 and {i: c for i, c in want.items() if c < 65535} == {int(i): int(counts[i]) for i in np.flatnonzero(counts < 65535) if counts[i]}
+
+
+def test_jaccard_prefix_parts_are_small():
+    """The shingles of a task's prefixes are sorted in place: an executor runs several such tasks in its memory."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10 ** 9, 100_000))) for _ in range(50)]
+    levels = SimpleNamespace(value=np.zeros(1 << 20, np.uint8))
+    batches = (pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in texts)
+    tracemalloc.start()
+    rows = sum(len(jaccard._unpack(x.as_py())) for b in jaccard._prefix_parts(batches, levels, 20, 8, 5, 75) for x in b.column("held"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == sum(len(jaccard._prefix(jaccard.shingles(t.encode(), 5), levels.value, 20, 75)) for t in texts)
+    assert peak < 70e6
+
+
+def test_jaccard_moves_sets_seldom(spark, tmp_path, monkeypatch):
+    """Prefix shingles reach a shuffle twice: once for the partners of all three turns, once for the stars."""
+    rows = corpus(150)
+    docs = frame(spark, rows)
+    plans = []
+    keep = jaccard.materialize
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name)
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == component_of(rows)
+    exploded = {name for name, plan in plans if "Generate explode(" in plan}
+    assert exploded == {"heads", "star-columns", "member-pairs-pairs"}
+    assert all(plan.count("Exchange hashpartitioning(s#") == 1 for name, plan in plans if name in ("heads", "star-columns"))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 99)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
