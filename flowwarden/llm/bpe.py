@@ -173,6 +173,11 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+        self.encoder.fits.clear()
+
 
 _WORKER: dict[str, object] = {}
 
@@ -197,13 +202,17 @@ def _slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, in
 
 def _encode(batches, shared, pattern: str, text_col: str, ids_col: str, keep: list[str], schema: pa.Schema | None = None):
     pieces, find = _pieces(shared.value), regex.compile(pattern).findall
-    for batch in batches:
-        for begin, n in _slices(batch.column(text_col)):
-            part = batch.slice(begin, n)
-            packed = [b"".join(map(pieces.__getitem__, find(t))) if t else b"" for t in part.column(text_col).to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], [*keep, ids_col])
+    try:
+        for batch in batches:
+            for begin, n in _slices(batch.column(text_col)):
+                part = batch.slice(begin, n)
+                packed = [b"".join(map(pieces.__getitem__, find(t))) if t else b"" for t in part.column(text_col).to_pylist()]
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], [*keep, ids_col])
+    finally:
+        # The worker outlives the task: whatever runs in it next would have less of the executor's memory.
+        pieces.forget()
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -211,7 +220,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str
 
     Every match of ``pattern`` is encoded by itself, without special tokens.
     The vocabulary is broadcast; its size does not depend on the rows.  Tasks
-    keep the ids of recent pieces, up to a fixed number.
+    keep the ids of recent pieces, up to a fixed number, and drop them at their end.
 
     Null and empty texts have no ids.  All other columns pass through
     (``ids_col`` is replaced).  Rows are independent of each other, so repeated

@@ -287,6 +287,22 @@ def test_bpe(spark, vocabulary, reference):
         assert bytes(r.decoded) == (r.text or "").encode() and r.id == "clash"
 
 
+def test_bpe_leaves_nothing_in_the_worker(vocabulary, reference):
+    """A worker that has encoded gives the memory of the pieces back, also when the rows after it are not asked for."""
+    texts = [r[1] for r in corpus(60) if r[1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])] * 2
+    work = lambda: bpe._encode(iter(batches), SimpleNamespace(value=vocabulary), public_tokenizers.PATTERN, "text", "ids", [])
+    pieces = bpe._pieces(vocabulary)
+    for stopped in (False, True):
+        run = work()
+        assert next(run).column("ids").to_pylist() == [reference.encode_ordinary(t) for t in texts] and len(pieces)
+        if stopped:
+            run.close()
+        else:
+            assert next(run).column("ids").to_pylist() == [reference.encode_ordinary(t) for t in texts] and next(run, None) is None
+        assert not pieces and not pieces.older and not pieces.encoder.fits
+
+
 def test_bpe_needs_all_bytes():
     with pytest.raises(ValueError):
         bpe.Vocabulary([b"a", b"b", b"ab"])
