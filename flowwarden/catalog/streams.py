@@ -166,8 +166,10 @@ def _exact_windows(spark, rows, size, slide):
     """A last row far ahead closes all windows."""
     base = new_path(spark, "exact")
     rows.write.parquet(f"{base}/in")
+    wide = materialize(J.wide_sources(spark.read.schema(rows.schema).parquet(f"{base}/in")), "wide")
     stream = lambda: J.tail_table(spark, f"{base}/in", rows.schema)
-    start = lambda: J.write_table(J.exact_behavior_stream(stream(), "ts", size, slide, order=["event_id"]), f"{base}/out", f"{base}/state")
+    exact = lambda: J.exact_behavior_stream(stream(), "ts", size, slide, order=["event_id"], wide=wide)
+    start = lambda: J.write_table(exact(), f"{base}/out", f"{base}/state")
     start().awaitTermination()
     ahead = rows.limit(1).withColumns({"ts": F.col("ts") + F.expr("INTERVAL 10000 DAYS"), "src_ip": F.lit("closing")})
     ahead.write.mode("append").parquet(f"{base}/in")

@@ -13,6 +13,7 @@ from flowwarden.operators import behavior as B
 from flowwarden.operators import blocklist as L
 from flowwarden.operators import detect as D
 from flowwarden.operators import parse as P
+from flowwarden.plans.joins import checked_left_join
 from flowwarden.plans.training import Model, score
 from flowwarden.sources.writers import write_daily
 from flowwarden.streaming.blocklog import COMPACT_EVERY, BlockLog
@@ -22,6 +23,9 @@ from flowwarden.streaming.counters import Totals, window_metrics
 SKETCH_BITS = 12
 # Parts into which a source's destinations are dealt where they are counted exactly.
 DESTINATION_PARTS = 512
+# The part of a source that is not dealt out, and how many destinations one state may hold.
+WHOLE = -1
+WIDE_SOURCE = 16_384
 
 
 def tail_lines(spark: SparkSession, folder: str, kind: str = "firewall",
@@ -130,8 +134,15 @@ def behavior_stream(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_
                       *[x for x in out.columns if x != "window"])
 
 
+def wide_sources(df: DataFrame, more_than: int = WIDE_SOURCE) -> DataFrame:
+    """Sources of a table that reach more than so many destinations, by a sketch: ``wide`` of :func:`exact_behavior_stream`."""
+    seen = df.filter(F.col("src_ip").isNotNull()).groupBy("src_ip").agg(F.approx_count_distinct("dst_ip").alias("_reached"))
+    return seen.filter(F.col("_reached") > more_than).select("src_ip")
+
+
 def exact_behavior_stream(df: DataFrame, ts: str = "@timestamp", size: int = S.WINDOW_SECONDS,
-                          slide: int = S.SLIDE_SECONDS, delay: str | None = None, order: list[str] = ()) -> DataFrame:
+                          slide: int = S.SLIDE_SECONDS, delay: str | None = None, order: list[str] = (),
+                          wide: DataFrame | None = None) -> DataFrame:
     """The behaviour columns of :func:`behavior_stream` with exact distinct counts.
 
     Two stateful steps: sums and sets per window, source and part of its destinations, then
@@ -139,22 +150,36 @@ def exact_behavior_stream(df: DataFrame, ts: str = "@timestamp", size: int = S.W
     parts by its hash, so a source that reaches very many of them is spread over tasks and
     has a state per part, not one per destination; the sizes of the parts' sets add up to
     the exact count.  Windows come out once, in append mode, when the watermark has passed them.
+
+    With ``wide``, a table with ``src_ip``, only its sources are dealt into parts; any other has one
+    state per window.  The counts are exact whatever it lists, but it must be the same for the life of a checkpoint.
     """
     now = F.coalesce(F.col(f"`{ts}`").cast("timestamp"), F.current_timestamp())
     rows = df.filter(F.col("src_ip").isNotNull()).withColumn(ts, now).withWatermark(f"`{ts}`", delay or f"{size} seconds")
-    ties = [ts, *order, *B.FIRST_ROW]
-    part = F.pmod(F.xxhash64("dst_ip"), F.lit(DESTINATION_PARTS)).alias("_part")
-    per_part = rows.groupBy(F.window(F.col(f"`{ts}`"), f"{size} seconds", f"{slide} seconds"), "src_ip", part).agg(
-        *B.partial_sums(True, ties), F.collect_set("dst_ip").alias("_reached"), F.collect_set("dst_port").alias("ports"))
-    # One row per port; a part's sums go with its first row only.
-    per_part = per_part.withColumn("_reached", F.size("_reached"))
+    dealt = F.pmod(F.xxhash64("dst_ip"), F.lit(DESTINATION_PARTS))
+    if wide is None:
+        rows = rows.withColumn("_part", dealt)
+    else:
+        rows = checked_left_join(rows, wide.select(F.col("src_ip").alias("_wide")).distinct(), [("src_ip", "_wide")])
+        rows = rows.withColumn("_part", F.when(F.col("_wide").isNotNull(), dealt).otherwise(WHOLE)).drop("_wide")
+    # The earliest row as one value: its times and keys, then the fields that are wanted of it.
+    lead = [ts, *order]
+    earliest = F.min(F.struct(*[F.col(f"`{x}`").alias(f"_{i}") for i, x in enumerate([*lead, *B.FIRST_ROW])])).alias("first_at")
+    per_part = rows.groupBy(F.window(F.col(f"`{ts}`"), f"{size} seconds", f"{slide} seconds"), "src_ip", "_part").agg(
+        *B.partial_sums(False, []), earliest, F.collect_set("dst_ip").alias("_reached"), F.collect_set("dst_port").alias("ports"))
+    first_row = F.struct(*[F.col(f"first_at._{i}").alias(x) for i, x in enumerate(B.FIRST_ROW, len(lead))])
+    # Ports of a source in one part are counted here.  Else there is one row per port; a part's sums go with its first row only.
+    whole = F.col("_part") == WHOLE
+    per_part = per_part.withColumns({
+        "_reached": F.size("_reached"), "first_row": first_row, "_ports": F.when(whole, F.size("ports")).otherwise(0),
+        "ports": F.when(~whole, F.col("ports"))})
     kept = [c for c in per_part.columns if c not in ("window", "src_ip", "_part", "ports")]
     per_port = per_part.select("window", "src_ip", *kept, F.posexplode_outer("ports").alias("_place", "_port"))
     first = F.coalesce(F.col("_place"), F.lit(0)) == 0
     per_port = per_port.select("window", "src_ip", "_port", *[F.when(first, F.col(c)).alias(c) for c in kept])
     out = per_port.groupBy("window", "src_ip").agg(
         *B.merged_sums(size, True), F.sum("_reached").alias("unique_dst_ips"),
-        F.size(F.collect_set("_port")).cast("bigint").alias("unique_dst_ports"))
+        (F.sum("_ports") + F.size(F.collect_set("_port"))).cast("bigint").alias("unique_dst_ports"))
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                       *[c for c in out.columns if c != "window"])
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from flowwarden.catalog.streams import stream_windows_exact
 from flowwarden.catalog.tables import fw
 from flowwarden.plans import versions
 from flowwarden.plans.storage import new_path
@@ -173,3 +174,46 @@ def test_exact_destinations_have_a_state_per_part(spark):
     running.awaitTermination()
     most = max(s.numRowsTotal for p in running.recentProgress for s in p.stateOperators)
     assert 0 < most <= 512
+
+
+def test_sources_not_listed_as_wide_have_one_state_per_window(spark):
+    """2,000 destinations each: the listed source has a state per part, the other one, and both counts are exact."""
+    base = new_path(spark, "narrow")
+    rows = fw(spark, SF).limit(1).drop("event_id").crossJoin(spark.range(4_000).withColumnRenamed("id", "event_id")).withColumns({
+        "ts": F.timestamp_seconds(F.lit(1_704_100_000) + F.col("event_id") % 50),
+        "src_ip": F.when(F.col("event_id") % 2 == 0, "203.0.113.1").otherwise("203.0.113.2"),
+        "dst_ip": F.when(F.col("event_id") > 9, F.concat(F.lit("10.1."), (F.col("event_id") % 3_000).cast("string"))),
+        "dst_port": F.when(F.col("event_id") > 5, (F.col("event_id") % 97).cast("int"))})
+    far = rows.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1_804_100_000)))
+    wide = spark.createDataFrame([("203.0.113.1",), ("203.0.113.9",)], "src_ip string")
+    states = 0
+    for part in (rows, far):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = J.exact_behavior_stream(J.tail_table(spark, f"{base}/in", rows.schema), "ts", 86_400, 86_400, order=["event_id"], wide=wide)
+        running = J.write_table(stream, f"{base}/out", f"{base}/state")
+        running.awaitTermination()
+        states = max([states, *(s.numRowsTotal for p in running.recentProgress for s in p.stateOperators)])
+    shown = ["src_ip", "unique_dst_ips", "unique_dst_ports", "total_connections", "first_row"]
+    got = sorted(spark.read.parquet(f"{base}/out").select(*shown).collect())
+    first = F.min_by(F.struct("proto_name", "dir", "reason", "tcp_flags", "tcp_window"), F.struct("ts", "event_id")).alias("first_row")
+    want = rows.groupBy("src_ip").agg(
+        F.count_distinct("dst_ip").alias("unique_dst_ips"), F.count_distinct("dst_port").alias("unique_dst_ports"),
+        F.count("*").alias("total_connections"), first)
+    assert got == sorted(want.select(*shown).collect()) and len(got) == 2
+    assert 400 < states <= 512 + 1
+
+
+def test_wide_sources(spark):
+    reached = spark.range(3_000).select(F.lit("a").alias("src_ip"), F.col("id").cast("string").alias("dst_ip"))
+    rows = reached.union(reached.selectExpr("'b'", "string(dst_ip % 20)")).union(reached.selectExpr("CAST(NULL AS STRING)", "dst_ip"))
+    assert [r.src_ip for r in J.wide_sources(rows, 1_000).collect()] == ["a"]
+    assert J.wide_sources(rows).count() == 0
+
+
+def test_exact_windows_keep_a_state_per_window_and_source(spark, monkeypatch):
+    """Sources of few destinations: no more states than windows that come out."""
+    started, write = [], J.write_table
+    monkeypatch.setattr(J, "write_table", lambda *a, **b: started.append(write(*a, **b)) or started[-1])
+    windows = stream_windows_exact(spark, SF).count()
+    most = max(s.numRowsTotal for q in started for p in q.recentProgress for s in p.stateOperators)
+    assert 0 < most <= windows + 3  # the row that closes the windows is in three
