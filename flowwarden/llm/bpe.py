@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from flowwarden.llm.text import sealed
+
 PIECES_KEPT = 150_000
 PAIRS_KEPT = 500_000
 BATCH_BYTES = 4 << 20
@@ -226,11 +228,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text_col: str
     (``ids_col`` is replaced).  Rows are independent of each other, so repeated
     rows give repeated results and an empty table none.
     """
-    keep = [f for f in docs.schema.fields if f.name != ids_col]
-    schema = T.StructType([*keep, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    keep = [c for c in docs.columns if c != ids_col]
+    docs, inner, _ = sealed(docs, [ids_col])
+    names = [inner[c] for c in keep]
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    work = partial(_encode, shared=shared, pattern=pattern, text_col=text_col, ids_col=ids_col, keep=[f.name for f in keep])
-    return docs.select(*[f"`{f.name}`" for f in keep]).mapInArrow(lambda batches: work(batches), schema)
+    work = partial(_encode, shared=shared, pattern=pattern, text_col=inner[text_col], ids_col=ids_col, keep=names)
+    return docs.select(*names).mapInArrow(lambda batches: work(batches), schema).toDF(*keep, ids_col)
 
 
 def _decode(batches, shared, ids_col: str, out_col: str, keep: list[str]):
@@ -243,8 +247,10 @@ def _decode(batches, shared, ids_col: str, out_col: str, keep: list[str]):
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The input rows with ``decoded``: the bytes of the tokens in ``ids_col`` (null for null ids)."""
-    keep = [f for f in rows.schema.fields if f.name != out_col]
-    schema = T.StructType([*keep, T.StructField(out_col, T.BinaryType(), True)])
+    keep = [c for c in rows.columns if c != out_col]
+    rows, inner, _ = sealed(rows, [out_col])
+    names = [inner[c] for c in keep]
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField(out_col, T.BinaryType(), True)])
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary.tokens)
-    work = partial(_decode, shared=shared, ids_col=ids_col, out_col=out_col, keep=[f.name for f in keep])
-    return rows.select(*[f"`{f.name}`" for f in keep]).mapInArrow(lambda batches: work(batches), schema)
+    work = partial(_decode, shared=shared, ids_col=inner[ids_col], out_col=out_col, keep=names)
+    return rows.select(*names).mapInArrow(lambda batches: work(batches), schema).toDF(*keep, out_col)
